@@ -10,15 +10,16 @@ from .ranges import interval_pairs
 def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
     """placements(p_id, path, name) -> + file_id: same path (case and slash ignored), else first file whose path ends with name.
 
-    The suffix rule meets files by the last path part of the name, then checks the full ending.
+    The suffix rule is an equi-join on the last path part of the name, followed by a check of the full ending.
     """
     norm = lambda c: F.lower(F.replace(F.col(c), F.lit("/"), F.lit("\\")))
     last = lambda c: F.element_at(F.split(F.lower(c), r"[/\\]"), -1)
     f = files.select(F.col("id").alias("fid"), F.col("path").alias("fpath"))
     exact = f.groupBy(norm("fpath").alias("__n")).agg(F.min("fid").alias("exact_id"))
     d = placements.withColumn("__n", norm("path")).join(exact, "__n", "left").drop("__n")
-    # files may carry a longer last part than the clip name, so meet on whole last part first
-    tail = f.withColumn("__l", last(F.col("fpath")))
+    # the clip name may be any ending of the path: offer every ending of the last path part
+    base = last(F.col("fpath"))
+    tail = f.withColumn("__l", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda i: F.substring(base, i, F.length(base)))))
     named = (placements.where("name <> ''").select("p_id", "name", last(F.col("name")).alias("__l"))
              .join(tail, "__l").where(F.endswith(F.lower("fpath"), F.lower("name"))).groupBy("p_id").agg(F.min("fid").alias("name_id")))
     return d.join(named, "p_id", "left").withColumn("file_id", F.coalesce("exact_id", "name_id")).drop("exact_id", "name_id")
