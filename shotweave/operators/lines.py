@@ -1,7 +1,8 @@
 """Scoring transcript lines and writing queries for them."""
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import fixed, media, text
+from ..functions import fixed, text
+from .windows import ordered_distinct, topk
 
 LINES_JSON = ("struct<lines:array<struct<id:string,importance:string,visual:string,role:string,reason:string,query:string,"
               "alt_queries:array<string>,anchor:string>>>")
@@ -20,8 +21,8 @@ def offline_importance(units: DataFrame) -> DataFrame:
     imp = (F.lit(0.3) + F.when(placed, 0.25).otherwise(0.0) + F.when(number, 0.12).otherwise(0.0) + 0.08 * F.least(proper, F.lit(2))
            + 0.03 * F.least(content, F.lit(6)) - F.when(speaker, 0.35).otherwise(0.0))
     # position from both ends decides between greeting, call to action and aside
-    ends = u.groupBy("video_id").agg(F.min("id").alias("__first"), F.sort_array(F.collect_set("id"), False).alias("__ids"))
-    ends = ends.select("video_id", "__first", F.coalesce(F.get("__ids", F.lit(1)), F.get("__ids", F.lit(0))).alias("__late"))
+    late = topk(u.select("video_id", "id"), 2, "video_id", [F.desc("id")]).groupBy("video_id").agg(F.min("id").alias("__late"))
+    ends = u.groupBy("video_id").agg(F.min("id").alias("__first")).join(late, "video_id")
     d = u.join(ends, "video_id")
     role = (F.when(speaker & (F.col("id") >= F.col("__late")), "cta").when(speaker & (F.col("id") == F.col("__first")), "hook")
             .when(speaker, "aside").when(placed, "place").when(number, "data").otherwise("key point"))
@@ -33,7 +34,7 @@ def offline_importance(units: DataFrame) -> DataFrame:
 
 def parse_lines(answers: DataFrame, units: DataFrame) -> DataFrame:
     """answers(video_id, body JSON): validated line scores. Unknown or repeated ids go, numbers are clamped, roles checked."""
-    x = answers.select("video_id", F.posexplode(F.from_json("body", LINES_JSON.replace("struct<lines", "struct<lines", 1))["lines"]).alias("pos", "x"))
+    x = answers.select("video_id", F.posexplode(F.from_json("body", LINES_JSON)["lines"]).alias("pos", "x"))
     num = lambda c: F.least(F.greatest(F.coalesce(c.try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     x = x.withColumn("id", F.col("x.id").try_cast("long")).where("id IS NOT NULL")
     x = x.join(units.where("kind = 'speech'").select("video_id", "id"), ["video_id", "id"], "left_semi")
@@ -72,7 +73,6 @@ def topic_words(places: Column, summary: Column, n: int = 5, kw: int = 8) -> Col
 
 def grounded_queries(lines: DataFrame, n: int = 5) -> DataFrame:
     """lines(line_id, text, query, alt_queries, topic): each query plain and pinned to the topic, distinct, at most n."""
-    from .windows import ordered_distinct
     base = F.filter(F.concat(F.array("query"), F.coalesce("alt_queries", F.array().cast("array<string>")), F.array("text")),
                     lambda q: F.trim(F.coalesce(q, F.lit(""))) != "")
     d = lines.select("line_id", "topic", F.posexplode(base).alias("p", "q"))
