@@ -211,7 +211,8 @@ def relevant(queries: DataFrame, shots: DataFrame, cap: int | None, terms: DataF
              min_score: float = fixed.MIN_SCORE, delta: float = fixed.GATE_DELTA, sim: float = fixed.DEDUPE_SIM,
              window: float = fixed.DEDUPE_WINDOW_S, pool: int = fixed.TOP_POOL) -> DataFrame:
     """Gated, de-duplicated, capped candidates of every query."""
-    c = similarity.dense_topk(queries, shots, pool)
+    extra = fixed.TAG_WEIGHT if terms is not None else 0.0       # a bonus can lift a row by this much before the gate
+    c = similarity.dense_topk(queries, shots, pool, min_score - extra, delta + extra)
     if terms is not None:
         c = hybrid(c, stock, terms)
     return dedupe(filters.gate(c, min_score, delta), shots, sim, window, cap)

@@ -26,22 +26,23 @@ def _matrix(col) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
 
 
-def _best(scores, ids, k):
-    """Order of the k best columns of each row: score descending, then id ascending."""
-    n = scores.shape[1]
-    if n > 4 * k:
-        # everything at least as good as the k-th value, so ties at the edge are settled by id
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        return [sorted_top(np.flatnonzero(scores[r] >= kth[r]), scores[r], ids, k) for r in range(len(scores))]
-    return [sorted_top(np.arange(n), scores[r], ids, k) for r in range(len(scores))]
-
+def _best(scores, ids, k, floor, margin):
+    """Positions of the k best columns of each row, score descending, then id ascending.
 
-def sorted_top(idx, row, ids, k):
-    idx = idx[np.isfinite(row[idx])]
-    return idx[np.lexsort((ids[idx], -row[idx]))[:k]]
+    Columns below `floor`, or more than `margin` below the row's best, are left out.
+    """
+    n = scores.shape[1]
+    cut = np.maximum(floor, scores.max(axis=1) - margin) if n else np.zeros(len(scores))
+    if n > 4 * k:                                       # everything as good as the k-th value: ties are settled by id
+        cut = np.maximum(cut, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+    out = []
+    for row, c in zip(scores, cut):
+        idx = np.flatnonzero((row >= c) & np.isfinite(row))
+        out.append(idx[np.lexsort((ids[idx], -row[idx]))[:k]])
+    return out
 
 
-def _topk_stream(qid, Q, skip, k):
+def _topk_stream(qid, Q, skip, k, floor, margin):
     """mapInPandas body: running k best per query over the batches of one task."""
     def run(batches):
         best_id, best_sc = [np.zeros(0, np.int64)] * len(qid), [np.zeros(0)] * len(qid)
@@ -50,10 +51,13 @@ def _topk_stream(qid, Q, skip, k):
                 continue
             ids, S = b["shot_id"].to_numpy(), Q @ _matrix(b["emb"]).T
             S[skip[:, None] == ids[None, :]] = -np.inf
-            for r, top in enumerate(_best(S, ids, k)):
+            for r, top in enumerate(_best(S, ids, k, floor, margin)):
                 i, s = np.concatenate([best_id[r], ids[top]]), np.concatenate([best_sc[r], S[r, top]])
-                o = np.lexsort((i, -s))[:k]
-                best_id[r], best_sc[r] = i[o], s[o]
+                if len(best_id[r]):
+                    o = np.lexsort((i, -s))[:k]
+                    o = o[s[o] >= s[o[0]] - margin] if len(o) else o
+                    i, s = i[o], s[o]
+                best_id[r], best_sc[r] = i, s
         n = [len(x) for x in best_id]
         if sum(n):
             yield pd.DataFrame({"query_id": np.repeat(qid, n), "shot_id": np.concatenate(best_id),
@@ -61,7 +65,7 @@ def _topk_stream(qid, Q, skip, k):
     return run
 
 
-def _topk_block(k):
+def _topk_block(k, floor, margin):
     def run(_key, q, s):
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": [], "shot_id": [], "score": []}).astype(
@@ -69,7 +73,7 @@ def _topk_block(k):
         qid, ids = q["query_id"].to_numpy(), s["shot_id"].to_numpy()
         S = _matrix(q["qe"]) @ _matrix(s["emb"]).T
         S[q["skip_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        tops = _best(S, ids, k)
+        tops = _best(S, ids, k, floor, margin)
         return pd.DataFrame({"query_id": np.repeat(qid, [len(t) for t in tops]), "shot_id": ids[np.concatenate(tops)],
                              "score": np.concatenate([S[r, t] for r, t in enumerate(tops)])})
     return run
@@ -78,11 +82,12 @@ def _topk_block(k):
 SCORED = "query_id long, shot_id long, score double"
 
 
-def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, block_rows: int = BLOCK_ROWS,
-               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, floor: float = -np.inf, margin: float = np.inf,
+               block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """k best shots per query by dot product, with rank. queries(query_id, qe[, skip_id]); shots(shot_id, emb).
 
-    Apply shot filters to `shots` before calling: they then reach the scan and shrink the product.
+    Apply shot filters to `shots` before calling: they then reach the scan and shrink the product. A caller that gates the
+    result passes the gate's floor and margin (widened by any later bonus): rows that can never pass are then not shuffled.
     """
     if "skip_id" not in queries.columns:
         queries = queries.withColumn("skip_id", F.lit(-1).cast("long"))
@@ -96,7 +101,7 @@ def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, block_rows: i
         sc = s.sparkSession.sparkContext
         held = sc.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64),
                              np.array([r[2] for r in rows], np.int64)))
-        scored = s.mapInPandas(lambda it: _topk_stream(*held.value, k)(it), SCORED)
+        scored = s.mapInPandas(lambda it: _topk_stream(*held.value, k, floor, margin)(it), SCORED)
         if s.rdd.getNumPartitions() > 64:                   # thin out per query in two steps when many tasks report
             part = W.partitionBy("query_id", F.pmod(F.spark_partition_id(), F.lit(64))).orderBy(F.desc("score"), "shot_id")
             scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
@@ -108,7 +113,7 @@ def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, block_rows: i
         sl = s.withColumn("sb", F.pmod(F.xxhash64("shot_id"), F.lit(sb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
         scored = ql.groupBy("qb", "sb").cogroup(
             sl.select(F.col("qb").cast("long"), F.col("sb").cast("long"), "shot_id", "emb").groupBy("qb", "sb")
-        ).applyInPandas(_topk_block(k), SCORED)
+        ).applyInPandas(_topk_block(k, floor, margin), SCORED)
         if sb > 64:
             part = W.partitionBy("query_id", F.pmod(F.xxhash64("shot_id"), F.lit(64))).orderBy(F.desc("score"), "shot_id")
             scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")

@@ -1 +1 @@
-
+"""Whole pipelines composed from the operators."""
