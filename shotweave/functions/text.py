@@ -2,6 +2,7 @@
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .arrays import first_by, let
 
 
 def words_literal(words) -> Column:
@@ -31,19 +32,19 @@ def domain_score(query_tokens: Column, domain_tokens: Column, have: Column) -> C
 
 def keywords(c: Column, n: int = 4) -> Column:
     """The n most telling words of a text, in their original order, joined by blanks."""
-    raw = F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z][A-Za-z']*)"), F.lit(1)))
+    raw = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z][A-Za-z']*)"), F.lit(1))
     stop, tech = words_literal(fixed.STOP_WORDS), words_literal(fixed.TECH_SHORT)
-
-    def describe(w):
-        t = F.regexp_replace(F.regexp_replace(F.lower(w), "'+$", ""), "'(s|t|re|ve|ll|d|m)$", "")
-        short = F.array_contains(tech, t) | ((w == F.upper(w)) & F.length(w).between(2, 5))
-        return F.struct(t.alias("t"), short.alias("short"))
-
-    usable = F.filter(F.transform(raw, describe), lambda x: (F.length(x["t"]) > 0) & ~F.array_contains(stop, x["t"])
-                      & ((F.length(x["t"]) >= 4) | x["short"]))
+    # one hashed pass drops exact repeats and plainly spelled stop words; only odd spellings are looked up one by one
+    raw = F.array_except(raw, words_literal(w for s in fixed.STOP_WORDS for w in {s, s.upper(), s.capitalize()}))
+    bare = lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), "'+$", ""), "'(s|t|re|ve|ll|d|m)$", "")
+    plain = lambda w: ~F.contains(w, F.lit("'")) & ((w == F.lower(w)) | (w == F.upper(w)) | (w == F.initcap(w)))
+    named = F.transform(raw, lambda w: F.struct(F.when(F.contains(w, F.lit("'")), bare(w)).otherwise(F.lower(w)).alias("t"), w.alias("w")))
+    acronym = lambda w: F.length(w).between(2, 5) & (w == F.upper(w))
+    usable = F.filter(named, lambda x: ((F.length(x["t"]) >= 4) | acronym(x["w"]) | ((x["t"] != "") & F.array_contains(tech, x["t"])))
+                      & F.when(plain(x["w"]), F.lit(True)).otherwise(~F.array_contains(stop, x["t"]) & (x["t"] != "")))
+    usable = F.transform(usable, lambda x: F.struct(x["t"].alias("t"), (acronym(x["w"]) | ((F.length(x["t"]) <= 4) & F.array_contains(tech, x["t"]))).alias("short")))
     # one entry per word: the first usable spelling decides its score
-    names = F.transform(usable, lambda x: x["t"])
-    firsts = F.transform(F.array_distinct(names), lambda t: F.element_at(usable, F.array_position(names, t).cast("int")))
+    firsts = first_by(usable, lambda x: x["t"])
     scored = F.transform(firsts, lambda x, i: F.struct(
         (-(F.length(x["t"]) + F.when(x["short"], 4).otherwise(0))).alias("s"), i.alias("i"), x["t"].alias("t")))
     best = F.slice(F.array_sort(scored), 1, n)
@@ -74,16 +75,15 @@ def speech_seconds(c: Column, wpm: float = 150) -> Column:
 
 def two_lines(c: Column, width: int = fixed.CAPTION_WIDTH) -> Column:
     """Break a caption into two lines so that the longer one is as short as possible."""
+    def broken(words):
+        n = F.size(words)
+        part = lambda a, k: F.array_join(F.slice(words, a, F.greatest(k, F.lit(0))), " ")
+        cuts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.struct(
+            F.greatest(F.length(part(F.lit(1), k)), F.length(part(k + 1, n - k))).alias("longest"), k.alias("k")))
+        return F.when(n < 2, c).otherwise(let(F.array_min(cuts)["k"], lambda k: F.concat(part(F.lit(1), k), F.lit("\n"), part(k + 1, n - k))))
+
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.struct(
-        F.greatest(F.length(F.array_join(F.slice(words, F.lit(1), k), " ")),
-                   F.length(F.array_join(F.slice(words, k + 1, F.greatest(n - k, F.lit(0))), " "))).alias("longest"),
-        k.alias("k")))
-    best = F.array_min(cuts)["k"]
-    broken = F.concat(F.array_join(F.slice(words, F.lit(1), best), " "), F.lit("\n"),
-                      F.array_join(F.slice(words, best + 1, F.greatest(n - best, F.lit(0))), " "))
-    return F.when((F.length(c) <= width) | (n < 2), c).otherwise(broken)
+    return F.when(F.length(c) <= width, c).otherwise(let(words, broken))
 
 
 def visual_score(c: Column) -> Column:

@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, text
+from ..functions.arrays import first_by
 from .windows import ordered_distinct, topk
 
 LINES_JSON = ("struct<lines:array<struct<id:string,importance:string,visual:string,role:string,reason:string,query:string,"
@@ -66,9 +67,7 @@ def topic_words(places: Column, summary: Column, n: int = 5, kw: int = 8) -> Col
     """Up to three place names and the summary's telling words, case-insensitively distinct, joined by blanks."""
     words = F.filter(F.split(text.keywords(summary, kw), " "), lambda w: (w != "") & ~F.array_contains(F.lit(fixed.TOPIC_FILLER), w))
     every = F.concat(F.slice(F.coalesce(places, F.array().cast("array<string>")), 1, 3), words)
-    low = F.transform(every, lambda w: F.lower(w))
-    firsts = F.transform(F.array_distinct(low), lambda w: F.element_at(every, F.array_position(low, w).cast("int")))
-    return F.array_join(F.slice(firsts, 1, n), " ")
+    return F.array_join(F.slice(first_by(every, F.lower), 1, n), " ")
 
 
 def grounded_queries(lines: DataFrame, n: int = 5) -> DataFrame:

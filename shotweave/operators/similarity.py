@@ -20,6 +20,7 @@ from .. import session
 BROADCAST_BYTES = 64 << 20      # largest query matrix sent to every executor
 BROADCAST_ENTRIES = 4_000_000   # largest queries x k table a task keeps
 BLOCK_ROWS = 8192               # rows of one side in one block
+PRODUCT_ENTRIES = 2_000_000     # entries of one slice of a matrix product
 
 
 def _matrix(col) -> np.ndarray:
@@ -42,6 +43,16 @@ def _best(scores, ids, k, floor, margin):
     return out
 
 
+def _best_rows(Q, skip, ids, X, k, floor, margin):
+    """(query position, ids, scores) of the best columns, computed in slices so that no product exceeds PRODUCT_ENTRIES."""
+    step = max(1, PRODUCT_ENTRIES // max(len(X), 1))
+    for q0 in range(0, len(Q), step):
+        S = Q[q0:q0 + step] @ X.T
+        S[skip[q0:q0 + step, None] == ids[None, :]] = -np.inf
+        for r, top in enumerate(_best(S, ids, k, floor, margin)):
+            yield q0 + r, ids[top], S[r, top]
+
+
 def _topk_stream(qid, Q, skip, k, floor, margin):
     """mapInPandas body: running k best per query over the batches of one task."""
     def run(batches):
@@ -49,10 +60,9 @@ def _topk_stream(qid, Q, skip, k, floor, margin):
         for b in batches:
             if not len(b):
                 continue
-            ids, S = b["shot_id"].to_numpy(), Q @ _matrix(b["emb"]).T
-            S[skip[:, None] == ids[None, :]] = -np.inf
-            for r, top in enumerate(_best(S, ids, k, floor, margin)):
-                i, s = np.concatenate([best_id[r], ids[top]]), np.concatenate([best_sc[r], S[r, top]])
+            ids, X = b["shot_id"].to_numpy(), _matrix(b["emb"])
+            for r, top, val in _best_rows(Q, skip, ids, X, k, floor, margin):
+                i, s = np.concatenate([best_id[r], top]), np.concatenate([best_sc[r], val])
                 if len(best_id[r]):
                     o = np.lexsort((i, -s))[:k]
                     o = o[s[o] >= s[o[0]] - margin] if len(o) else o
@@ -71,11 +81,9 @@ def _topk_block(k, floor, margin):
             return pd.DataFrame({"query_id": [], "shot_id": [], "score": []}).astype(
                 {"query_id": "int64", "shot_id": "int64", "score": "float64"})
         qid, ids = q["query_id"].to_numpy(), s["shot_id"].to_numpy()
-        S = _matrix(q["qe"]) @ _matrix(s["emb"]).T
-        S[q["skip_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        tops = _best(S, ids, k, floor, margin)
-        return pd.DataFrame({"query_id": np.repeat(qid, [len(t) for t in tops]), "shot_id": ids[np.concatenate(tops)],
-                             "score": np.concatenate([S[r, t] for r, t in enumerate(tops)])})
+        got = list(_best_rows(_matrix(q["qe"]), q["skip_id"].to_numpy(), ids, _matrix(s["emb"]), k, floor, margin))
+        return pd.DataFrame({"query_id": np.repeat(qid, [len(t) for _, t, _ in got]), "shot_id": np.concatenate([t for _, t, _ in got]),
+                             "score": np.concatenate([v for _, _, v in got])})
     return run
 
 
@@ -160,18 +168,23 @@ def _pair_block(sim, mode, before, same):
     def run(_key, a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "cos": []}).astype({"id": "int64", "other": "int64", "cos": "float64"})
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        S = _matrix(a["emb"]) @ _matrix(b["emb"]).T
-        hit = S > sim
-        if same:
-            hit &= ia[:, None] != ib[None, :]
-        if before:
-            hit &= b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[:, None]
-        if mode == "exists":
-            r = np.flatnonzero(hit.any(axis=1))
-            return pd.DataFrame({"id": ia[r], "other": np.full(len(r), -1, np.int64), "cos": np.zeros(len(r))})
-        r, c = np.nonzero(hit)
-        return pd.DataFrame({"id": ia[r], "other": ib[c], "cos": S[r, c]})
+        ia, ib, A, B = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["emb"]), _matrix(b["emb"])
+        out, step = [], max(1, PRODUCT_ENTRIES // len(ib))
+        for r0 in range(0, len(ia), step):
+            i = ia[r0:r0 + step]
+            S = A[r0:r0 + step] @ B.T
+            hit = S > sim
+            if same:
+                hit &= i[:, None] != ib[None, :]
+            if before:
+                hit &= b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[r0:r0 + step, None]
+            if mode == "exists":
+                r = np.flatnonzero(hit.any(axis=1))
+                out.append(pd.DataFrame({"id": i[r], "other": np.full(len(r), -1, np.int64), "cos": np.zeros(len(r))}))
+            else:
+                r, c = np.nonzero(hit)
+                out.append(pd.DataFrame({"id": i[r], "other": ib[c], "cos": S[r, c]}))
+        return pd.concat(out)
     return run
 
 
