@@ -75,8 +75,8 @@ def vocab(spark, d) -> DataFrame:
 
 
 SQL_UNIT_MEAN = """
-{name}_sum AS (SELECT {key} AS word, pos, sum(x) AS x FROM (
-    SELECT {key}, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2),
+{name}_sum AS (SELECT word, pos, sum(x) AS x FROM (
+    SELECT {key} AS word, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2),
 {name}_norm AS (SELECT word, sqrt(sum(x * x)) AS n FROM {name}_sum GROUP BY 1),
 {name} AS (SELECT s.word, list(s.x / n.n ORDER BY pos) AS emb FROM {name}_sum s JOIN {name}_norm n USING (word) GROUP BY 1)"""
 VOCAB = SQL_UNIT_MEAN.format(name="vocab", key="'concept ' || lpad((label * 5 + vec_id % 5)::VARCHAR, 2, '0')")

@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 import importlib
 
-NAMES = ["language", "catalogue", "similar"]
+NAMES = ["language", "catalogue", "similar", "claims"]
 
 
 def load():
