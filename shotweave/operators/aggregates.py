@@ -138,8 +138,9 @@ def balanced_accuracy(scores: DataFrame, label: str = "y", score: str = "score",
     per = scores.groupBy(F.col(score).alias("thr")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
     per = per.withColumns({"k": F.lit(1), "neg": -F.col("thr")})
     cum = running(per, "k", F.floor(F.col("neg") / step), ["neg"], tp=("sum", F.col("p")), pn=("sum", F.col("n")))
-    tot = per.groupBy("k").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    bal = (F.col("tp") / F.col("P") + (F.col("N") - F.col("P") - (F.col("pn") - F.col("tp"))) / (F.col("N") - F.col("P"))) / 2
+    tot = per.groupBy("k").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    P, N = F.col("all_p"), F.col("all_n")
+    bal = (F.col("tp") / P + (N - P - (F.col("pn") - F.col("tp"))) / (N - P)) / 2
     # of equal accuracies the lowest threshold is reported
     return cum.join(F.broadcast(tot), "k").withColumn("bal", F.round(bal, 12)).groupBy("k").agg(
         F.max("bal").alias("accuracy"), F.max_by("thr", F.struct("bal", "neg")).alias("threshold")).drop("k")

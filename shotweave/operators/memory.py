@@ -28,9 +28,9 @@ def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
 def best_overlap_shot(placements: DataFrame, shots: DataFrame, slack: float = 1.0) -> DataFrame:
     """placements(p_id, file_id, src_in, src_out): the shot of the file with the most overlap; gaps below `slack` s still count."""
     p = placements.select("p_id", "file_id", "src_in", "src_out", (F.col("src_in") - slack).alias("__lo"), (F.col("src_out") + slack).alias("__hi"))
-    s = shots.select("file_id", "shot_id", F.col("t_start").alias("__a"), F.col("t_end").alias("__b"))
-    j = interval_pairs(p, s, "file_id", "__lo", "__hi", "__a", "__b", 60.0)
-    ov = F.least("__b", "src_out") - F.greatest("__a", "src_in")
+    s = shots.select("file_id", "shot_id", F.col("t_start").alias("__a"), F.col("t_end").alias("__e"))
+    j = interval_pairs(p, s, "file_id", "__lo", "__hi", "__a", "__e", 60.0)
+    ov = F.least("__e", "src_out") - F.greatest("__a", "src_in")
     return (j.withColumn("overlap", ov).where(F.col("overlap") > -slack).groupBy("p_id")
             .agg(F.max_by(F.struct("shot_id", "overlap"), F.struct("overlap", -F.col("shot_id"))).alias("r")).select("p_id", "r.*"))
 

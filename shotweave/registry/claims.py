@@ -161,7 +161,7 @@ def contradictions_per_order(spark, d):
 @query("place_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, p AS status, CASE WHEN p = 'bad' THEN CASE WHEN ev = 1 THEN sreg ELSE snat END END AS shown FROM place")
 def place_checks(spark, d):
     c = claim_pairs(spark, d).withColumn("c", truth.check_place())
-    return c.select("l_orderkey", "l_linenumber", "l_partkey", "c.status", F.when(F.col("c.status") == "bad", F.regexp_extract("c.evidence", r"^Shows (\S+) ", 1)).alias("shown"))
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", "c.status", F.when(F.col("c.status") == "bad", F.regexp_extract("c.evidence", r"^Shows (.+?) \(", 1)).alias("shown"))
 
 
 @query("time_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, t AS status, CASE WHEN t = 'warn' THEN 'FILE · ' || year(ship) END AS label FROM times")

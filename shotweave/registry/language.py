@@ -210,9 +210,9 @@ hint AS (SELECT label, list(x / n ORDER BY pos) AS h FROM (
    SELECT label, pos, x, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM (
      SELECT label, pos, sum(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2)) GROUP BY 1),
 v AS (SELECT shot_id, emb, CASE WHEN file_id % 2 = 0 THEN [emb[i] + 0.3::DOUBLE * h[i] FOR i IN range(1, len(emb) + 1)] END AS m FROM shots JOIN hint ON label = file_id),
-w AS (SELECT shot_id, emb, m IS NULL AS plain, coalesce(m, emb) AS m FROM v)
-SELECT shot_id, round(sqrt(list_inner_product(emb, emb)), 4) AS norm, round(CASE WHEN plain THEN m[1] ELSE m[1] / sqrt(list_inner_product(m, m)) END, 4) AS x1,
-       round(list_inner_product(m, emb) / sqrt(list_inner_product(m, m)), 4) AS cos FROM w""")
+w AS (SELECT shot_id, emb, m IS NULL AS plain, coalesce(m, emb) AS m FROM v),
+u AS (SELECT shot_id, emb, m, plain, list_sum([x * x FOR x IN m]) AS mm, list_sum([m[i] * emb[i] FOR i IN range(1, len(emb) + 1)]) AS me FROM w)
+SELECT shot_id, round(sqrt(list_inner_product(emb, emb)), 4) AS norm, round(CASE WHEN plain THEN m[1] ELSE m[1] / sqrt(mm) END, 4) AS x1, round(me / sqrt(mm), 4) AS cos FROM u""")
 def vector_norms_and_blend(spark, d):
     from ..operators.aggregates import mean_embedding
     s = b.shots(spark, d)

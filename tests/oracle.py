@@ -42,7 +42,8 @@ def compare(spark, con, d, fn, sql, show=3):
     want = sorted((tuple(norm(r[i]) for i in ix) for r in cur.fetchall()), key=repr)
     if got == want:
         return None, len(got), t1 - t0
-    a, b = [g for g in got if g not in set(want)][:show], [w for w in want if w not in set(got)][:show]
+    sg, sw = set(got), set(want)
+    a, b = [g for g in got if g not in sw][:show], [w for w in want if w not in sg][:show]
     return f"{len(got)} vs {len(want)} rows\n   cols {cols}\n   spark only {a}\n   sql only   {b}", len(got), t1 - t0
 
 
