@@ -1,7 +1,5 @@
 """Range joins as equi-joins on time bins: no pair is formed that does not share a bin."""
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .ordered import running
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def _bins(lo: Column, hi: Column, width: float) -> Column:
@@ -30,22 +28,28 @@ def nearest(left: DataFrame, right: DataFrame, on, lt: str, rt: str, value: str,
     Adds `near_t` and `near_value`; null when the key has no right row or none within max_dt.
     """
     on = [on] if isinstance(on, str) else list(on)
-    l = left.withColumn("__id", F.monotonically_increasing_id()) if "__id" not in left.columns else left
     cols = [c for c in left.columns if c not in on]
-    a = l.select(*on, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*cols).alias("__row"),
+    a = left.select(*on, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*cols).alias("__row"),
                  F.lit(None).cast(f"struct<t:double,v:{right.schema[value].dataType.simpleString()}>").alias("__r"))
     b = right.select(*on, F.col(rt).alias("__t"), F.lit(0).alias("__side"),
                      F.lit(None).cast(a.schema["__row"].dataType).alias("__row"),
                      F.struct(F.col(rt).cast("double").alias("t"), F.col(value).alias("v")).alias("__r"))
     # among right rows with equal time the smallest value wins in both directions
     b = b.groupBy(*on, "__t", "__side").agg(F.min("__row").alias("__row"), F.min("__r").alias("__r"))
-    u = a.unionByName(b)
-    fwd = running(u, on, F.floor(F.col("__t") / chunk_s), ["__t", "__side"], prev=("last", F.col("__r")))
-    back = running(fwd.withColumn("__nt", -F.col("__t")), on, F.floor(-F.col("__t") / chunk_s), ["__nt", "__side"],
-                   next=("last", F.col("__r")))
+    u = a.unionByName(b).withColumn("__c", F.floor(F.col("__t") / chunk_s))
+    inside = W.partitionBy(*on, "__c").orderBy("__t", "__side")
+    prev = F.last("__r", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    nxt = F.first("__r", ignorenulls=True).over(inside.rowsBetween(W.currentRow, W.unboundedFollowing))
+    ends = b.groupBy(*on, F.floor(F.col("__t") / chunk_s).alias("__c")).agg(F.max_by("__r", "__t").alias("__last"), F.min_by("__r", "__t").alias("__first"))
+    ends = u.select(*on, "__c").distinct().join(ends, [*on, "__c"], "left")
+    across = W.partitionBy(*on).orderBy("__c")
+    ends = ends.select(*on, "__c", F.last("__last", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__pl"),
+                       F.first("__first", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__nf"))
+    back = (u.withColumns({"prev": prev, "next": nxt}).where("__side = 1").join(ends, [*on, "__c"])
+            .withColumns({"prev": F.coalesce("prev", "__pl"), "next": F.coalesce("next", "__nf")}))
     dp, dn = F.col("__t") - F.col("prev.t"), F.col("next.t") - F.col("__t")
     pick = F.when(F.col("prev").isNotNull() & (F.col("next").isNull() | (dp <= dn)), F.col("prev")).otherwise(F.col("next"))
-    out = back.where("__side = 1").withColumn("__p", pick)
+    out = back.withColumn("__p", pick)
     if max_dt is not None:
         out = out.withColumn("__p", F.when(F.abs(F.col("__p.t") - F.col("__t")) <= max_dt, F.col("__p")))
     return out.select(*on, "__row.*", F.col("__p.t").alias("near_t"), F.col("__p.v").alias("near_value"))

@@ -124,15 +124,17 @@ beat_vectors AS (SELECT b.beat_id, e.embedding::DOUBLE[] AS qe, e.vec_id AS skip
 
 def segments(spark, d) -> DataFrame:
     """Transcript: a segment per sentence, 0.4 s a word, a pause of 0.1 to 0.9 s after each."""
-    from ..operators.ordered import running
-    s = scripts(spark, d).select(F.col("script_id").alias("video_id"), F.posexplode(text.sentences(F.col("text"))).alias("seg_id", "text"))
-    s = s.withColumn("seg_id", F.col("seg_id").cast("long"))
-    s = s.withColumns({"n": text.word_count(F.col("text")), "pause": ((F.col("seg_id") % 5) * 2 + 1) / 10.0})
-    r = running(s, "video_id", F.floor(F.col("seg_id") / 4096), ["seg_id"], w=("sum", F.col("n")), g=("sum", (F.col("seg_id") % 5) * 2 + 1))
-    # whole tenths of a second: words are 4 tenths, so times are exact in both engines
-    start = ((F.col("w") - F.col("n")) * 4 + F.col("g") - ((F.col("seg_id") % 5) * 2 + 1)) / 10.0
-    return r.select("video_id", "seg_id", start.alias("start"), (F.round(start * 10) / 10.0 + F.col("n") * 0.4).alias("end0"), "text", "n") \
-        .select("video_id", "seg_id", "start", (F.round(F.col("end0") * 10) / 10.0).alias("end"), "text", "n")
+    # a turn is one row, so start times are running sums inside its sentence array; whole tenths keep times exact
+    def step(acc, x):
+        at = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["next"])
+        k = F.size(acc)
+        n = text.word_count(x)
+        return F.concat(acc, F.array(F.struct(at.alias("at"), (at + n * 4 + (k % 5) * 2 + 1).alias("next"), n.alias("n"), x.alias("text"))))
+
+    acc = F.aggregate(text.sentences(F.col("text")), F.array().cast("array<struct<at:int,next:int,n:int,text:string>>"), step)
+    s = scripts(spark, d).select(F.col("script_id").alias("video_id"), F.posexplode(acc).alias("seg_id", "x"))
+    return s.select("video_id", F.col("seg_id").cast("long").alias("seg_id"), (F.col("x.at") / 10.0).alias("start"),
+                    ((F.col("x.at") + F.col("x.n") * 4) / 10.0).alias("end"), F.col("x.text").alias("text"), F.col("x.n").alias("n"))
 
 
 SEGMENTS = SENTENCES + f""",

@@ -131,11 +131,11 @@ def repaired_overlaps(spark, d):
 
 @query("script_alignment", b.with_sql(*TRANSCRIPT) + r""",
 s AS (SELECT *, greatest(n, 1) AS m FROM segments), r AS (SELECT *, sum(m) OVER (PARTITION BY video_id ORDER BY start, seg_id) AS upto, sum(m) OVER (PARTITION BY video_id) AS tw FROM s),
-t AS (SELECT video_id, seg_id, r.text, upto, m, tw, list_filter(regexp_split_to_array(upper(o.text), '\s+'), lambda x: x <> '')[4:] AS sw FROM r JOIN scripts o ON o.script_id = video_id),
+t AS (SELECT video_id, seg_id, r.text, upto, m, tw, list_filter(regexp_split_to_array(lower(o.text), '\s+'), lambda x: x <> '')[4:] AS sw FROM r JOIN scripts o ON o.script_id = video_id),
 i AS (SELECT *, round_even((upto - m) / tw::DOUBLE * len(sw), 0)::INT AS a, round_even(upto / tw::DOUBLE * len(sw), 0)::INT AS z FROM t)
 SELECT video_id, seg_id, CASE WHEN len(sw) > 0 THEN coalesce(nullif(array_to_string(sw[a + 1:greatest(z, a + 1)], ' '), ''), text) ELSE text END AS said FROM i""")
 def script_alignment(spark, d):
-    w = F.filter(F.split(F.upper("text"), r"\s+"), lambda x: x != "")
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     sc = b.scripts(spark, d).select(F.col("script_id").alias("video_id"), F.array_join(F.slice(w, F.lit(4), F.greatest(F.size(w) - 3, F.lit(0))), " ").alias("script"))
     return spots.align_script(b.segments(spark, d).select("video_id", "seg_id", "start", "text"), sc).select("video_id", "seg_id", F.col("text").alias("said"))
 
@@ -187,10 +187,10 @@ t AS (SELECT script_id, sum(dur)::DOUBLE AS total, count(*) AS n FROM beats GROU
 k AS (SELECT *, CASE WHEN total > 21 AND greatest(2, least(n, 8)) < n THEN greatest(2, least(n, 8)) ELSE n END::INT AS k FROM t),
 idx AS (SELECT DISTINCT script_id, CASE WHEN k > 1 THEN round_even(j * (n - 1) / (k - 1)::DOUBLE, 0)::BIGINT ELSE 0 END AS i FROM (SELECT *, unnest(range(k)) AS j FROM k)),
 s AS (SELECT b.script_id, b.i, b.text, b.dur::DOUBLE AS dur, least(20 / sum(b.dur::DOUBLE) OVER (PARTITION BY b.script_id), 1.6) AS sc FROM beats b JOIN idx USING (script_id, i))
-SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY i) - 1 AS i, text, round(greatest(1.5, dur * sc), 1) AS dur FROM s""")
+SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY i) - 1 AS i, text, round_even(greatest(1.5, dur * sc), 2)::DOUBLE AS dur FROM s""")
 def condensed_scripts(spark, d):
     f = windows.fit_to_target(b.beats(spark, d), 20.0)
-    return f.select("script_id", F.col("i").cast("long").alias("i"), "text", F.round("dur", 1).alias("dur"))
+    return f.select("script_id", F.col("i").cast("long").alias("i"), "text", "dur")
 
 
 @query("in_point_windows", b.with_sql(*TRANSCRIPT) + """,
@@ -205,11 +205,11 @@ def in_point_windows(spark, d):
 @query("chosen_in_points", b.with_sql(*TRANSCRIPT) + """,
 r AS (SELECT video_id * 1000 + seg_id AS slot_id, seg_id, 4.0 + seg_id % 9 - least("end" - start, 5.0) AS room FROM segments),
 n AS (SELECT *, greatest(2, least(5, floor(room / 0.8::DOUBLE)::INT + 1)) AS n FROM r)
-SELECT slot_id, round(CASE WHEN room >= 0.8 AND seg_id % 4 < n THEN (seg_id % 4) * room / (n - 1) ELSE 1.5 END, 1) AS trim_in, room >= 0.8 AND seg_id % 4 < n AS fits FROM n""")
+SELECT slot_id, round_even((CASE WHEN room >= 0.8 AND seg_id % 4 < n THEN (seg_id % 4) * room / (n - 1) ELSE 1.5 END)::DOUBLE, 2)::DOUBLE AS trim_in, room >= 0.8 AND seg_id % 4 < n AS fits FROM n""")
 def chosen_in_points(spark, d):
     s = b.segments(spark, d).select((F.col("video_id") * 1000 + F.col("seg_id")).alias("slot_id"), "seg_id", F.lit(0.0).alias("start"), F.least(F.col("end") - F.col("start"), F.lit(5.0)).alias("end"), (4.0 + F.col("seg_id") % 9).alias("file_duration"))
     v = s.select("slot_id", F.element_at(F.lit(["a", "B", "c", "D"]), (F.col("seg_id") % 4 + 1).cast("int")).alias("letter"))
-    return spots.choose_inpoint(spots.inpoint_windows(s), v, s.select("slot_id", F.lit(1.5).alias("trim_in"))).withColumn("trim_in", F.round("trim_in", 1))
+    return spots.choose_inpoint(spots.inpoint_windows(s), v, s.select("slot_id", F.lit(1.5).alias("trim_in")))
 
 
 @query("project_queries", b.with_sql(*TRANSCRIPT) + """,
