@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 import importlib
 
-NAMES = ["language", "catalogue", "similar", "claims", "sequences", "edits", "spotting", "ranking"]
+NAMES = ["language", "catalogue", "similar", "claims", "sequences", "edits", "spotting", "ranking", "flows"]
 
 
 def load():

@@ -31,3 +31,10 @@ def local_session(cores: str = "*", app: str = "shotweave") -> SparkSession:
             .config("spark.ui.enabled", "false")
             .config("spark.driver.memory", "8g")
             .getOrCreate())
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables: below the cluster's checkpoint folder, a local one only where that is unset."""
+    import uuid
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
