@@ -159,9 +159,9 @@ def progress_counts(spark, d):
     return jobs.progress_counts(b.table(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("user_id") % 3).cast("string").alias("status")))
 
 
-@query("streamed_shot_segments")
+@query("streamed_shot_segments", b.with_sql(SEGMENTS) + "SELECT file_id, t_start, t_end, n FROM shot")
 def streamed_shot_segments(spark, d):
-    """Closed shots of the sample stream; the open shot of each file waits for its timer."""
+    """Shots of the sample stream; the last open shot of each file is flushed by its timer."""
     folder = work_folder(spark, "samples")
     samples(spark, d).select("file_id", "t", "emb").write.parquet(folder)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -109,7 +109,7 @@ def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float =
             self.handle = handle
             self.state = handle.getValueState("open", "t0 double, t1 double, total array<double>, last array<double>, n long")
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             open_ = self.state.get() if self.state.exists() else None
             cur = None if open_ is None else [open_[0], open_[1], np.array(open_[2]), np.array(open_[3]), open_[4]]
             out = []
@@ -122,10 +122,10 @@ def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float =
             self.state.update((float(cur[0]), float(cur[1]), cur[2].tolist(), cur[3].tolist(), int(cur[4])))
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + flush_after_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + flush_after_ms)
             yield pd.DataFrame(out, columns=["file_id", "t_start", "t_end", "emb", "n"])
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             if self.state.exists():
                 s = self.state.get()
                 self.state.clear()
