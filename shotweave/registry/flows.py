@@ -161,11 +161,13 @@ def progress_counts(spark, d):
 
 @query("streamed_shot_segments", b.with_sql(SEGMENTS) + "SELECT file_id, t_start, t_end, n FROM shot")
 def streamed_shot_segments(spark, d):
-    """Shots of the sample stream; the last open shot of each file is flushed by its timer."""
+    """Shots of the sample stream; the final sample of a file closes its open shot."""
     folder = work_folder(spark, "samples")
-    samples(spark, d).select("file_id", "t", "emb").write.parquet(folder)
+    x = samples(spark, d).select("file_id", "t", "emb")
+    end = x.groupBy("file_id").agg(F.max("t").alias("end"))
+    x.join(end, "file_id").select("file_id", "t", "emb", (F.col("t") == F.col("end")).alias("last")).write.parquet(folder)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema("file_id long, t double, emb array<double>").parquet(folder)
+    stream = spark.readStream.schema("file_id long, t double, emb array<double>, last boolean").parquet(folder)
     target = work_folder(spark, "segments")
     (segment.segment_stream(stream, 0.0).writeStream.outputMode("append").option("checkpointLocation", work_folder(spark, "segments-state"))
      .trigger(availableNow=True).format("parquet").start(target).awaitTermination())

@@ -226,12 +226,12 @@ def fit_deficits(spark, d):
 
 
 @query("rescued_slots", """
-WITH s AS (SELECT user_id AS video_id, event_id AS slot_id, value AS importance, CASE WHEN value > 95 THEN event_id END AS shot_id FROM events),
+WITH s AS (SELECT user_id AS video_id, event_id AS slot_id, value AS importance, CASE WHEN value > 200 THEN event_id END AS shot_id FROM events),
 e AS (SELECT video_id, arg_max(slot_id, (importance * 100)::BIGINT * 10000000 - slot_id) AS slot_id FROM s GROUP BY 1 HAVING count(shot_id) = 0)
 SELECT video_id, slot_id, CASE WHEN slot_id % 2 = 0 THEN slot_id + 3 WHEN slot_id % 3 = 0 THEN slot_id + 2 ELSE slot_id + 1 END AS shot_id, slot_id % 2 <> 0 AS low_confidence FROM e""")
 def rescued_slots(spark, d):
     e = b.table(spark, d, "events")
-    s = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("slot_id"), F.col("value").alias("importance"), F.when(F.col("value") > 95, F.col("event_id")).alias("shot_id"))
+    s = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("slot_id"), F.col("value").alias("importance"), F.when(F.col("value") > 200, F.col("event_id")).alias("shot_id"))
     k = F.col("event_id")
     c = e.select(k.alias("slot_id"), F.explode(F.array(*[F.struct((k + i).alias("shot_id"), F.lit(i).alias("place"), F.when((k % 2 == 0) & F.lit(i == 3), 0).alias("verdict_pos"), ((k % 3 == 0) & F.lit(i == 1)).alias("wrong")) for i in (1, 2, 3)])).alias("x")).select("slot_id", "x.*")
     return search_plan.rescue(s, c)

@@ -184,12 +184,12 @@ def caption_chunks(spark, d):
 
 @query("condensed_scripts", b.with_sql(b.BEATS) + """,
 t AS (SELECT script_id, sum(dur)::DOUBLE AS total, count(*) AS n FROM beats GROUP BY 1),
-k AS (SELECT *, CASE WHEN total > 21 AND greatest(2, least(n, 8)) < n THEN greatest(2, least(n, 8)) ELSE n END::INT AS k FROM t),
+k AS (SELECT *, CASE WHEN total > 19.7137::DOUBLE * 1.05::DOUBLE AND greatest(2, least(n, 7)) < n THEN greatest(2, least(n, 7)) ELSE n END::INT AS k FROM t),
 idx AS (SELECT DISTINCT script_id, CASE WHEN k > 1 THEN round_even(j * (n - 1) / (k - 1)::DOUBLE, 0)::BIGINT ELSE 0 END AS i FROM (SELECT *, unnest(range(k)) AS j FROM k)),
-s AS (SELECT b.script_id, b.i, b.text, b.dur::DOUBLE AS dur, least(20 / sum(b.dur::DOUBLE) OVER (PARTITION BY b.script_id), 1.6) AS sc FROM beats b JOIN idx USING (script_id, i))
+s AS (SELECT b.script_id, b.i, b.text, b.dur::DOUBLE AS dur, least(19.7137::DOUBLE / sum(b.dur::DOUBLE) OVER (PARTITION BY b.script_id), 1.6) AS sc FROM beats b JOIN idx USING (script_id, i))
 SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY i) - 1 AS i, text, round_even(greatest(1.5, dur * sc), 2)::DOUBLE AS dur FROM s""")
 def condensed_scripts(spark, d):
-    f = windows.fit_to_target(b.beats(spark, d), 20.0)
+    f = windows.fit_to_target(b.beats(spark, d), 19.7137)
     return f.select("script_id", F.col("i").cast("long").alias("i"), "text", "dur")
 
 

@@ -100,13 +100,15 @@ def picture_cuts(hist: DataFrame, thr: float = 0.45, min_shot: float = 0.8) -> D
     return c.groupBy("video_id", "run").applyInPandas(keep, f"video_id {vt}, cut double")
 
 
-def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float = 4.0, step: float = 1.0, flush_after_ms: int = 60_000) -> DataFrame:
-    """Streaming segmentation: the open shot of every file is keyed state; a silent file's open shot is flushed by a timer."""
+def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float = 4.0, step: float = 1.0) -> DataFrame:
+    """Streaming segmentation: the open shot of every file is keyed state; the file's final sample (last = true) closes it.
+
+    samples(file_id, t, emb, last). No timers: in processing-time mode an availableNow run would never end.
+    """
     from pyspark.sql.streaming import StatefulProcessor
 
     class OpenShot(StatefulProcessor):
         def init(self, handle):
-            self.handle = handle
             self.state = handle.getValueState("open", "t0 double, t1 double, total array<double>, last array<double>, n long")
 
         def handleInputRows(self, key, rows, timerValues):
@@ -114,23 +116,20 @@ def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float =
             cur = None if open_ is None else [open_[0], open_[1], np.array(open_[2]), np.array(open_[3]), open_[4]]
             out = []
             p = pd.concat(list(rows)).sort_values("t")
-            for t, e in zip(p["t"].to_numpy(), p["emb"].to_numpy()):
+            for t, e, last in zip(p["t"].to_numpy(), p["emb"].to_numpy(), p["last"].to_numpy()):
                 if cur is not None and (float(cur[3] @ e) < cut_sim or t - cur[0] >= window_s):
                     out.append(_close(key[0], (cur[0], cur[1]), cur[2], cur[4], step))
                     cur = None
                 cur = [t, t, e.copy(), e, 1] if cur is None else [cur[0], t, cur[2] + e, e, cur[4] + 1]
-            self.state.update((float(cur[0]), float(cur[1]), cur[2].tolist(), cur[3].tolist(), int(cur[4])))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + flush_after_ms)
-            yield pd.DataFrame(out, columns=["file_id", "t_start", "t_end", "emb", "n"])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.state.exists():
-                s = self.state.get()
+                if last:
+                    out.append(_close(key[0], (cur[0], cur[1]), cur[2], cur[4], step))
+                    cur = None
+            if cur is None:
                 self.state.clear()
-                yield pd.DataFrame([_close(key[0], (s[0], s[1]), np.array(s[2]), s[4], step)])
+            else:
+                self.state.update((float(cur[0]), float(cur[1]), cur[2].tolist(), cur[3].tolist(), int(cur[4])))
+            yield pd.DataFrame(out, columns=["file_id", "t_start", "t_end", "emb", "n"])
 
         def close(self):
             pass
-    return samples.groupBy("file_id").transformWithStateInPandas(OpenShot(), SHOT, "Append", "ProcessingTime")
+    return samples.groupBy("file_id").transformWithStateInPandas(OpenShot(), SHOT, "Append", "None")
