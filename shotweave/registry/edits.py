@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import aggregates, cuts, filters, memory, ranges, similarity, truth, windows
+from ..operators import memory, similarity, truth
 from ..plans import plan as plans
 from . import bindings as b
 from .base import query

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vector
-from ..operators import aggregates, tables
+from ..operators import aggregates
 from ..operators.ordered import rank_in_key
 from ..session import work_folder
 from ..streaming import jobs, segment

@@ -1,8 +1,8 @@
 """Cuts, sequences, plans and their evaluation."""
 from pyspark.sql import functions as F
 
-from ..functions import fixed, media, text
-from ..operators import aggregates, cuts, filters, memory, retrieval, similarity, timeline, truth, windows
+from ..functions import fixed, media
+from ..operators import aggregates, cuts, memory, similarity, timeline, truth, windows
 from ..plans import plan as plans
 from ..session import cut_lineage
 from . import bindings as b
@@ -206,49 +206,51 @@ def timeline_layout(spark, d):
 
 
 # ------------------------------------------------------------------------------------------ whole plans
-def make_plan(spark, d, use_truth=True, use_cuts=True, use_memory=True, **opts):
+def plan_inputs(spark, d):
+    """Everything a plan reads, worked out once: claims per beat, evidence per shot, vectors, features, lessons."""
     from .edits import lesson_pairs, past_lines
-    beats, s, g = b.beats(spark, d), b.shots(spark, d), b.gazetteer(spark, d)
-    a = truth.alias_array(g)
-    claims = truth.inherit_places(truth.extract_claims(beats, a)).drop("script_id", "i", "text", "dur")
-    facts = s.select("shot_id", F.lit(None).cast("double").alias("gps_lat"), F.lit(None).cast("double").alias("gps_lon"), F.lit(None).cast("string").alias("ocr_text"), "title", "tags",
+    s = cut_lineage(b.shots(spark, d))
+    beats = cut_lineage(b.beats(spark, d))
+    a = truth.alias_array(b.gazetteer(spark, d))
+    claims = cut_lineage(truth.inherit_places(truth.extract_claims(beats, a)).drop("text", "dur"))
+    none = F.lit(None)
+    facts = s.select("shot_id", none.cast("double").alias("gps_lat"), none.cast("double").alias("gps_lon"), none.cast("string").alias("ocr_text"), "title", "tags",
                      F.concat((2000 + F.col("shot_id") % 25).cast("string"), F.lit("-06")).alias("shot_date"), b.pick(["meta", "recorded", "upload", "unknown"], F.col("shot_id")).alias("date_source"),
                      "weather", "weather_conf", "source")
-    evidence = truth.place_evidence(facts, a).drop("gps_lat", "gps_lon", "ocr_text", "title", "tags")
-    vectors = b.beat_vectors(spark, d)
-    pairs = lesson_pairs(spark, d)
-    boost = lambda pairs_: memory.memory_boost(vectors.select(F.col("beat_id").alias("line_id"), F.col("qe").alias("emb")), past_lines(spark, d), pairs, pairs_, s, 0.35, 0.45)
-    style = memory.house_style(pairs.withColumnRenamed("text_id", "project"), s)
-    return plans.plan(beats, vectors, s, cut_features(spark, d), claims, evidence, boost, style, "2024-06-01", use_truth, use_cuts, use_memory, **FUNNEL, **opts)
+    evidence = cut_lineage(truth.place_evidence(facts, a).drop("gps_lat", "gps_lon", "ocr_text", "title", "tags"))
+    pairs = cut_lineage(lesson_pairs(spark, d))
+    return {"shots": s, "beats": beats, "claims": claims, "evidence": evidence, "vectors": cut_lineage(b.beat_vectors(spark, d)), "features": cut_features(spark, d), "pairs": pairs,
+            "past": cut_lineage(past_lines(spark, d)), "style": cut_lineage(memory.house_style(pairs.withColumnRenamed("text_id", "project"), s))}
 
 
-def judge_slots(spark, d):
+def make_plan(x, use_truth=True, use_cuts=True, use_memory=True, **opts):
+    boost = lambda pairs: memory.memory_boost(x["vectors"].select(F.col("beat_id").alias("line_id"), F.col("qe").alias("emb")), x["past"], x["pairs"], pairs, x["shots"], 0.35, 0.45)
+    return plans.plan(x["beats"], x["vectors"], x["shots"], x["features"], x["claims"].drop("script_id", "i"), x["evidence"], boost, x["style"], "2024-06-01",
+                      use_truth, use_cuts, use_memory, **FUNNEL, **opts)
+
+
+def judge_slots(x):
     """Contradictions of chosen shots, judged the same way for every configuration."""
-    g = b.gazetteer(spark, d)
-    a = truth.alias_array(g)
-    claims = truth.inherit_places(truth.extract_claims(b.beats(spark, d), a)).select("script_id", F.col("i").alias("beat_i"), "places", "place_inherited", "time_kind", "year", "time_phrase", "claim_weather", "weather_phrase")
-    s = b.shots(spark, d)
-    facts = s.select("shot_id", F.lit(None).cast("double").alias("gps_lat"), F.lit(None).cast("double").alias("gps_lon"), F.lit(None).cast("string").alias("ocr_text"), "title", "tags",
-                     F.concat((2000 + F.col("shot_id") % 25).cast("string"), F.lit("-06")).alias("shot_date"), b.pick(["meta", "recorded", "upload", "unknown"], F.col("shot_id")).alias("date_source"), "weather", "weather_conf", "source")
-    ev = truth.place_evidence(facts, a).drop("gps_lat", "gps_lon", "ocr_text", "title", "tags")
-    return lambda slots: truth.contradictions(truth.verdict(slots.select("script_id", "beat_i", "shot_id").join(claims, ["script_id", "beat_i"]).join(ev, "shot_id"), "2024-06-01"))
+    claims = x["claims"].drop("beat_id").withColumnRenamed("i", "beat_i")
+    return lambda slots: truth.contradictions(truth.verdict(slots.select("script_id", "beat_i", "shot_id").join(claims, ["script_id", "beat_i"]).join(x["evidence"], "shot_id"), "2024-06-01"))
 
 
 @query("script_plan")
 def script_plan(spark, d):
-    p = make_plan(spark, d)
+    p = make_plan(plan_inputs(spark, d))
     return p.slots.select("script_id", "beat_i", "slot_i", "shot_id", F.round("unary", 4).alias("unary"), F.round("rel", 4).alias("rel"), "trim_in", "status", "label", F.array_join("why", "; ").alias("why"))
 
 
 @query("vertical_plan_report")
 def vertical_plan_report(spark, d):
-    return make_plan(spark, d, use_memory=False, vertical=True).report.withColumn("mean_rel", F.round("mean_rel", 4))
+    return make_plan(plan_inputs(spark, d), use_memory=False, vertical=True).report.withColumn("mean_rel", F.round("mean_rel", 4))
 
 
 @query("ablation_table")
 def ablation_table(spark, d):
     """Five configurations over every script, rolled up."""
-    rows = plans.ablation_rows(lambda t, c, m: make_plan(spark, d, t, c, m), judge_slots(spark, d))
+    x = plan_inputs(spark, d)
+    rows = plans.ablation_rows(lambda t, c, m: make_plan(x, t, c, m), judge_slots(x))
     return aggregates.ablation(rows).withColumns({c: F.round(c, 4) for c in ("mean_rel", "close_share")})
 
 

@@ -1,10 +1,9 @@
 """Transcript units, spots, captions and range joins over every conversation turn."""
 from pyspark.sql import functions as F
 
-from ..functions import media, text
-from ..operators import filters, lines, ranges, spots, timeline, truth, windows
+from ..functions import text
+from ..operators import lines, ranges, spots, timeline, truth, windows
 from ..plans import plan as plans
-from ..plans import search as search_plan
 from . import bindings as b
 from .base import query
 from .claims import ALIASES, places_sql
