@@ -78,9 +78,9 @@ def event_shots(spark, d):
 
 @query("motion_levels", b.with_sql(EV) + """,
 x AS (SELECT shot_id, abs(value - lag(value) OVER (PARTITION BY shot_id ORDER BY t)) AS c FROM es), m AS (SELECT shot_id, coalesce(avg(c), 0) AS s FROM x GROUP BY 1)
-SELECT shot_id, round(s, 4) AS motion_score, CASE WHEN s < 20 THEN 'still' WHEN s < 25 THEN 'moderate' ELSE 'action' END AS motion FROM m""")
+SELECT shot_id, round(s, 6) AS motion_score, CASE WHEN s < 20 THEN 'still' WHEN s < 25 THEN 'moderate' ELSE 'action' END AS motion FROM m""")
 def motion_levels(spark, d):
-    return aggregates.motion_level(event_samples(spark, d), "shot_id", "t", "value", 20.0, 25.0).withColumn("motion_score", F.round("motion_score", 4))
+    return aggregates.motion_level(event_samples(spark, d), "shot_id", "t", "value", 20.0, 25.0).withColumn("motion_score", F.round("motion_score", 6))
 
 
 @query("motion_peaks", b.with_sql(EV) + """,
@@ -101,14 +101,14 @@ def head_tail_features(spark, d):
     return f.select("shot_id", *[F.round(c, 4).alias(c) for c in ("head_luma", "tail_luma", "sal_x")])
 
 
-@query("thumbnail_features", "SELECT p_partkey AS shot_id, round(p_retailprice / 2000, 4) AS head_luma FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("thumbnail_features", "SELECT p_partkey AS shot_id, round(p_retailprice / 2000, 6) AS head_luma FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def thumbnail_features(spark, d):
     p = b.table(spark, d, "part")
     k = F.col("p_partkey")
     shots = p.select(k.alias("shot_id"), (k % 4 != 0).alias("active"), F.when(k % 3 != 0, k).alias("file_id"))
     thumbs = p.select(k.alias("shot_id"), (F.col("p_retailprice") / 2000).alias("luma"), F.lit(0.1).alias("warmth"), F.lit(0.4).alias("sal_x"), F.lit(0.5).alias("sal_y"))
     have = b.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("shot_id"))
-    return aggregates.approx_features(thumbs, shots, have).select("shot_id", F.round("head_luma", 4).alias("head_luma"))
+    return aggregates.approx_features(thumbs, shots, have).select("shot_id", F.round("head_luma", 6).alias("head_luma"))
 
 
 # ------------------------------------------------------------------------------------------ streams

@@ -95,8 +95,11 @@ def lines_with_bounds(spark, d):
 NORM_WORD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\p{{M}}'']', '', 'g')"
 
 
+SECOND_WORD = NORM_WORD.format(r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[2]")
+
+
 @query("anchor_words", b.with_sql(*TRANSCRIPT) + rf""",
-l AS (SELECT video_id, seg_id AS id, {NORM_WORD.format("list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[2]")} AS n, start - 0.2::DOUBLE AS lo, "end" - 0.3::DOUBLE AS hi FROM segments)
+l AS (SELECT video_id, seg_id AS id, {SECOND_WORD} AS n, start - 0.2::DOUBLE AS lo, "end" - 0.3::DOUBLE AS hi FROM segments)
 SELECT l.video_id, l.id, min(w.s) AS ws, arg_min(w.w, w.s) AS word FROM l JOIN words w ON w.video_id = l.video_id AND {NORM_WORD.format('w.w')} = n AND n <> '' AND w.s BETWEEN lo AND hi GROUP BY 1, 2""")
 def anchor_words(spark, d):
     return spots.anchor_word(lines_with_bounds(spark, d), b.words(spark, d))
@@ -260,15 +263,15 @@ def offline_line_importance(spark, d):
 
 
 @query("parsed_line_answers", b.with_sql(*TRANSCRIPT) + """
-SELECT video_id, seg_id AS id, least(greatest(seg_id / 4.0, 0), 1)::DECIMAL(6, 2)::DOUBLE AS importance, CASE WHEN seg_id % 2 = 0 THEN 0.9 ELSE 0.1 END AS visual, CASE WHEN seg_id % 3 = 0 THEN 'data' ELSE 'key point' END AS role,
-  CASE WHEN seg_id % 2 = 0 THEN 'web development ' || seg_id ELSE '' END AS query FROM segments WHERE seg_id < 5""")
+SELECT video_id, seg_id AS id, least(greatest(seg_id / 4.0, 0), 1)::DECIMAL(6, 2)::DOUBLE AS importance, CASE WHEN seg_id % 2 = 0 THEN 0.9 ELSE 0.1 END::DOUBLE AS visual, CASE WHEN seg_id % 3 = 0 THEN 'data' ELSE 'key point' END AS role,
+  CASE WHEN seg_id % 2 = 0 THEN 'web development ' || seg_id ELSE '' END AS query FROM segments""")
 def parsed_line_answers(spark, d):
     """Model answers per video: scores over one, an unknown role, a bad id, a repeated id."""
     k = F.col("seg_id")
     s = b.segments(spark, d)
     line = F.struct(k.cast("string").alias("id"), (k / 4.0).cast("string").alias("importance"), F.when(k % 2 == 0, "0.9").otherwise("0.1").alias("visual"), F.when(k % 3 == 0, "Data ").otherwise("boss").alias("role"),
                     F.concat(F.lit("web development screen "), k.cast("string")).alias("query"))
-    a = s.where("seg_id < 5").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("l")))).alias("l"))
+    a = s.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("l")))).alias("l"))
     bad = F.struct(F.lit("x").alias("id"), F.lit("high").alias("importance"), F.lit("1").alias("visual"), F.lit("data").alias("role"), F.lit("q").alias("query"))
     again = F.struct(F.lit("0").alias("id"), F.lit("0.5").alias("importance"), F.lit("1").alias("visual"), F.lit("cta").alias("role"), F.lit("q").alias("query"))
     body = F.to_json(F.struct(F.concat(F.transform("l", lambda x: x["l"]), F.array(bad, again)).alias("lines")))
