@@ -109,6 +109,8 @@ def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, floor: float
         sc = s.sparkSession.sparkContext
         held = sc.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64),
                              np.array([r[2] for r in rows], np.int64)))
+        if s.rdd.getNumPartitions() < sc.defaultParallelism:   # a table in few files would leave most cores idle
+            s = s.repartition(sc.defaultParallelism)
         scored = s.mapInPandas(lambda it: _topk_stream(*held.value, k, floor, margin)(it), SCORED)
         if s.rdd.getNumPartitions() > 64:                   # thin out per query in two steps when many tasks report
             part = W.partitionBy("query_id", F.pmod(F.spark_partition_id(), F.lit(64))).orderBy(F.desc("score"), "shot_id")
