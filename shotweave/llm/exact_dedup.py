@@ -8,12 +8,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golomb
+from . import golomb, sieve
 from .frames import cut_lineage, id_and_text, partitions, schema_with
 from .words import text_column
 
 BITS = 48                                       # of a fingerprint: equal ones are only suspects
-FILTER_BITS = 1 << 26                           # of the filter that spares texts the shuffle: 8 MB whatever the input
 CHUNK = 1 << 16
 WHITE = b" \t\n\v\f\r"
 
@@ -103,22 +102,14 @@ def _suspects(requests: DataFrame, answers: DataFrame, owners: int) -> DataFrame
 
 def _suspect_texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """Each task's suspect texts, once for each batch: fp, bare bytes, rows."""
-    at = F.pmod("fp", F.lit(FILTER_BITS)) + 1               # positions count from 1
-    maps = suspects.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)             # from at most FILTER_BITS / 32768 rows of 4 KB
-    for k, part in maps:
-        bits[(k - 1) * 4096:k * 4096] = np.frombuffer(part, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(suspects, F.col("fp")).tobytes())
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            rows = {}
-            for text in _texts(batch):
-                fp = _print(hashlib.sha256(text).digest())
-                x = fp % FILTER_BITS
-                if bits[x // 8] >> (x % 8) & 1:
-                    rows.setdefault(text, [fp, 0])[1] += 1
+            rows, texts = {}, list(_texts(batch))
+            fps = np.fromiter((_print(hashlib.sha256(x).digest()) for x in texts), np.int64, len(texts))
+            for i in np.flatnonzero(sieve.passes(shared.value, fps)).tolist():
+                rows.setdefault(texts[i], [int(fps[i]), 0])[1] += 1
             if rows:
                 fps, counts = zip(*rows.values(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(list(rows), pa.binary()), pa.array(counts, pa.int64())], names=["fp", "bare", "rows"])

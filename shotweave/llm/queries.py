@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, token_counts
+from . import exact_dedup, near_dedup, packing, sharding, token_counts, toxicity
 from .frames import tokenizer_path
 
 WORDS = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.dedupe(table(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir), tokenizer_path(WORDS))
 
@@ -25,12 +30,16 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir), tokenizer_path(WORDS))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir), size=4)
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_exact_dedup, op6_token_counts, op7_packing, op10_sharding)}
+    op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
