@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, sharding, token_counts, toxicity
+from . import exact_dedup, near_dedup, packing, quality, sharding, token_counts, toxicity
 from .frames import tokenizer_path
 
 WORDS = "word_bpe_49k.json"
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.dedupe(table(spark, sf_dir))
 
@@ -39,9 +43,10 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
+    op2_quality_rules, op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.oracle(),
     "op3_exact_dedup": """
 with m as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as bare from documents),
      g as (select *, first_value(doc_id) over w as keep_id, count(*) over (partition by bare) as group_size, row_number() over w as n
