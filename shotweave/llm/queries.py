@@ -2,8 +2,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, quality, sharding, token_counts, toxicity
+from . import exact_dedup, lm, near_dedup, packing, quality, sharding, token_counts, toxicity
 from .frames import tokenizer_path
 
 WORDS = "word_bpe_49k.json"
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark, sf_dir):
+    rows = lm.score(table(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -43,9 +49,25 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_quality_rules, op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
+    op1_lm_scores, op2_quality_rules, op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
+
+#: crc32 of doc_id as text, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+  list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295::bigint)"""
 
 ORACLES: dict[str, str] = {
+    "op1_lm_scores": f"""
+with d as (select doc_id, crc32_text % 7 = 2 as held_out, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from (select *, {CRC} as crc32_text from documents)),
+ t as (select doc_id, held_out, i, case when i = 1 then '' else words[i - 1] end as u, case when i = len(words) + 1 then '' else words[i] end as w
+  from d, unnest(range(1, len(words) + 2)) r(i)),
+ c as (select u, w, count(*) as c from t where not held_out group by all), cu as (select u, sum(c) as c, count(*) as kinds from c group by u),
+ cw as (select w, sum(c) as c from c group by w), n as (select sum(c) as n, count(*) as v from cw),
+ k as (select count(*) filter (c = 1) as a, count(*) filter (c = 2) as b from c), dd as (select case when a > 0 and b > 0 then a::double / (a + 2 * b) else 0.5 end as x from k),
+ p as (select t.*, (coalesce(cw.c, 0) + 1)::double / (n + v + 1) as p, coalesce(cw.c, 0) > 0 as known, cu.c as cu, cu.kinds as kinds, c.c as cp, n, x
+  from t left join cw on t.w = cw.w left join cu on t.u = cu.u left join c on t.u = c.u and t.w = c.w, n, dd)
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (known) as n_known, any_value(n)::bigint as train_tokens, round(sum(log10(p)), 6) as base_score,
+ round(sum(log10(case when cu is null then p else greatest(coalesce(cp, 0) - x, 0) / cu + x * kinds / cu * p end)), 6) as score from p group by doc_id, held_out""",
     "op2_quality_rules": quality.oracle(),
     "op3_exact_dedup": """
 with m as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as bare from documents),
