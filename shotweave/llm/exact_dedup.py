@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golomb, sieve
+from . import exchange, golomb, sieve
 from .frames import cut_lineage, id_and_text, partitions, schema_with
 from .words import text_column
 
@@ -47,45 +47,21 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 def _requests(marks: DataFrame, owners: int) -> DataFrame:
     """Each task's sorted distinct fingerprints by owner, coded, with a bit for those it holds twice itself."""
-    step = -(-(1 << BITS) // owners)
-
     def coded(fps, chunk):
         values, counts = np.unique(fps, return_counts=True)
-        owner = values // step
-        edges = np.flatnonzero(np.diff(owner, prepend=-1, append=owners))
-        rows = []
-        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            width, blob = golomb.encode(values[i:j] - owner[i] * step)
-            rows.append({"chunk": chunk, "owner": int(owner[i]), "n": j - i, "width": width, "blob": blob, "twice": np.packbits(counts[i:j] > 1).tobytes()})
-        return rows
+        return pa.RecordBatch.from_pylist(exchange.requests(values, counts > 1, chunk, owners, BITS), schema=exchange.request_schema())
 
     def run(batches):
         base, k, held = TaskContext.get().partitionId() << 24, 0, []
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False))
             if sum(map(len, held)) >= CHUNK:
-                yield pa.RecordBatch.from_pylist(coded(np.concatenate(held), base + k), schema=shape)
+                yield coded(np.concatenate(held), base + k)
                 k, held = k + 1, []
         if sum(map(len, held)):
-            yield pa.RecordBatch.from_pylist(coded(np.concatenate(held), base + k), schema=shape)
-
-    shape = pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("width", pa.int64()), ("blob", pa.binary()), ("twice", pa.binary())])
-    return marks.select("fp").mapInArrow(run, "chunk long, owner long, n long, width long, blob binary, twice binary")
-
-
-def _answers(requests: DataFrame) -> DataFrame:
-    """For each chunk and owner a bitmap: which of its fingerprints occur more than once in all."""
-    def own(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        values = [golomb.decode(r["n"], r["width"], r["blob"]) for r in rows]
-        kinds, where, counts = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        twice = counts > 1
-        twice[where[np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8))[:r["n"]].astype(bool) for r in rows])]] = True
-        hits, ends = twice[where], np.cumsum([r["n"] for r in rows])
-        maps = [np.packbits(h).tobytes() for h in np.split(hits, ends[:-1])]
-        return pa.table({"chunk": table["chunk"], "owner": table["owner"], "bitmap": pa.array(maps, pa.binary())})
+            yield coded(np.concatenate(held), base + k)
 
-    return requests.groupBy("owner").applyInArrow(own, "chunk long, owner long, bitmap binary")
+    return marks.select("fp").mapInArrow(run, exchange.REQUEST)
 
 
 def _suspects(requests: DataFrame, answers: DataFrame, owners: int) -> DataFrame:
@@ -94,8 +70,8 @@ def _suspects(requests: DataFrame, answers: DataFrame, owners: int) -> DataFrame
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                hit = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[:r["n"]].astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(golomb.decode(r["n"], r["width"], r["blob"])[hit] + r["owner"] * step)], names=["fp"])
+                values = golomb.decode(r["n"], r["width"], r["blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[exchange.flags(r["bitmap"], r["n"])] + r["owner"] * step)], names=["fp"])
 
     return requests.join(answers, ["chunk", "owner"]).select("owner", "n", "width", "blob", "bitmap").mapInArrow(run, "fp long").distinct()
 
@@ -132,7 +108,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     marks = cut_lineage(_marks(docs))
     owners = max(partitions(docs), -(-marks.count() // 1_000_000))
     requests = _requests(marks, owners)
-    suspects = cut_lineage(_suspects(requests, _answers(requests), owners))
+    suspects = cut_lineage(_suspects(requests, exchange.answers(requests), owners))
     verified = (_suspect_texts(docs, suspects).groupBy("fp", "bare").agg(F.sum("rows").alias("group_size")).where("group_size > 1")
                 .select(F.unhex(F.sha2("bare", 256)).alias("sha"), "group_size"))
     best = F.min(F.struct((-F.col("chars")).alias("few"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))

@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, near_dedup, packing, quality, sharding, token_counts, toxicity
+from . import exact_dedup, lm, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity
 from .frames import tokenizer_path
 
 WORDS = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.dedupe(table(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed_passages(table(spark, sf_dir))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_lm_scores, op2_quality_rules, op3_exact_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
+    op1_lm_scores, op2_quality_rules, op3_exact_dedup, op4_suffix_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
 
 #: crc32 of doc_id as text, bit by bit.
 CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
