@@ -9,7 +9,8 @@ from .frames import cut_lineage, id_and_text, partitions, schema_with
 from .words import Words, mix, slices, text_column
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)     # stand for a text's begin as a context and its end as a token
-SUCC_BITS = np.uint64(48)                       # of a successor's hash within its context
+SUCC_BITS = np.uint64(40)                       # of a successor's hash within its context
+BLOCK_BYTES = 8 << 20
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -20,20 +21,33 @@ def spread(blob: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def planes(codes: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit codes, all lowest bytes first."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unplanes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Rows of about 4 MB of text each: block, ids, held (out of training), sizes (words per text), words (distinct hashes), codes (their order)."""
+    """Rows of about 8 MB of text each: block, ids, held (out of training), sizes (words per text), words (distinct hashes), codes (their order)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = text_column(batch)
-            for i, j in slices(texts):
+            for i, j in slices(texts, BLOCK_BYTES):
                 words = Words(texts.slice(i, j - i), lower=True)
                 codes, first = words.distinct()
+                often = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")      # frequent words get small codes, which compress well
+                rank = np.empty_like(often)
+                rank[often] = np.arange(len(often))
+                codes, first = rank[codes], first[often]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block]), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([batch.column(2).slice(i, j - i).to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([np.diff(words.first).astype(np.int32).tobytes()], pa.binary()), pa.array([words.hash[first].tobytes()], pa.binary()), pa.array([squeeze(codes.astype(np.int32))], pa.binary())],
+                    pa.array([np.diff(words.first).astype(np.int32).tobytes()], pa.binary()), pa.array([words.hash[first].tobytes()], pa.binary()), pa.array([squeeze(planes(codes))], pa.binary())],
                     names=["block", "ids", "held", "sizes", "words", "codes"])
                 block += 1
 
@@ -48,7 +62,7 @@ class Block:
 
     def __init__(self, held, sizes, words, codes):
         sizes, words = np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(words, np.uint64)
-        codes = spread(codes, int(sizes.sum()), np.int32).astype(np.int64)
+        codes = unplanes(spread(codes, 4 * int(sizes.sum()), np.uint8))
         hashes = np.concatenate((words, [BEGIN, END]))
         order = np.argsort(hashes)
         place = np.empty(len(hashes), np.int64)
@@ -107,7 +121,7 @@ def _requests(blocks: DataFrame, owners: int) -> DataFrame:
                 for owner, i, j, p, q in b.by_owner(owners):
                     succ = b.succ[p:q]
                     out.append((owner, row["block"], j - i, b.hash[i:j].tobytes(), squeeze(b.context_count[i:j].astype(np.uint32)), squeeze(b.runs[i:j].astype(np.uint32)),
-                                succ.astype(np.uint32).tobytes(), (succ >> np.uint64(32)).astype(np.uint16).tobytes(), squeeze(b.pair_count[p:q].astype(np.uint32))))
+                                succ.astype(np.uint32).tobytes(), (succ >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(b.pair_count[p:q].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=names)
 
     return blocks.select("block", "held", "sizes", "words", "codes").mapInArrow(run, "owner long, block long, n long, contexts binary, context_count binary, runs binary, succ_low binary, succ_high binary, pair_count binary")
@@ -121,7 +135,7 @@ def _answers(requests: DataFrame) -> DataFrame:
         kinds, where = np.unique(contexts, return_inverse=True)
         total = np.bincount(where, np.concatenate([spread(r["context_count"], r["n"], np.uint32) for r in rows]), len(kinds)).astype(np.int64)
         runs = [spread(r["runs"], r["n"], np.uint32) for r in rows]
-        succ = np.concatenate([np.frombuffer(r["succ_low"], np.uint32).astype(np.uint64) | np.frombuffer(r["succ_high"], np.uint16).astype(np.uint64) << np.uint64(32) for r in rows])
+        succ = np.concatenate([np.frombuffer(r["succ_low"], np.uint32).astype(np.uint64) | np.frombuffer(r["succ_high"], np.uint8).astype(np.uint64) << np.uint64(32) for r in rows])
         sizes = [int(x.sum()) for x in runs]
         owner_context = np.repeat(where, np.concatenate(runs))
         pairs, at = np.unique(mix(kinds[owner_context] + np.uint64(1)) ^ succ * np.uint64(0x9FB21C651E98DF25), return_inverse=True)
@@ -183,7 +197,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and every text ends with one end token. Null and empty texts are the end token alone. A row without an id is held out. Repeated
     rows count each. If nothing is trained on, N and V are 0. An empty table gives no rows.
 
-    Blocks of about 4 MB of text send the distinct pairs they hold to the owners of the contexts' hashes, owners add up training counts and answer with corpus
+    Blocks of about 8 MB of text send the distinct pairs they hold to the owners of the contexts' hashes, owners add up training counts and answer with corpus
     counts, and each block builds its part of the automaton and walks its texts. No table of n-grams is broadcast; a frequent pair is one entry per block.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(True)).alias("held")
