@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import exact_dedup, lm, near_dedup, packing, quality, sentencepieces, sharding, suffix_dedup, token_counts, toxicity
 from .frames import tokenizer_path
 
 WORDS = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir), tokenizer_path(WORDS))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return sentencepieces.round_trip(table(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir), size=4)
 
@@ -53,7 +57,7 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_lm_scores, op2_quality_rules, op3_exact_dedup, op4_suffix_dedup, op5_toxicity, op6_token_counts, op7_packing, op9_near_dedup, op10_sharding)}
+    op1_lm_scores, op2_quality_rules, op3_exact_dedup, op4_suffix_dedup, op5_toxicity, op6_token_counts, op7_packing, op8_sentencepiece, op9_near_dedup, op10_sharding)}
 
 #: crc32 of doc_id as text, bit by bit.
 CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
