@@ -7,6 +7,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange, golomb, sieve
 from .frames import cut_lineage, id_and_text, partitions, schema_with
@@ -104,16 +105,47 @@ def dedupe(docs: DataFrame) -> DataFrame:
     texts, each once per batch, are shuffled and grouped by their bytes. Hot groups are folded before every shuffle; the last join has a hot left
     side that Spark splits.
     """
-    docs = id_and_text(docs)
+    marks, groups = _groups(id_and_text(docs))
+    joined = marks.join(groups, "sha", "left")
+    alone = F.col("group_size").isNull()
+    return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+                         (alone | (F.col("row") == F.col("best.row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of all rows; and of each group of two or more equal texts: sha, best (the row that stays), group_size."""
     marks = cut_lineage(_marks(docs))
     owners = max(partitions(docs), -(-marks.count() // 1_000_000))
     requests = _requests(marks, owners)
     suspects = cut_lineage(_suspects(requests, exchange.answers(requests), owners))
     verified = (_suspect_texts(docs, suspects).groupBy("fp", "bare").agg(F.sum("rows").alias("group_size")).where("group_size > 1")
                 .select(F.unhex(F.sha2("bare", 256)).alias("sha"), "group_size"))
-    best = F.min(F.struct((-F.col("chars")).alias("few"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
-    groups = marks.groupBy("sha").agg(best.alias("best")).join(verified, "sha")
-    joined = marks.join(groups, "sha", "left")
-    alone = F.col("group_size").isNull()
-    return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-                         (alone | (F.col("row") == F.col("best.row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    best = F.min(F.struct((-F.col("chars")).alias("few"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "fp"))
+    return marks, marks.groupBy("sha").agg(best.alias("best")).join(verified, "sha")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that dedupe() keeps. Rows outside groups pass where they are read; only those in groups are shuffled."""
+    _, groups = _groups(id_and_text(docs))
+    groups = cut_lineage(groups.select("sha", "best"))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(groups, F.col("best.fp")).tobytes())
+    sha = "sha"
+    while sha in docs.columns:
+        sha += "_"
+
+    names = [*docs.columns, sha]
+
+    def part(inside):
+        def run(batches):
+            for batch in batches:
+                shas = [hashlib.sha256(x).digest() for x in _texts(batch)]
+                may = pa.array(sieve.passes(shared.value, np.fromiter(map(_print, shas), np.int64, len(shas))) == inside)
+                columns = [*batch.columns, pa.array(shas, pa.binary())] if inside else batch.columns
+                yield pa.RecordBatch.from_arrays(columns, names=names[:len(columns)]).filter(may)
+        return run
+
+    inside = docs.mapInArrow(part(True), T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType())]))
+    inside = inside.join(groups.select(F.col("sha").alias(sha), "best").alias("g"), sha, "left")
+    stays = F.col("g.best").isNull() | (F.col("doc_id").eqNullSafe(F.col("g.best.doc_id")) & (F.char_length(F.coalesce("text", F.lit(""))) == -F.col("g.best.few")))
+    once = inside.where(stays).select(*docs.columns, sha).dropDuplicates([sha])          # repeated rows
+    return docs.mapInArrow(part(False), docs.schema).union(once.select(docs.columns))

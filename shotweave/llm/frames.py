@@ -3,9 +3,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, work_folder
 
-__all__ = ["cut_lineage", "id_and_text", "schema_with", "partitions", "tokenizer_path"]
+__all__ = ["cut_lineage", "id_and_text", "schema_with", "partitions", "tokenizer_path", "written"]
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -25,3 +25,10 @@ def partitions(docs: DataFrame) -> int:
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared work folder."""
+    path = work_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

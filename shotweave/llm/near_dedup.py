@@ -227,3 +227,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = marks.select("doc_id", "n", "a", "b").join(named, ["a", "b"], "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                       F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those whose component has a smaller doc_id; rows without an id stay. Only rows to be dropped are shuffled."""
+    gone = cut_lineage(near_duplicates(docs, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct())
+    clear, doubtful = sieve.split(docs, F.xxhash64("doc_id"), sieve.bits(gone, F.xxhash64("doc_id")))
+    return clear.union(doubtful.join(gone, "doc_id", "left_anti").select(docs.columns))

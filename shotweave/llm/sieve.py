@@ -1,5 +1,6 @@
 """A filter of fixed size over a column's values, for tasks that read whole tables but need few rows."""
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +21,17 @@ def passes(filter_bits: bytes, numbers: np.ndarray) -> np.ndarray:
     """Whether the filter may hold these integers."""
     at = numbers % BITS
     return (np.frombuffer(filter_bits, np.uint8)[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)
+
+
+def split(docs: DataFrame, number: Column, filter_bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that the filter rules out, and rows it may hold."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(filter_bits.tobytes()), docs.columns
+
+    def part(inside):
+        def run(batches):
+            for batch in batches:
+                may = passes(shared.value, batch.column(batch.num_columns - 1).to_numpy()) == inside
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(may))
+        return docs.select("*", number.alias("sieve number")).mapInArrow(run, docs.schema)
+
+    return part(False), part(True)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import exchange
 from .frames import cut_lineage, id_and_text, partitions
@@ -16,7 +17,7 @@ from .words import flat, mix, powers, prefix_hash, ragged, slices, text_column
 GRAM = 26                                       # bytes of an anchor: the least hash among the GRAM-byte strings of a window
 BITS = 60                                       # of an anchor's hash in the exchange
 BLOCK_BYTES = 2 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 LAST = np.iinfo(np.int64).max                   # stands for a missing doc_id: after all others
 
 
@@ -68,18 +69,22 @@ class Runs:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, rows (numbers of rows), docs (ids for comparison), sizes (bytes), raw (compressed texts): about 2 MB of text a row."""
+    """block, docs (ids for comparison), sizes (bytes), raw (compressed texts), rest (the other columns, as Arrow bytes): about 2 MB of text a row."""
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = text_column(batch)
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+            others = pa.RecordBatch.from_arrays(batch.columns[2:], names=[f"c{k}" for k in range(2, batch.num_columns)]) if batch.num_columns > 2 else None
             for i, j in slices(texts, BLOCK_BYTES):
                 raw, off = flat(texts.slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([np.diff(off).tobytes()], pa.binary()), pa.array([squeeze(raw)], pa.binary())], names=["block", "docs", "sizes", "raw"])
+                rest = None if others is None else pa.compress(others.slice(i, j - i).serialize().to_pybytes(), codec="zstd", asbytes=True)
+                size = 0 if others is None else others.slice(i, j - i).serialize().size
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([np.diff(off).tobytes()], pa.binary()), pa.array([squeeze(raw)], pa.binary()),
+                                                  pa.array([rest], pa.binary()), pa.array([size])], names=["block", "docs", "sizes", "raw", "rest", "rest_size"])
                 block += 1
 
-    return docs.mapInArrow(run, "block long, docs binary, sizes binary, raw binary")
+    return docs.mapInArrow(run, "block long, docs binary, sizes binary, raw binary, rest binary, rest_size long")
 
 
 def _open(row):
@@ -151,12 +156,14 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     total = prefix_hash(raw)
     _, down = powers(len(raw) + 1)
     content = mix((total[begin + width] - total[begin]) * down[begin] + size.astype(np.uint64))
+    del total
     order = np.lexsort((doc, content, anchor))
     new = np.concatenate(([True], (content[order][1:] != content[order][:-1])))
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     lead = order[new]                                    # of each content, the row with its least document
-    several = np.bincount(np.unique(anchor[lead], return_inverse=True)[1])[np.unique(anchor[lead], return_inverse=True)[1]] > 1
+    group = np.unique(anchor[lead], return_inverse=True)[1]
+    several = np.bincount(group)[group] > 1
     least = np.repeat(doc[lead], size[lead])
     first = np.cumsum(size[lead]) - size[lead]
     open_ = lead[several]                                # contents that may share windows with others
@@ -187,10 +194,11 @@ def _removed(row, bitmaps, masks, owners, length):
 
 
 def _cleaned(docs: DataFrame, length: int, body, schema: str) -> DataFrame:
-    """body(doc ids, offsets, bytes, removed bytes) -> arrays, for each block of docs."""
+    """body(block, doc ids, offsets, bytes, removed bytes) -> table, for each block of docs."""
     blocks = cut_lineage(_blocks(docs))
     count = blocks.count()
-    owners = parts = max(partitions(docs), count)        # about as many owners as blocks, so a share of a fixed size each
+    owners = max(partitions(docs), count)                # in proportion to the blocks, so an owner's share has a fixed size
+    parts = 2 * owners
 
     def ask(batches):
         for batch in batches:
@@ -198,14 +206,14 @@ def _cleaned(docs: DataFrame, length: int, body, schema: str) -> DataFrame:
                 ids, off, raw = _open(row)
                 yield pa.RecordBatch.from_pylist(exchange.requests(*_anchors(Runs(raw, off, length), ids), row["block"], owners, BITS), schema=exchange.request_schema())
 
-    maps = cut_lineage(exchange.answers(blocks.mapInArrow(ask, exchange.REQUEST)).withColumnRenamed("chunk", "block"))
+    maps = cut_lineage(exchange.answers(blocks.drop("rest").mapInArrow(ask, exchange.REQUEST)).withColumnRenamed("chunk", "block"))
     shape = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in CHUNKS.split(", ")])
 
     def chunks(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = [x for row in left.to_pylist() for x in _chunk_rows(row, right.to_pylist(), owners, parts, length)]
         return pa.Table.from_pylist(rows, schema=shape)
 
-    sent = blocks.groupBy("block").cogroup(maps.groupBy("block")).applyInArrow(chunks, CHUNKS)
+    sent = blocks.drop("rest").groupBy("block").cogroup(maps.groupBy("block")).applyInArrow(chunks, CHUNKS)
     judged = sent.groupBy("owner").applyInArrow(lambda t: _judged(t, length), "block long, owner long, windows long, gone binary")
     # bitmaps (windows null) and masks of a block come together
     both = cut_lineage(maps.select("block", "owner", F.lit(None).cast("long").alias("windows"), F.col("bitmap").alias("bits")).union(judged.select("block", "owner", "windows", "gone")))
@@ -214,7 +222,7 @@ def _cleaned(docs: DataFrame, length: int, body, schema: str) -> DataFrame:
         found = right.to_pylist()
         bitmaps = [{"owner": r["owner"], "bitmap": r["bits"]} for r in found if r["windows"] is None]
         masks = [{"owner": r["owner"], "windows": r["windows"], "gone": r["bits"]} for r in found if r["windows"] is not None]
-        return pa.concat_tables([body(*_removed(row, bitmaps, masks, owners, length)) for row in left.to_pylist()] or [body(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(0, bool))])
+        return pa.concat_tables([body(row, *_removed(row, bitmaps, masks, owners, length)) for row in left.to_pylist()])
 
     return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
 
@@ -233,7 +241,7 @@ def removed_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     Windows whose anchor no other document has cannot repeat, which an exchange of coded hashes tells; the others are cut into runs of one anchor, equal runs are folded, and each
     owner of a range of anchors sorts the suffixes of its runs by the difference-cover method and compares adjacent prefixes.
     """
-    def body(ids, off, raw, gone):
+    def body(row, ids, off, raw, gone):
         edge = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
         if len(gone):
             edge[off[:-1][off[:-1] < len(gone)]] = gone[off[:-1][off[:-1] < len(gone)]]
@@ -243,3 +251,25 @@ def removed_passages(docs: DataFrame, length: int = 50) -> DataFrame:
 
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     return _cleaned(docs, length, body, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_passages(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows of docs, all columns, with text cut as removed_passages() says; a column n_chars, if there is one, counts the code points left.
+
+    A character of which only some bytes go is removed whole. Null texts come back empty; a text that is removed whole stays as an empty one.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+
+    def body(row, ids, off, raw, gone):
+        texts = [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        columns = {"doc_id": _ids(ids), "text": pa.array(texts, pa.string())}
+        if others:
+            rest = pa.ipc.read_record_batch(pa.decompress(row["rest"], decompressed_size=row["rest_size"], codec="zstd"), shape)
+            columns |= {c: rest.column(k) for k, c in enumerate(others)}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(x) for x in texts], columns["n_chars"].type)
+        return pa.table(columns)
+
+    shape = pa.schema([(f"c{k}", f.type) for k, f in enumerate(to_arrow_schema(plain.select(others).schema), 2)])
+    return _cleaned(plain, length, body, plain.schema).select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))

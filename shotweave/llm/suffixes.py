@@ -29,14 +29,14 @@ def least_equal(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length
     """
     assert 48 + 2 <= length <= 56
     padded = np.concatenate((text, np.zeros(length + 64, np.uint8)))
-    shade = np.zeros(256, np.int64)
+    shade = np.zeros(256, np.int32)
     shade[np.unique(padded)] = 1
-    shade = np.cumsum(shade) - 1
+    shade = np.cumsum(shade, dtype=np.int32) - 1
     n = len(text) + 64
     byte = shade[padded]
     symbols = int(byte.max()) + 1
     three = (byte[:-2] * symbols + byte[1:-1]) * symbols + byte[2:]
-    small = three if symbols ** 3 < 1 << PACK else ranks(three)
+    small = three if symbols ** 3 < 1 << PACK else ranks(three).astype(np.int32)
     needed = np.zeros(n, bool)                           # sampled positions whose long names are compared
     for shift in range(3):
         needed[starts[(starts + shift) % 3 != 0] + shift] = True
@@ -45,13 +45,15 @@ def least_equal(text: np.ndarray, starts: np.ndarray, owners: np.ndarray, length
     for shift in (0, 9, 18, 27, 36):
         wide[at[at + shift < n] + shift] = True
     mid = np.flatnonzero(wide)
-    nine = np.zeros(n, np.int64)
-    get = lambda a, x: a[np.minimum(x, len(a) - 1)]
+    nine = np.zeros(n, np.int32)
+    get = lambda a, x: a[np.minimum(x, len(a) - 1)].astype(np.int64)
     nine[mid] = name(get(small, mid), get(small, mid + 3), get(small, mid + 6))
     long = np.zeros(n, np.int64)
-    first = name(nine[at], get(nine, at + 9), get(nine, at + 18))
+    first = name(get(nine, at), get(nine, at + 9), get(nine, at + 18))
     second = name(first, get(nine, at + 27), get(nine, at + 36))
+    del nine, wide, mid, first
     long[at] = ranks(second << 24 | get(three, at + 45))                 # 48 bytes
+    del three, small, second, at, needed
     tail = length - 48
 
     best = owners.copy()
