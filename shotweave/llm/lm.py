@@ -13,8 +13,8 @@ SUCC_BITS = np.uint64(40)                       # of a successor's hash within i
 BLOCK_BYTES = 8 << 20
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    return pa.compress(a.tobytes(), codec="zstd", asbytes=True)
+def squeeze(a: np.ndarray, level: int = 1) -> bytes:
+    return pa.Codec("zstd", level).compress(a.tobytes(), asbytes=True)
 
 
 def spread(blob: bytes, n: int, kind) -> np.ndarray:

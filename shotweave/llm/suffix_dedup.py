@@ -12,10 +12,10 @@ from . import exchange
 from .frames import cut_lineage, id_and_text, partitions
 from .lm import spread, squeeze
 from .suffixes import least_equal
-from .words import flat, mix, powers, prefix_hash, ragged, slices, text_column
+from .words import flat, mix, powers, prefix_hash, ragged, slices, span_hash, text_column
 
-GRAM = 26                                       # bytes of an anchor: the least hash among the GRAM-byte strings of a window
-BITS = 60                                       # of an anchor's hash in the exchange
+GRAM = 20                                       # bytes of an anchor: the least hash among the GRAM-byte strings of a window
+BITS = 48                                       # of an anchor's hash in the exchange
 BLOCK_BYTES = 2 << 20
 PIECE = 1 << 18
 LAST = np.iinfo(np.int64).max                   # stands for a missing doc_id: after all others
@@ -80,7 +80,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 raw, off = flat(texts.slice(i, j - i))
                 rest = None if others is None else pa.compress(others.slice(i, j - i).serialize().to_pybytes(), codec="zstd", asbytes=True)
                 size = 0 if others is None else others.slice(i, j - i).serialize().size
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([np.diff(off).tobytes()], pa.binary()), pa.array([squeeze(raw)], pa.binary()),
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([np.diff(off).tobytes()], pa.binary()), pa.array([squeeze(raw, 6)], pa.binary()),
                                                   pa.array([rest], pa.binary()), pa.array([size])], names=["block", "docs", "sizes", "raw", "rest", "rest_size"])
                 block += 1
 
@@ -134,7 +134,7 @@ CHUNKS = "owner long, block long, n long, anchor binary, doc binary, size binary
 def _chunk_rows(row, bitmaps, owners, parts, length):
     """Per owner of a range of anchors: the block's different contents."""
     docs, off, raw, runs, shared, kind, lead = _chosen(row, bitmaps, owners, length)
-    owner = (runs.anchor[lead] >> 20) * parts >> (BITS - 20)
+    owner = (runs.anchor[lead] >> 16) * parts >> (BITS - 16)
     edges = np.flatnonzero(np.diff(owner, prepend=-1, append=parts))
     out = []
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -153,10 +153,7 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     per_row = np.add.reduceat(width, np.concatenate(([0], np.cumsum([r["n"] for r in rows])[:-1])))
     raw = np.concatenate([spread(r["raw"], int(w), np.uint8) for r, w in zip(rows, per_row, strict=True)])
     begin = np.cumsum(width) - width
-    total = prefix_hash(raw)
-    _, down = powers(len(raw) + 1)
-    content = mix((total[begin + width] - total[begin]) * down[begin] + size.astype(np.uint64))
-    del total
+    content = span_hash(raw, begin, begin + width)
     order = np.lexsort((doc, content, anchor))
     new = np.concatenate(([True], (content[order][1:] != content[order][:-1])))
     kind = np.empty(len(order), np.int64)
