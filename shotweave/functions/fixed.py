@@ -97,3 +97,7 @@ LICENCE_RULES = [  # tested in this order on lower(licence || ' ' || url)
 # --- fixed values: files and exports -----------------------------------------------------------------
 VIDEO_EXTS = ["mp4", "mov", "m4v", "avi", "mkv", "webm"]
 CAPTION_WIDTH, CAPTION_MAX_S, EXPORT_FPS = 42, 6.0, 25
+
+# Reasons of spots chosen so that no video stays bare.
+GUARANTEED = "a video always gets B-roll: "
+BEST_LINE = "best available line"

@@ -114,24 +114,45 @@ def test_running_and_neighbour_on_a_hot_key(spark):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, df.withColumn("n", fn("t").over(w)).select("k", "t", "n").na.fill(-1).collect()))
 
 
-def line(i, imp, vis, role, start, end):
-    return dict(id=i, importance=imp, visual=vis, role=role, start=start, end=end, word_start=None)
-
-
-def test_spots():
-    one = spots.pick_spots([line(1, .2, .5, "key point", 3.4, 9.6)], 10.0, "light")
-    assert len(one) == 1 and one[0]["guaranteed"]
-    three = spots.pick_spots([line(i, .1, .6, "key point", i * 10.0, i * 10.0 + 9) for i in range(3)], 30.0, "light")
-    assert len(three) >= 3
-    many = spots.pick_spots([line(i, .9, .9, "data", i * 4.0, i * 4.0 + 3.5) for i in range(30)], 120.0, "balanced")
-    assert all(b["start"] - a["end"] >= 1.5 for a, b in zip(many, many[1:])) and len(many) <= 14
-
-
-def test_captions():
-    words = [dict(w=w, s=i * .4, e=i * .4 + .4) for i, w in enumerate(("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen. end").split())]
-    got = spots.caption_pieces(words)
-    assert " ".join(t for *_, t in got).split() == [w["w"] for w in words]
-    assert all(len(t) <= 84 and b - a <= 6.01 for a, b, t in got) and len(got[-1][2]) >= 8
+def spots_of(spark, rows, seconds, density, kept=None):
+    """Spots of one video; rows: (id, importance, visual, role, start, end)."""
+    lines = spark.createDataFrame([(7, i, imp, vis, role, "q", ["a"], None, "") for i, imp, vis, role, *_ in rows],
+                                  "video_id long, id long, importance double, visual double, role string, query string, alt_queries array<string>, anchor string, reason string")
+    units = spark.createDataFrame([(7, i, "speech", float(a), float(b), "words") for i, *_, a, b in rows], "video_id long, id long, kind string, start double, end double, text string")
+    length = spark.createDataFrame([(7, float(seconds))], "video_id long, duration double")
+    keep = spark.createDataFrame([(7, *k) for k in kept], "video_id long, start double, end double") if kept else None
+    return sorted(spots.select_spots(lines, units, None, length, density, keep).collect(), key=lambda r: r.start)
+
+
+def test_spots(spark):
+    bare = spots_of(spark, [(4, .15, .45, "detail", 2.0, 8.5)], 9.0, "light")
+    assert [(r.guaranteed, r.reason) for r in bare] == [(True, "a video always gets B-roll: best available line")]
+    dull = spots_of(spark, [(i, .05, .5, "detail", i * 11.0, i * 11.0 + 8) for i in range(4)], 44.0, "light")
+    assert len(dull) >= 4 and all(r.guaranteed for r in dull)
+    busy = spots_of(spark, [(i, .85, .95, "place", i * 5.0, i * 5.0 + 4.2) for i in range(24)], 120.0, "balanced")
+    assert all(b.start - a.end >= 1.5 for a, b in zip(busy, busy[1:])) and len(busy) <= 14 and not any(r.guaranteed for r in busy)
+    again = spots_of(spark, [(i, .85, .95, "place", i * 5.0, i * 5.0 + 4.2) for i in range(24)], 120.0, "balanced", [(40.0, 60.0)])
+    assert again and all(r.end + (0.4 if r.guaranteed else 1.5) <= 40 or r.start >= (60.4 if r.guaranteed else 61.5) for r in again)
+
+
+def test_offers_keep_their_distance():
+    track = spots.Track([(5.0, 7.0), (1.0, 2.0)])
+    assert not track.add(7.5, 9.0, 1.0) and not track.add(2.5, 4.5, 0.6) and track.add(8.0, 9.0, 1.0) and track.seconds() == 4.0
+    assert spots.accept_offers([(0, 1, 20.0, 24.0, 1.0), (0, 2, 30.0, 31.0, 1.0), (1, 3, 40.0, 41.0, .4)], track, 8.0, 9, 5) == [(1, 20.0, 24.0, False), (3, 40.0, 41.0, True)]
+
+
+def test_captions(spark):
+    def cut(text, seconds=0.3):
+        words = [(w, i * seconds, (i + 1) * seconds) for i, w in enumerate(text.split())]
+        rows = spark.createDataFrame([(1, 1, 0.0, 9.0, text, words), (1, 2, 9.0, 10.0, " bare line ", None)], "video_id long, seg_id long, start double, end double, text string, words array<struct<w:string,s:double,e:double>>")
+        got = sorted(spots.caption_chunks(rows).collect(), key=lambda r: (r.seg_id, r.part))
+        assert [(r.text, r.start, r.end) for r in got if r.seg_id == 2] == [("bare line", 9.0, 10.0)]
+        return [r for r in got if r.seg_id == 1]
+    story = "Slow rivers carve wide valleys where farmers plant barley and rye. Every spring the melting snow brings fresh silt down from distant ridges and the fields turn green. So"
+    got = cut(story)
+    assert " ".join(r.text for r in got) == story and all(len(r.text) <= 84 for r in got) and len(got[-1].text) >= 20
+    assert got[0].text.endswith("rye.") and all(a.end <= b.start + 1e-9 for a, b in zip(got, got[1:]))
+    assert all(r.end - r.start <= 6.0 + 1e-9 for r in cut(story, 1.5)[:-2]) and [r.text for r in cut("alone")] == ["alone"]
 
 
 def test_smart_trim(spark):
