@@ -234,8 +234,8 @@ def topic_words(spark, d):
 
 @query("spot_weights", b.with_sql(b.SEGMENTS, b.DURATIONS) + """
 SELECT video_id, round_even(least(3.0, greatest(0.5, duration * 0.1::DOUBLE)), 2)::DOUBLE AS hook, CASE WHEN duration < 20 THEN 1.0 ELSE 1.5 END::DOUBLE AS min_slot,
-       round((video_id % 101) / 100.0::DOUBLE * (0.4::DOUBLE + 0.6::DOUBLE * (video_id % 97) / 96.0::DOUBLE), 6) AS weight FROM durations""")
+       round((video_id % 101) / 100.0::DOUBLE * (0.4::DOUBLE + 0.6::DOUBLE * ((video_id % 97) / 96.0::DOUBLE)), 9) AS weight FROM durations""")
 def spot_weights(spark, d):
     x = b.durations(spark, d)
     return x.select("video_id", media.hook_seconds(F.col("duration")).alias("hook"), media.min_slot_seconds(F.col("duration")).alias("min_slot"),
-                    F.round(media.spot_weight((F.col("video_id") % 101) / 100.0, (F.col("video_id") % 97) / 96.0), 6).alias("weight"))
+                    F.round(media.spot_weight((F.col("video_id") % 101) / 100.0, (F.col("video_id") % 97) / 96.0), 9).alias("weight"))
