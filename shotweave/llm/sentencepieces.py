@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding: best segmentation by piece scores, with giant texts cut into chunks whose max-plus transfer matrices are scanned."""
 
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut_lineage, id_and_text, schema_with
+from .tokens import Memory
 from .words import flat, ragged, slices, span_hash, text_column
 
 MARK = "▁"                                 # stands for a space
 GIANT, CHUNK = 1 << 16, 1 << 14                 # code points above which a text is cut, and of its chunks
-CACHE = 500_000
 LOW = -np.inf
 
 
@@ -38,7 +42,7 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(out), np.uint8)
         self.sizes = np.array([len(x) for x in out], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
-        self.known = {}
+        self.memory = Memory()
 
     def ids(self, c: str) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -120,24 +124,14 @@ class Pieces:
         inner[np.searchsorted(start, heads)] = False
         start = start + inner                           # a unit's first space is the mark; a text's first unit has its mark before it
         keys = span_hash(raw, start, end) if len(start) else np.zeros(0, np.uint64)
-        import pandas as pd
         codes, kinds = pd.factorize(keys)
         lead = np.empty(len(kinds), np.int64)
         lead[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        data, lists = raw.tobytes(), []
-        if len(self.known) > CACHE:
-            self.known = {}
-        for a, b in zip(start[lead].tolist(), end[lead].tolist(), strict=True):
-            text = data[a:b]
-            found = self.known.get(text)
-            if found is None:
-                found = self.known[text] = np.array(self.unit(text.decode("utf-8", "replace")), np.int32)
-            lists.append(found)
-        length = np.array([len(x) for x in lists], np.int64)
-        pool = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        place = np.cumsum(length) - length
-        ids = pool[ragged(place[codes], length[codes])] if len(codes) else pool
-        return ids, np.concatenate(([0], np.cumsum(length[codes] if len(codes) else length)))[first]
+        data = raw.tobytes()
+        fresh = lambda new: [self.unit(data[a:b].decode("utf-8", "replace")) for a, b in zip(start[lead[new]].tolist(), end[lead[new]].tolist(), strict=True)]
+        at = self.memory.places(keys[lead], fresh)[codes]
+        ids, length = self.memory.gather(at)
+        return ids.astype(np.int32), np.concatenate(([0], np.cumsum(length)))[first]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of one sequence of ids, without the space that stands before it."""
@@ -154,22 +148,41 @@ def pieces(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def _ordinary(docs: DataFrame, path: str, giant: int) -> DataFrame:
-    """doc_id, row (a number), text, ids (32-bit, little endian); the ids of giant texts are null."""
-    schema = schema_with(docs, "row long, text string, ids binary")
+DIGEST = "n_bytes long, n_tokens long, ids_crc32 long, restored boolean"
+
+
+def _ordinary(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, text, ids (32-bit, little endian), where the texts are read; or the digest of round_trip()."""
+    schema = schema_with(docs, DIGEST if digest else "text string, ids binary")
 
     def run(batches):
-        model, row = pieces(path), TaskContext.get().partitionId() << 40
+        model = pieces(path)
         for batch in batches:
             texts = text_column(batch)
             for i, j in slices(texts):
                 part = texts.slice(i, j - i)
-                big = [len(x) > giant for x in part.to_pylist()]
-                small = pa.array(["" if b else x for b, x in zip(big, part.to_pylist(), strict=True)], pa.string()) if any(big) else part
-                ids, first = model.encode(small)
-                blobs = [None if b else ids[x:y].astype("<i4").tobytes() for b, x, y in zip(big, first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.arange(row, row + j - i)), part.cast(pa.string()), pa.array(blobs, pa.binary())], names=schema.names)
-                row += j - i
+                ids, first = model.encode(part)
+                parts = [ids[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                blobs = [x.astype("<i4").tobytes() for x in parts]
+                if digest:
+                    same = [model.decode(x) == y.as_buffer().to_pybytes() for x, y in zip(parts, part, strict=True)]
+                    columns = [pc.binary_length(part).cast(pa.int64()), pa.array(np.diff(first)), pa.array(map(zlib.crc32, blobs), pa.int64()), pa.array(same)]
+                else:
+                    columns = [part.cast(pa.string()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a number for each row."""
+    schema = schema_with(docs, "text string, row long")
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), text_column(batch).cast(pa.string()), pa.array(np.arange(row, row + batch.num_rows))], names=schema.names)
+            row += batch.num_rows
 
     return docs.mapInArrow(run, schema)
 
@@ -227,12 +240,16 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
     Texts of up to `giant` code points are encoded where they are read. Longer ones are cut into chunks of `chunk` code points at any place: T[a, b] is the best score from a code points
     into a chunk to b beyond its end, the states between chunks follow from a max-plus scan, and each chunk then finds its own path. Repeated rows and null ids are encoded like others.
     """
-    rows = _ordinary(id_and_text(docs), path, giant)
-    rows = cut_lineage(rows)
-    long = rows.where("ids is null")
-    if long.isEmpty():
-        return rows.select("doc_id", "text", "ids")
-    return rows.join(_giants(long, path, chunk), "row", "left").select("doc_id", "text", F.coalesce("ids", "found").alias("ids"))
+    short, found = _parts(docs, path, giant, chunk)
+    return _ordinary(short, path).union(found)
+
+
+def _parts(docs: DataFrame, path: str, giant: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that are encoded where they are read, and doc_id, text, ids of the others."""
+    docs = id_and_text(docs)
+    long = F.coalesce(F.char_length("text") > giant, F.lit(False))
+    giants = cut_lineage(_numbered(docs.where(long)))               # of few rows, the only ones that are written and shuffled
+    return docs.where(~long), giants.join(_giants(giants, path, chunk), "row").select("doc_id", "text", F.col("found").alias("ids"))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -250,6 +267,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 (of the ids as unsigned 32-bit little-endian numbers), restored (decoding gives the text back)."""
-    back = decode(encode(docs, path, giant, chunk), path)
-    return back.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("restored"))
+    short, found = _parts(docs, path, giant, chunk)
+    back = decode(found, path).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                                      F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("restored"))
+    return _ordinary(short, path, digest=True).union(back)

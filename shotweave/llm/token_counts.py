@@ -12,7 +12,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens (the tokenizer's ids without added ones), over_limit (n_tokens > limit); one row per row of docs.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids are counted like others. Nothing is shuffled: a task reads Arrow
-    batches, cuts them into ranges of about 4 MB, splits texts where a cut cannot change ids, and encodes each different piece once.
+    batches, cuts them into ranges of about 2 MB, splits texts where a cut cannot change ids, and encodes each different piece once.
     """
     docs = id_and_text(docs)
     schema = schema_with(docs, "n_bytes long, n_tokens long, over_limit boolean")

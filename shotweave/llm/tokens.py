@@ -9,6 +9,42 @@ from .words import LETTER, LOWER, PLAIN, Words, ragged, span_hash
 CACHE = 1_000_000                               # pieces a worker remembers; beyond it, the memory starts anew
 
 
+class Memory:
+    """Ids of pieces of text by 64-bit hash, as arrays; it starts anew beyond CACHE pieces."""
+
+    def __init__(self):
+        self.known = np.zeros(0, np.uint64)     # sorted hashes, with their place in the pool of ids
+        self.place, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, hashes):
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return at, (self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool))
+
+    def places(self, hashes, encode):
+        """Index of each hash (all different); encode(which) -> lists of ids gives those not known yet."""
+        at, found = self.look_up(hashes)
+        if found.all():
+            return at
+        new = np.flatnonzero(~found)
+        if len(self.known) + len(new) > CACHE:
+            self.__init__()
+            new = np.arange(len(hashes))
+        lists = encode(new)
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        place = len(self.pool) + np.cumsum(length) - length
+        known = np.concatenate((self.known, hashes[new]))
+        order = np.argsort(known)
+        self.known, self.place, self.length = known[order], np.concatenate((self.place, place))[order], np.concatenate((self.length, length))[order]
+        self.pool = np.concatenate((self.pool, np.fromiter((x for y in lists for x in y), np.uint32, int(length.sum()))))
+        return self.look_up(hashes)[0]
+
+    def gather(self, at):
+        """Ids of the pieces at these indices, one after the other, and their lengths."""
+        length = self.length[at]
+        return self.pool[ragged(self.place[at], length)] if len(at) else np.zeros(0, np.uint32), length
+
+
 class Encoder:
     """Encodes Arrow texts with a tokenizer whose normaliser lower-cases and whose pre-tokeniser drops white space and parts letters from others.
 
@@ -20,11 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self):
-        self.known = np.zeros(0, np.uint64)     # sorted hashes of known pieces, with their place in the pool of ids
-        self.place, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.memory = Memory()
 
     def pieces(self, texts: pa.Array) -> Words:
         out = Words(texts, hashed=False)
@@ -47,49 +79,23 @@ class Encoder:
         out.hash = span_hash(low, out.start, out.end)
         return out
 
-    def learn(self, words: Words, index, hashes):
-        ids = self.tokenizer.encode_batch_fast(words.strings(index), add_special_tokens=False)
-        lists = [e.ids for e in ids]
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter((x for y in lists for x in y), np.uint32, int(length.sum()))
-        place = len(self.pool) + np.concatenate(([0], np.cumsum(length)[:-1])) if len(length) else length
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.known, self.place, self.length = known[order], np.concatenate((self.place, place))[order], np.concatenate((self.length, length))[order]
-        self.pool = np.concatenate((self.pool, pool))
-
-    def look_up(self, hashes):
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        return at, (self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool))
-
     def _encode(self, texts):
+        """The pieces, and each one's index in the memory."""
         words = self.pieces(texts)
         codes, index = words.distinct()
-        hashes = words.hash[index]
-        _, found = self.look_up(hashes)
-        if not found.all():
-            new = ~found
-            if len(self.known) + int(new.sum()) > CACHE:
-                self.forget()
-                new = np.ones(len(hashes), bool)
-            self.learn(words, index[new], hashes[new])
-        at, _ = self.look_up(hashes)
-        return words, codes, at
+        fresh = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(words.strings(index[new]), add_special_tokens=False)]
+        return words, self.memory.places(words.hash[index], fresh)[codes]
 
     def lengths(self, texts: pa.Array):
         """Number of ids of each text."""
-        words, codes, at = self._encode(texts)
-        total = np.concatenate(([0], np.cumsum(self.length[at][codes]))) if len(codes) else np.zeros(1, np.int64)
+        words, at = self._encode(texts)
+        total = np.concatenate(([0], np.cumsum(self.memory.length[at])))
         return total[words.first[1:]] - total[words.first[:-1]]
 
     def ids(self, texts: pa.Array):
         """All ids, and the offset of each text's first id in them (one more at the end)."""
-        words, codes, at = self._encode(texts)
-        if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        length = self.length[at][codes]
-        out = self.pool[ragged(self.place[at][codes], length)]
+        words, at = self._encode(texts)
+        out, length = self.memory.gather(at)
         return out, np.concatenate(([0], np.cumsum(length)))[words.first]
 
 

@@ -1,4 +1,6 @@
 """Words of Arrow text batches as numpy arrays: bounded slices, word bounds and 64-bit word hashes, without one Python object per word."""
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +12,12 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15                       # odd, so that its powers have inverses modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 WINDOW = 1 << 20
-SLICE_BYTES = 4 << 20
+try:
+    LIBC = ctypes.CDLL("libc.so.6")             # a worker that lives on would hold freed memory
+    LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):
+    LIBC = None
+SLICE_BYTES = 2 << 20
 
 
 def _powers(base, n):
@@ -48,7 +55,7 @@ def prefix_hash(raw):
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
-    """(first row, last row + 1) ranges of at most `limit` bytes; a longer text is a range of its own."""
+    """(first row, last row + 1) ranges of at most `limit` bytes; a longer text is a range of its own. Afterwards free memory goes back to the system."""
     lengths = np.diff(offsets(texts))
     start, size = 0, 0
     for i, n in enumerate(lengths.tolist()):
@@ -58,6 +65,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         size += n
     if start < len(lengths):
         yield start, len(lengths)
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
 
 
 def offsets(texts: pa.Array):
