@@ -167,23 +167,11 @@ def label_clusters(clusters: DataFrame, shots: DataFrame, vocab: DataFrame) -> D
 
 
 def concepts(lines: DataFrame, vocab: DataFrame, k: int = 2) -> DataFrame:
-    """lines(line_id, emb): nearest vocabulary entries. The vocabulary is small, so each line meets all of it in one pass."""
-    words, V = vocabulary(vocab)
-    spark = lines.sparkSession
-    held = spark.sparkContext.broadcast((words, V))
-
-    def run(batches):
-        ws, M = held.value
-        for b in batches:
-            if not len(b):
-                continue
-            S = np.stack(b["emb"].to_numpy()) @ M.T
-            top = np.argsort(-S, axis=1, kind="stable")[:, :k]
-            n = top.shape[1]
-            yield pd.DataFrame({"line_id": np.repeat(b["line_id"].to_numpy(), n), "word": [ws[j] for j in top.ravel()],
-                                "sim": np.take_along_axis(S, top, 1).ravel(), "rank": np.tile(np.arange(1, n + 1, dtype=np.int32), len(b))})
-    key = lines.schema["line_id"].dataType.simpleString()
-    return lines.select("line_id", "emb").mapInPandas(run, f"line_id {key}, word string, sim double, rank int")
+    """lines(line_id, emb): nearest vocabulary entries of each line, for a vocabulary(word, emb) of any size; an entry is known by the hash of its word."""
+    words = vocab.select(F.xxhash64("word").alias("shot_id"), "word", "emb")
+    top = similarity.dense_topk(lines.select(F.col("line_id").alias("query_id"), F.col("emb").alias("qe")), words.select("shot_id", "emb"), k)
+    return top.join(words.select("shot_id", "word"), "shot_id").select(
+        F.col("query_id").cast(lines.schema["line_id"].dataType).alias("line_id"), "word", F.col("score").alias("sim"), F.col("rank").cast("int").alias("rank"))
 
 
 def zero_shot(shots: DataFrame, prompts: DataFrame, group: str, temp: float = 100.0) -> DataFrame:

@@ -128,7 +128,11 @@ def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, floor: float
             part = W.partitionBy("query_id", F.pmod(F.xxhash64("shot_id"), F.lit(64))).orderBy(F.desc("score"), "shot_id")
             scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "shot_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if margin == np.inf:
+        return ranked
+    # tasks know their own best only: the margin holds against the query's best of all
+    return ranked.withColumn("top", F.first("score").over(w)).where(F.col("score") >= F.col("top") - margin).drop("top")
 
 
 # ---------------------------------------------------------------------------------------------- threshold joins

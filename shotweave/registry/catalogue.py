@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import filters, tables, windows
-from ..sources import files as file_source
 from ..sources import sinks, stock_json, timelines
 from . import bindings as b
 from .base import query
@@ -255,13 +254,3 @@ u AS (SELECT script_id, pk % 9 AS f, min(source) AS source, min(rec_in) AS t0 FR
 SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY t0, f) AS n, 'clip' || f || '.mp4 · ' || source || ' · by maker · https://x' AS line FROM u""")
 def credit_lines(spark, d):
     return sinks.credit_rows(order_clips(spark, d))
-
-
-@query("table_files_discovered")
-def table_files_discovered(spark, d):
-    return file_source.discover_files(spark, d, ["parquet"]).select("name", "size", "ext")
-
-
-@query("table_file_hashes")
-def table_file_hashes(spark, d):
-    return file_source.hash_files(spark, d, ["parquet"])

@@ -90,8 +90,8 @@ def claim_pairs(spark, d):
     P = lambda name, kind, anc: F.struct(name.alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(kind).alias("kind"), anc.alias("anc"))
     nation, region = P(F.col("n_name"), "city", F.array("n_name", "r_name")), P(F.col("r_name"), "country", F.array("r_name"))
     # claims once per order, evidence once per supplier; the fact table then only looks both up
-    cust = t("customer").join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", nation.alias("c_nation"), region.alias("c_region"))
-    supp = t("supplier").join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", nation.alias("s_nation"), region.alias("s_region"))
+    cust = t("customer").join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", nation.alias("c_nation"), region.alias("c_region"))
+    supp = t("supplier").join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", nation.alias("s_nation"), region.alias("s_region"))
     k = F.col("o_orderkey")
     orders = t("orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", F.when(k % 4 == 3, F.array().cast(f"array<{truth.PLACE}>")).when(k % 3 == 0, F.array("c_region")).otherwise(F.array("c_nation")).alias("places"),

@@ -84,13 +84,13 @@ placements AS (SELECT event_id AS p_id, user_id AS project, event_id % 10 AS fil
   FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS t_next FROM ev) WHERE t_next IS NOT NULL)"""
 SPANS = """
 spans AS (SELECT user_id AS project, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, day * 1440.0::DOUBLE AS a, (day + 1) * 1440.0::DOUBLE AS b, 'day ' || day AS text
-  FROM (SELECT DISTINCT user_id, floor((epoch_us(ts) / 6e7 - 1704067200 / 60.0::DOUBLE) / 1440)::BIGINT AS day FROM events) WHERE day < 25)"""
+  FROM (SELECT DISTINCT user_id, floor((epoch_us(ts) / 6e7 - 1704067200 / 60.0::DOUBLE) / 1440)::BIGINT AS day FROM events))"""
 
 
 def spans(spark, d):
-    """Narration lines: one per user and active day, days 0 to 24."""
+    """Narration lines: one per user and active day."""
     day = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 6e7 - 1704067200 / 60.0) / 1440)
-    s = b.table(spark, d, "events").select(F.col("user_id").alias("project"), day.alias("day")).distinct().where("day < 25")
+    s = b.table(spark, d, "events").select(F.col("user_id").alias("project"), day.alias("day")).distinct()
     from ..operators.ordered import rank_in_key
     r = rank_in_key(s, "project", F.floor(F.col("day") / 64), ["day"], "i")
     return r.select("project", "i", (F.col("day") * 1440.0).alias("a"), ((F.col("day") + 1) * 1440.0).alias("b"), F.concat(F.lit("day "), F.col("day").cast("string")).alias("text"))

@@ -69,7 +69,7 @@ def round_robin_pick(spark, d):
     r = ordered.rank_in_key(e, "event_type", F.floor(F.col("neg") / 2), ["neg", "event_id"], "k")
     n = e.select("event_type").distinct()
     n = ordered.rank_in_key(n.withColumn("one", F.lit(1)), "one", F.ascii("event_type"), ["event_type"], "n").select("event_type", (F.col("n") - 1).alias("query_i"))
-    return windows.round_robin_pick(r.join(F.broadcast(n), "event_type").select("query_i", "k", F.col("user_id").alias("source_id")), 40)
+    return windows.round_robin_pick(r.join(n, "event_type").select("query_i", "k", F.col("user_id").alias("source_id")), 40)
 
 
 @query("ingest_task_order", """

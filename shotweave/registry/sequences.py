@@ -257,7 +257,7 @@ def ablation_table(spark, d):
 @query("cut_weight_sweep")
 def cut_weight_sweep(spark, d):
     n = cut_lineage(slot_nodes(spark, d))
-    return aggregates.weight_sweep(plans.weight_rows(n, (0.0, 0.25, 1.0))).withColumns({c: F.round(c, 4) for c in ("g_rel", "c_rel", "reduction", "rel_loss")})
+    return aggregates.weight_sweep(plans.weight_rows(n)).withColumns({c: F.round(c, 4) for c in ("g_rel", "c_rel", "reduction", "rel_loss")})
 
 
 @query("ablation_rollup", """

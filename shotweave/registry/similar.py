@@ -43,15 +43,15 @@ hay AS (SELECT shot_id, source, list_distinct({sql_tokens("title || ' ' || tags"
 
 
 @query("hybrid_rank", b.with_sql(b.SHOTS, b.SCORED, _terms_sql()) + """,
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot_id) AS r0 FROM scored QUALIFY r0 <= 60),
-h AS (SELECT query_id, t.shot_id, score + CASE WHEN r0 <= 40 AND source <> 'own' AND len(want) > 0 THEN 0.07::DOUBLE * len(list_intersect(want, hay)) / len(want) ELSE 0 END AS score
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot_id) AS r0 FROM scored QUALIFY r0 <= 500),
+h AS (SELECT query_id, t.shot_id, score + CASE WHEN r0 <= 300 AND source <> 'own' AND len(want) > 0 THEN 0.07::DOUBLE * len(list_intersect(want, hay)) / len(want) ELSE 0 END AS score
       FROM top t JOIN terms USING (query_id) JOIN hay ON hay.shot_id = t.shot_id)
 SELECT query_id, shot_id, round(score, 4) AS score FROM h""")
 def hybrid_rank(spark, d):
     s = b.shots(spark, d)
     terms = s.select(F.col("shot_id").alias("query_id"), text.tokens(F.col("tags")).alias("terms"))
-    c = similarity.dense_topk(b.self_queries(s), s, 60)
-    return retrieval.hybrid(c, s.where("source <> 'own'"), terms, pool=40).select("query_id", "shot_id", F.round("score", 4).alias("score"))
+    c = similarity.dense_topk(b.self_queries(s), s, 500)
+    return retrieval.hybrid(c, s.where("source <> 'own'"), terms, pool=300).select("query_id", "shot_id", F.round("score", 4).alias("score"))
 
 
 # greedy near-duplicate removal: walk the ranks of all queries together, carrying the kept ids
@@ -119,7 +119,19 @@ def missing_variety(spark, d):
 SIMILAR = b.SCORED + f""",
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot_id) AS r FROM scored QUALIFY r <= 300),
 gated AS (SELECT p.query_id, p.shot_id, p.score FROM pool p JOIN shots s ON s.shot_id = p.shot_id JOIN shots q ON q.shot_id = p.query_id
-          WHERE NOT (s.source_key = q.source_key AND abs(s.t_start - q.t_start) < 10))""" + KEPT[len(GATED):]
+          WHERE NOT (s.source_key = q.source_key AND abs(s.t_start - q.t_start) < 10)),
+-- clashes lie inside a source, so each source of a query is walked on its own
+g AS (SELECT query_id || ':' || source_key AS walk_id, query_id, gated.shot_id, score, source_key, t_start, emb,
+      row_number() OVER (PARTITION BY query_id, source_key ORDER BY score DESC, gated.shot_id) AS rk FROM gated JOIN shots ON shots.shot_id = gated.shot_id),
+clash AS (SELECT a.walk_id, a.rk, list(z.shot_id) AS ids FROM g a JOIN g z ON a.walk_id = z.walk_id AND z.rk < a.rk
+      AND abs(a.t_start - z.t_start) < 10 AND list_inner_product(a.emb, z.emb) > {SIM} GROUP BY 1, 2),
+step AS (SELECT g.walk_id, g.rk, g.shot_id, coalesce(c.ids, []) AS ids FROM g LEFT JOIN clash c ON c.walk_id = g.walk_id AND c.rk = g.rk),
+walk AS (SELECT walk_id, 0::BIGINT AS rk, []::BIGINT[] AS kept, NULL::BIGINT AS took FROM (SELECT DISTINCT walk_id FROM g)
+   UNION ALL
+   SELECT w.walk_id, s.rk, CASE WHEN list_has_any(s.ids, w.kept) THEN w.kept ELSE list_append(w.kept, s.shot_id) END,
+          CASE WHEN list_has_any(s.ids, w.kept) THEN NULL ELSE s.shot_id END
+   FROM walk w JOIN step s ON s.walk_id = w.walk_id AND s.rk = w.rk + 1),
+distinct_rows AS (SELECT g.query_id, w.took AS shot_id, g.score, g.source_key, g.emb FROM walk w JOIN g ON g.walk_id = w.walk_id AND g.shot_id = w.took)"""
 
 
 @query("similar_shots", b.with_sql(b.SHOTS, SIMILAR, recursive=True) + """,

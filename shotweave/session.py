@@ -7,13 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names in spark.checkpoint.dir; a local one only where unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str):
     """Rows of a small parameter table; refuses to bring more than `limit` of them to the driver."""
     rows = df.limit(limit + 1).collect()
@@ -36,5 +44,4 @@ def local_session(cores: str = "*", app: str = "shotweave") -> SparkSession:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables: below the cluster's checkpoint folder, a local one only where that is unset."""
     import uuid
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ def edl_placements(lines: DataFrame, fps: int = 25) -> DataFrame:
     is_event = F.col("line").rlike(EVENT)
     d = running(lines, "project", F.floor(F.col("n") / 4096), ["n"], event=("sum", is_event.cast("long"))).where("event > 0")
     part = lambda i: F.regexp_extract("line", EVENT, i)
-    tail = lambda mark: F.when(F.startswith("line", F.lit(mark)), F.trim(F.substring("line", len(mark) + 1, 1 << 20)))
+    tail = lambda mark: F.when(F.startswith("line", F.lit(mark)), F.trim(F.substr(F.col("line"), F.lit(len(mark) + 1))))
     d = d.withColumns({"ev": F.when(is_event, F.struct(part(2).alias("reel"), *[media.timecode_seconds(part(i), fps).alias(n) for i, n in (
         (3, "src_in"), (4, "src_out"), (5, "rec_in"), (6, "rec_out"))])), "name": tail("* FROM CLIP NAME:"), "note": tail("* COMMENT:")})
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n")))
