@@ -159,3 +159,17 @@ def test_smart_trim(spark):
     rows = [(10., 14., 12., 3.5, 10.), (10., 30., None, 4., 10.), (10., 30., 20., 5., 18.), (10., 30., 29.5, 5., 25.)]
     df = spark.createDataFrame(rows, "a double, b double, p double, d double, want double")
     assert all(r.got == pytest.approx(r.want) for r in df.withColumn("got", media.smart_trim(*[F.col(c) for c in "abpd"])).collect())
+
+
+def test_margin_is_the_same_for_every_plan(spark):
+    """What a margin leaves must not hang on the number of tasks or on the way taken."""
+    vectors = np.random.default_rng(8).normal(size=(300, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "shot_id long, emb array<double>")
+    q = s.where("shot_id < 40").select(F.col("shot_id").alias("query_id"), F.col("emb").alias("qe"), F.col("shot_id").alias("skip_id"))
+    score = vectors[:40] @ vectors.T
+    score[np.arange(40), np.arange(40)] = -9
+    want = {(i, j) for i in range(40) for j in np.argsort(-score[i], kind="stable")[:50] if score[i, j] >= max(0.18, score[i].max() - 0.05)}
+    for parts, size in ((2, 64 << 20), (13, 64 << 20), (5, 0)):
+        got = similarity.dense_topk(q, s.repartition(parts), 50, 0.18, 0.05, block_rows=37, broadcast_bytes=size)
+        assert {(r.query_id, r.shot_id) for r in got.collect()} == want
