@@ -72,17 +72,20 @@ def motion_peak(samples: DataFrame, shots: DataFrame, min_change: float = 1.0) -
 
 
 def head_tail_features(frame_stats: DataFrame, shots: DataFrame, win: float = 0.3, min_len: float = 0.1) -> DataFrame:
-    """Luma, warmth and flow of the first and last `win` seconds, saliency of the frame nearest the middle.
+    """Luma and warmth of a shot's first and last frame, flow across its first and last `win` seconds, saliency of the frame nearest the middle.
 
-    frame_stats(shot_id, t, luma, warmth, dx, dy, sal_x, sal_y). Shots shorter than min_len have no features.
+    frame_stats(shot_id, t, luma, warmth, dx, dy, sal_x, sal_y), dx and dy being the shift since the frame before, so the flow between two frames is the sum of the
+    shifts after the first up to the second. Shots shorter than min_len, or without frames, have no features.
     """
     s = shots.where(F.col("t_end") - F.col("t_start") >= min_len).select("shot_id", "t_start", "t_end")
-    j = s.join(frame_stats, "shot_id").where(F.col("t").between(F.col("t_start"), F.col("t_end")))
-    head, tail = F.col("t") <= F.col("t_start") + win, F.col("t") >= F.col("t_end") - win
-    mid = F.struct(F.abs(F.col("t") - (F.col("t_start") + F.col("t_end")) / 2), "t")
+    t = F.col("t")
+    j = s.join(frame_stats, "shot_id").where(t.between(F.col("t_start"), F.col("t_end")))
+    head = (t > F.col("t_start")) & (t <= F.col("t_start") + win)
+    tail = (t > F.col("t_end") - win) & (t > F.col("t_start"))
+    mid = F.struct(F.abs(t - (F.col("t_start") + F.col("t_end")) / 2), "t")
     return j.groupBy("shot_id").agg(
-        *[F.coalesce(F.avg(F.when(side, F.col(c))), F.lit(0.0)).alias(f"{name}_{c}")
-          for name, side in (("head", head), ("tail", tail)) for c in ("dx", "dy", "luma", "warmth")],
+        *[pick(c, "t").alias(f"{name}_{c}") for name, pick in (("head", F.min_by), ("tail", F.max_by)) for c in ("luma", "warmth")],
+        *[F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0.0)).alias(f"{name}_{c}") for name, side in (("head", head), ("tail", tail)) for c in ("dx", "dy")],
         F.min_by("sal_x", mid).alias("sal_x"), F.min_by("sal_y", mid).alias("sal_y"))
 
 

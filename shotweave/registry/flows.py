@@ -92,13 +92,15 @@ def motion_peaks(spark, d):
 
 
 @query("head_tail_features", b.with_sql(EV) + """,
-m AS (SELECT shot_id, value, t, t <= t_start + 1.2 AS h, t >= t_end - 1.2 AS z, abs(t - (t_start + t_end) / 2) AS off FROM es JOIN sh USING (shot_id) WHERE t_end - t_start >= 0.1)
-SELECT shot_id, round(avg(value / 100) FILTER (h), 4) AS head_luma, round(avg(value / 100) FILTER (z), 4) AS tail_luma, round(first(value % 1 ORDER BY off, t), 4) AS sal_x FROM m GROUP BY 1""")
+m AS (SELECT shot_id, value, t, t > t_start AND t <= t_start + 1.2 AS h, t > t_end - 1.2 AND t > t_start AS z, abs(t - (t_start + t_end) / 2) AS off FROM es JOIN sh USING (shot_id) WHERE t_end - t_start >= 0.1)
+SELECT shot_id, round(arg_min(value / 100, t), 4) AS head_luma, round(arg_min(value / 300, t), 4) AS head_warmth, round(arg_max(value / 100, t), 4) AS tail_luma, round(arg_max(value / 300, t), 4) AS tail_warmth,
+ round(coalesce(sum(value % 3) FILTER (h), 0), 4) AS head_dx, round(coalesce(sum(value % 2) FILTER (h), 0), 4) AS head_dy, round(coalesce(sum(value % 3) FILTER (z), 0), 4) AS tail_dx,
+ round(coalesce(sum(value % 2) FILTER (z), 0), 4) AS tail_dy, round(first(value % 1 ORDER BY off, t), 4) AS sal_x, round(first(value % 1 ORDER BY off, t) / 2, 4) AS sal_y FROM m GROUP BY 1""")
 def head_tail_features(spark, d):
     v = F.col("value")
-    fs = event_samples(spark, d).select("shot_id", "t", (v / 100).alias("luma"), (v / 200).alias("warmth"), (v % 3).alias("dx"), (v % 2).alias("dy"), (v % 1).alias("sal_x"), F.lit(0.5).alias("sal_y"))
+    fs = event_samples(spark, d).select("shot_id", "t", (v / 100).alias("luma"), (v / 300).alias("warmth"), (v % 3).alias("dx"), (v % 2).alias("dy"), (v % 1).alias("sal_x"), (v % 1 / 2).alias("sal_y"))
     f = aggregates.head_tail_features(fs, event_shots(spark, d), win=1.2)
-    return f.select("shot_id", *[F.round(c, 4).alias(c) for c in ("head_luma", "tail_luma", "sal_x")])
+    return f.select("shot_id", *[F.round(c, 4).alias(c) for c in f.columns if c != "shot_id"])
 
 
 @query("thumbnail_features", "SELECT p_partkey AS shot_id, round(p_retailprice / 2000, 6) AS head_luma FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
