@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from . import exchange, golomb, sieve
 from .frames import cut_lineage, id_and_text, partitions, schema_with
-from .words import text_column
+from .words import small, text_column
 
 BITS = 48                                       # of a fingerprint: equal ones are only suspects
 CHUNK = 1 << 16
@@ -78,11 +78,11 @@ def _suspects(requests: DataFrame, answers: DataFrame, owners: int) -> DataFrame
 
 
 def _suspect_texts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
-    """Each task's suspect texts, once for each batch: fp, bare bytes, rows."""
+    """Each task's suspect texts, once for each few megabytes read: fp, bare bytes, rows."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(suspects, F.col("fp")).tobytes())
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows, texts = {}, list(_texts(batch))
             fps = np.fromiter((_print(hashlib.sha256(x).digest()) for x in texts), np.int64, len(texts))
             for i in np.flatnonzero(sieve.passes(shared.value, fps)).tolist():
@@ -102,7 +102,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     table gives no rows.
 
     1. Tasks send sorted 48-bit fingerprints, Golomb-coded, to the owners of their ranges. 2. Owners return bitmaps of those seen twice. 3. Only suspects'
-    texts, each once per batch, are shuffled and grouped by their bytes. Hot groups are folded before every shuffle; the last join has a hot left
+    texts, each once per few megabytes, are shuffled and grouped by their bytes. Hot groups are folded before every shuffle; the last join has a hot left
     side that Spark splits.
     """
     marks, groups = _groups(id_and_text(docs))
@@ -137,7 +137,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def part(inside):
         def run(batches):
-            for batch in batches:
+            for batch in small(batches):
                 shas = [hashlib.sha256(x).digest() for x in _texts(batch)]
                 may = pa.array(sieve.passes(shared.value, np.fromiter(map(_print, shas), np.int64, len(shas))) == inside)
                 columns = [*batch.columns, pa.array(shas, pa.binary())] if inside else batch.columns

@@ -11,7 +11,7 @@ from . import sieve
 from .components import components
 from .frames import cut_lineage, id_and_text, schema_with
 from .shingles import shingle_sets
-from .words import mix, slices, text_column
+from .words import mix, slices, small, text_column
 
 BANDS, ROWS = 26, 4                             # a pair at 0.8 shares no band once in a million
 HASHES = BANDS * ROWS
@@ -172,7 +172,7 @@ def _confirmed(docs: DataFrame, reps: DataFrame, families: DataFrame, size: int,
     schema = schema_with(docs, "a long, b long, shingles binary")
 
     def sets(batches):
-        for batch in batches:
+        for batch in small(batches):
             batch = batch.filter(pa.array(sieve.passes(shared.value, batch.column(2).to_numpy())))
             texts = text_column(batch)
             for i, j in slices(texts):

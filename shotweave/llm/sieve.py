@@ -4,6 +4,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import small
+
 BITS = 1 << 26                                  # 8 MB whatever the input: a fuller filter lets more pass, an exact join decides
 
 
@@ -29,7 +31,7 @@ def split(docs: DataFrame, number: Column, filter_bits: np.ndarray) -> tuple[Dat
 
     def part(inside):
         def run(batches):
-            for batch in batches:
+            for batch in small(batches):
                 may = passes(shared.value, batch.column(batch.num_columns - 1).to_numpy()) == inside
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pa.array(may))
         return docs.select("*", number.alias("sieve number")).mapInArrow(run, docs.schema)

@@ -18,6 +18,7 @@ GRAM = 20                                       # bytes of an anchor: the least
 BITS = 48                                       # of an anchor's hash in the exchange
 BLOCK_BYTES = 2 << 20
 PIECE = 1 << 18
+SORT_BYTES = 1 << 19                            # of text whose suffixes are sorted together; equal windows always have equal anchors
 LAST = np.iinfo(np.int64).max                   # stands for a missing doc_id: after all others
 
 
@@ -163,11 +164,19 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     several = np.bincount(group)[group] > 1
     least = np.repeat(doc[lead], size[lead])
     first = np.cumsum(size[lead]) - size[lead]
-    open_ = lead[several]                                # contents that may share windows with others
-    if len(open_):
-        text = raw[ragged(begin[open_], width[open_])]
-        starts = ragged(np.cumsum(width[open_]) - width[open_], size[open_])
-        least[ragged(first[several], size[open_])] = least_equal(text, starts, np.repeat(doc[open_], size[open_]), length)
+    open_, place = lead[several], first[several]         # contents that may share windows with others, by anchor
+    reach = np.cumsum(width[open_])
+    turns = np.flatnonzero(np.diff(anchor[open_], prepend=-1, append=-1)) if len(open_) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(open_):                                # whole anchors, about SORT_BYTES of text at a time
+        j = int(turns[np.searchsorted(turns, i, "right")])
+        fits = turns[(turns > j) & (reach[turns - 1] - reach[i] <= SORT_BYTES)]
+        j = int(fits[-1]) if len(fits) else j
+        part = open_[i:j]
+        text = raw[ragged(begin[part], width[part])]
+        starts = ragged(np.cumsum(width[part]) - width[part], size[part])
+        least[ragged(place[i:j], size[part])] = least_equal(text, starts, np.repeat(doc[part], size[part]), length)
+        i = j
     gone = least[ragged(first[kind], size)] < np.repeat(doc, size)
     bounds = np.cumsum(np.add.reduceat(size, np.concatenate(([0], np.cumsum([r["n"] for r in rows])[:-1]))))
     masks = [squeeze(np.packbits(x)) for x in np.split(gone, bounds[:-1])]

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import id_and_text, schema_with
-from .words import PLAIN, Words, mix, slices, span_hash, text_column
+from .words import PLAIN, Words, mix, slices, small, span_hash, text_column
 
 BUCKETS = 1 << 20
 PAIR, SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -134,7 +134,7 @@ def without_toxic(docs: DataFrame, model, cutoff: float = 0.5) -> DataFrame:
     scorer = _scorer(docs.sparkSession, model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(scorer(text_column(batch)) < cutoff))
 
     return docs.mapInArrow(run, docs.schema)

@@ -70,6 +70,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         LIBC.malloc_trim(0)
 
 
+def small(batches):
+    """The rows of Arrow batches with a column text, about SLICE_BYTES of it at a time, so that what goes back is small too."""
+    for batch in batches:
+        for i, j in slices(text_column(batch)):
+            yield batch.slice(i, j - i)
+
+
 def offsets(texts: pa.Array):
     """Byte offsets of each text, null as empty (its bounds are equal in Arrow's layout made by fill_null)."""
     wide = pa.types.is_large_string(texts.type)
