@@ -15,7 +15,9 @@ from .words import mix, slices, small, text_column
 
 BANDS, ROWS = 26, 4                             # a pair at 0.8 shares no band once in a million
 HASHES = BANDS * ROWS
-BLOCK = 1024                                    # members compared in one task; larger families meet block by block
+BLOCK = 1024                                    # members compared in one task; larger buckets and families are cut into such blocks
+CELL = 4096                                     # members of either side in one task that compares signatures only
+PIVOTS = 8                                      # members of a large bucket or family that every block of it meets
 SEED = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), np.uint64)
 TIMES, PLUS = SEED[0] * np.uint64(2) + np.uint64(1), SEED[1]
 
@@ -107,16 +109,66 @@ def _forest(sigs, least):
         queue, left = [int(left[0])], left[1:]
 
 
+def _sized(groups: DataFrame, key: str) -> DataFrame:
+    """key, blocks: how many blocks each group of two or more rows has."""
+    return cut_lineage(groups.groupBy(key).agg(F.count("*").alias("size")).where("size > 1").select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+
+
+def _guests(groups: DataFrame, key: str, large: DataFrame) -> DataFrame:
+    """key, cid, block: a few members of each large group, once for every block of it."""
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "cid"), "cid"))["cid"] for k in range(PIVOTS)]
+    few = groups.join(large, key).groupBy(key, "blocks").agg(F.array_distinct(F.array(*least)).alias("few"))
+    return few.select(key, "blocks", F.explode("few").alias("cid")).select(key, "cid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+
+def _apart(members: DataFrame, key: str, cell: int) -> DataFrame:
+    """members (key, cid, label, ...) dealt to pairs of blocks (low, high), such that each two of one key with different labels meet.
+
+    The members of a key's most frequent label don't meet each other; a key with one label is left out.
+    """
+    labels = members.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = labels.groupBy(key).agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    main = main.select(key, "main", F.ceil((F.col("all") - F.col("most")) / cell).cast("int").alias("rest"), F.ceil(F.col("most") / cell).cast("int").alias("mains"))
+    at = F.xxhash64(F.lit(PIVOTS), "cid")
+    held = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
+    last = F.when(F.col("label") == F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    dealt = members.join(main, key).select(*members.columns, held.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select(*members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _sides(table: pa.Table):
+    block, low, high = table["block"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
+    return np.flatnonzero(block == low), np.flatnonzero(block == high)
+
+
+def _agreeing(sigs, labels, left, right, least):
+    """For each row of left those of right with another label whose signatures agree."""
+    across = np.ascontiguousarray(sigs[right].T)
+    for x in left.tolist():
+        near = ((across == sigs[x][:, None]).view(np.uint8).sum(0, dtype=np.uint8) >= least) & (labels[right] != labels[x])
+        if near.any():
+            yield x, right[near]
+
+
+def _codes(column) -> np.ndarray:
+    return np.unique(column.to_numpy(), return_inverse=True)[1]
+
+
 def _candidates(marks: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """u, v: for each band bucket a spanning forest of its members that agree in their signatures.
+    """u, v: edges between members of a band bucket that agree in their signatures, enough to connect whichever two of a bucket agree.
 
-    A bucket of more than BLOCK members is tied together as it is, since the full sets are compared later anyway.
+    A bucket of up to BLOCK members gives a spanning forest. A larger one is cut into blocks, each with the bucket's pivots; then members that are not
+    connected yet meet block by block, by signatures only.
     """
     places = reps.select("cid", F.explode("bands").alias("k"))
-    many = places.groupBy("k").agg(F.count("*").alias("size"), F.min("cid").alias("hub")).where("size > 1")
-    shared = places.join(many, "k")
-    stars = shared.where((F.col("size") > BLOCK) & (F.col("cid") != F.col("hub"))).select(F.col("hub").alias("u"), F.col("cid").alias("v"))
-    small = shared.where(F.col("size") <= BLOCK).select("k", "cid").join(reps.select("cid", "sig"), "cid")
+    many = _sized(places, "k")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = places.join(many, "k").select(F.when(F.col("blocks") == 1, F.col("k")).otherwise(F.xxhash64("k", block)).alias("k"), "cid")
+    large = many.where("blocks > 1")
+    crowded = not large.isEmpty()
+    if crowded:
+        dealt = dealt.union(_guests(places, "k", large).select(F.xxhash64("k", "block"), "cid"))
+    dealt = dealt.join(reps.select("cid", "sig"), "cid")
 
     def run(batches):
         for table, edges in _groups(batches, "k"):
@@ -133,13 +185,30 @@ def _candidates(marks: DataFrame, reps: DataFrame, least: int) -> DataFrame:
                 u.append(ids[pairs[:, 0]]), v.append(ids[pairs[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    kind = reps.schema["cid"].dataType.simpleString()
-    near = small.repartition("k").sortWithinPartitions("k").mapInArrow(run, f"u {kind}, v {kind}")
-    return near.union(stars).distinct()
-
+    def meet(table: pa.Table) -> pa.Table:
+        ids, sigs, labels = table["cid"].to_numpy(), _sig_matrix(table["sig"]), _codes(table["label"])
+        out = []
+        for x, near in _agreeing(sigs, labels, *_sides(table), least):
+            for y in near.tolist():
+                if labels[x] != labels[y]:
+                    labels[labels == labels[y]] = labels[x]
+                    out.append((ids[x], ids[y]))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
 
-def _links(ids, sizes, sets, sigs, left, right, low, high, least, percent):
-    """Confirmed links between rows of left and right that earlier ones don't imply."""
+    kind = reps.schema["cid"].dataType.simpleString()
+    near = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(run, f"u {kind}, v {kind}").where("u != v").distinct()
+    if not crowded:
+        return near
+    near = cut_lineage(near)
+    named = components(near).withColumnRenamed("node", "cid")
+    members = places.join(large.select("k"), "k").join(named, "cid", "left").select("k", "cid", F.coalesce("component", "cid").alias("label"))
+    left = _apart(cut_lineage(members), "k", CELL).join(reps.select("cid", "sig"), "cid")
+    return near.union(left.groupBy("k", "low", "high").applyInArrow(meet, f"u {kind}, v {kind}")).distinct()
+
+
+def _links(ids, sizes, sets, sigs, labels, left, right, least, percent):
+    """Confirmed links between rows of left and right that labels and earlier links don't imply."""
     root = list(range(len(ids)))
 
     def find(x):
@@ -148,9 +217,12 @@ def _links(ids, sizes, sets, sigs, left, right, low, high, least, percent):
             x = root[x]
         return x
 
+    for first, x in zip(np.unique(labels, return_index=True)[1][labels].tolist(), range(len(ids)), strict=True):
+        root[x] = first
     out = []
-    for x in left:
-        others = right[right > x] if low == high else right
+    same = np.array_equal(left, right)
+    for x in left.tolist():
+        others = right[right > x] if same else right
         others = others[(100 * np.minimum(sizes[x], sizes[others]) >= percent * np.maximum(sizes[x], sizes[others]))]
         for y in others[(sigs[others] == sigs[x]).sum(1) >= least].tolist():
             if find(x) == find(y):
@@ -162,13 +234,9 @@ def _links(ids, sizes, sets, sigs, left, right, low, high, least, percent):
     return out
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, families: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """u, v: links confirmed on full sets, enough of them to connect whatever is linked, within each family of candidates."""
-    fam = families.select(F.col("node").alias("cid"), F.col("component").alias("fam"))
-    blocks = fam.groupBy("fam").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = cut_lineage(fam.join(blocks, "fam").join(reps.select("cid", "a", "b", "sig"), "cid")
-                          .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(members, F.xxhash64("cid")).tobytes())
+def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """rows (cid, a, b, ...) and the full set of each."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(rows, F.xxhash64("cid")).tobytes())
     schema = schema_with(docs, "a long, b long, shingles binary")
 
     def sets(batches):
@@ -182,22 +250,54 @@ def _confirmed(docs: DataFrame, reps: DataFrame, families: DataFrame, size: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(blobs, pa.binary())], names=schema.names)
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).where(F.col("doc_id").isNotNull()).mapInArrow(sets, schema)
-    full = members.join(texts.withColumnRenamed("doc_id", "cid"), ["cid", "a", "b"]).dropDuplicates(["cid", "a", "b"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (full.select("*", other.alias("other"))
-             .select("fam", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "shingles", "sig"))
+    return rows.join(texts.withColumnRenamed("doc_id", "cid"), ["cid", "a", "b"])
+
+
+def _confirmed(docs: DataFrame, reps: DataFrame, families: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """u, v: links confirmed on full sets, enough of them to connect whatever is linked, within each family of candidates.
+
+    A family of up to BLOCK members meets in one task. A larger one is cut into blocks, each with the family's pivots; then members that no link connects yet
+    meet block by block, by signatures, and those that agree with one of another component are compared on full sets.
+    """
+    fam = families.select(F.col("node").alias("cid"), F.col("component").alias("fam"))
+    sized = _sized(fam, "fam")
+    members = cut_lineage(fam.join(sized, "fam").join(reps.select("cid", "a", "b", "sig"), "cid")
+                          .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    large = sized.where("blocks > 1")
+    crowded = not large.isEmpty()
+    kind = reps.schema["cid"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, block = table["cid"].to_numpy(), table["block"].to_numpy()
+        ids = table["cid"].to_numpy()
         sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         sizes, sigs = np.array([len(x) for x in sets_]), _sig_matrix(table["sig"])
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        pairs = _links(ids, sizes, sets_, sigs, np.flatnonzero(block == low).tolist(), np.flatnonzero(block == high), low, high, least, percent)
+        late = "label" in table.column_names
+        labels, sides = (_codes(table["label"]), _sides(table)) if late else (np.arange(len(ids)), [np.arange(len(ids))] * 2)
+        pairs = _links(ids, sizes, sets_, sigs, labels, *sides, least, percent)
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
 
-    kind = reps.schema["cid"].dataType.simpleString()
-    return dealt.groupBy("fam", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}")
+    def agreeing(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for x, near in _agreeing(_sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least):
+            hit[x] = hit[near] = True
+        return table.filter(pa.array(hit))
+
+    rows = members.select("cid", "a", "b", "fam", "block", "sig")
+    if crowded:
+        guests = _guests(fam, "fam", large).withColumnRenamed("block", "at")
+        rows = rows.union(members.join(guests, ["fam", "cid"]).where("at != block").select("cid", "a", "b", "fam", "at", "sig"))
+    full = _with_sets(docs, rows, size).dropDuplicates(["fam", "block", "cid", "a", "b"])
+    links = full.groupBy("fam", "block").applyInArrow(compare, f"u {kind}, v {kind}")
+    if not crowded:
+        return links
+    links = cut_lineage(links)
+    named = components(links).withColumnRenamed("node", "cid")
+    left = members.where("blocks > 1").join(named, "cid", "left").select("fam", "cid", "a", "b", "sig", F.coalesce("component", "cid").alias("label"))
+    left = _apart(cut_lineage(left), "fam", BLOCK)
+    left = cut_lineage(left.groupBy("fam", "low", "high").applyInArrow(agreeing, left.schema))
+    full = _with_sets(docs, left, size).dropDuplicates(["fam", "low", "high", "cid", "a", "b"])
+    return links.union(full.groupBy("fam", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -208,8 +308,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shorter texts are one shingle. Rows with one doc_id count as one node (repeated rows all share its component and kept). A row without
     an id takes the component of its equals, else null, and is kept only in the latter case. An empty table gives no rows.
 
-    Equal sets are folded first. Minima in 26 bands of 4 find candidates; buckets give spanning forests, never all pairs, and star contraction makes families
-    of them. Inside a family full sets decide; families above BLOCK meet block against block. Links join into components by the same contraction.
+    Equal sets are folded first. Minima in 26 bands of 4 find candidates; buckets give tested edges, never all pairs, and star contraction makes families
+    of them. Inside a family full sets decide; of families above BLOCK blocks meet pivots, then what is not linked yet. Links join into components by the same contraction.
     """
     docs = id_and_text(docs)
     least = _least_matches(percent / 100)

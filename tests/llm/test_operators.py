@@ -290,3 +290,37 @@ def test_shards(docs):
 def test_shingle_sets_of_short_texts():
     values, first = shingle_sets(pa.array(["", "a b", "A  B", "a b c d e a b c d e"]), 5)
     assert np.diff(first).tolist() == [0, 1, 1, 5] and values[first[1]] == values[first[2]]
+
+
+def test_large_buckets_and_families_are_compared_whole(spark, monkeypatch):
+    """A passage shared by unrelated texts makes buckets above BLOCK, but no family; near copies of one text make a family of many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    r = np.random.default_rng(3)
+    common = " ".join(f"p{k}" for k in range(60))
+    mixed = [common + " " + " ".join(f"w{x}" for x in r.integers(0, 1 << 40, 30)) for _ in range(120)]
+    copies = []
+    for _ in range(60):
+        w = [f"c{k}" for k in range(80)]
+        for k in r.integers(0, 80, r.integers(0, 4)):
+            w[k] = f"z{r.integers(0, 1 << 40)}"
+        copies.append(" ".join(w))
+    texts = mixed + copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    least = near_dedup._least_matches(0.8)
+    marks = near_dedup._marks(docs, 5).cache()
+    reps = marks.groupBy("a", "b").agg(near_dedup.F.min("doc_id").alias("cid"), near_dedup.F.first("bands").alias("bands"), near_dedup.F.first("sig").alias("sig")).cache()
+    sig = {x.cid: np.frombuffer(x.sig, np.uint16) for x in reps.collect()}
+    edges = near_dedup._candidates(marks, reps, least).collect()
+    assert edges and all((sig[u] == sig[v]).sum() >= least for u, v in edges)
+    values, first = shingle_sets(pa.array(texts), 5)
+    sets = [set(values[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert 1 < len(set(root[120:])) or len(set(root)) == 121
