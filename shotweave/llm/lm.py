@@ -11,6 +11,8 @@ from .words import Words, mix, slices, text_column
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)     # stand for a text's begin as a context and its end as a token
 SUCC_BITS = np.uint64(40)                       # of a successor's hash within its context
 BLOCK_BYTES = 8 << 20
+OFTEN = 256                                     # occurrences in a block from which a context is counted beforehand
+PART = 1 << 21                                  # occurrences in the corpus above which a context's successors are dealt to several owners
 
 
 def squeeze(a: np.ndarray, level: int = 1) -> bytes:
@@ -31,7 +33,8 @@ def unplanes(raw: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Rows of about 8 MB of text each: block, ids, held (out of training), sizes (words per text), words (distinct hashes), codes (their order)."""
+    """Rows of about 8 MB of text each: block, ids, held (out of training), sizes (words per text), words (distinct hashes), codes (their order),
+    heavy and times (contexts that occur OFTEN in the block, and how often)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -41,17 +44,21 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for i, j in slices(texts, BLOCK_BYTES):
                 words = Words(texts.slice(i, j - i), lower=True)
                 codes, first = words.distinct()
-                often = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")      # frequent words get small codes, which compress well
+                times = np.bincount(codes, minlength=len(first))
+                often = np.argsort(-times, kind="stable")      # frequent words get small codes, which compress well
                 rank = np.empty_like(often)
                 rank[often] = np.arange(len(often))
-                codes, first = rank[codes], first[often]
+                codes, first, times = rank[codes], first[often], times[often]
+                heavy = np.append(words.hash[first], BEGIN), np.append(times, j - i)
+                heavy = [x[heavy[1] >= OFTEN].astype(np.int64) for x in heavy]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block]), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([batch.column(2).slice(i, j - i).to_pylist()], pa.list_(pa.bool_())),
-                    pa.array([np.diff(words.first).astype(np.int32).tobytes()], pa.binary()), pa.array([words.hash[first].tobytes()], pa.binary()), pa.array([squeeze(planes(codes))], pa.binary())],
-                    names=["block", "ids", "held", "sizes", "words", "codes"])
+                    pa.array([np.diff(words.first).astype(np.int32).tobytes()], pa.binary()), pa.array([words.hash[first].tobytes()], pa.binary()), pa.array([squeeze(planes(codes))], pa.binary()),
+                    *(pa.array([x], pa.list_(pa.int64())) for x in heavy)],
+                    names=["block", "ids", "held", "sizes", "words", "codes", "heavy", "times"])
                 block += 1
 
-    return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes binary, words binary, codes binary")
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, sizes binary, words binary, codes binary, heavy array<long>, times array<long>")
 
 
 class Block:
@@ -96,21 +103,55 @@ class Block:
     def of(cls, row):
         return cls(row["held"], row["sizes"], row["words"], row["codes"])
 
-    def by_owner(self, owners):
-        """(owner, contexts from, to, pairs from, to) along the sorted contexts."""
-        owner = owner_of(self.hash, owners)
-        edges = np.flatnonzero(np.diff(owner, prepend=-1, append=owners))
-        pairs = np.concatenate(([0], np.cumsum(self.runs)))
+    def by_owner(self, split):
+        """(owner, contexts from, to, pairs) along the sorted contexts, without pairs of split contexts; then (owner, context, context + 1, pairs) for the parts of those."""
+        of, hot = split.find(self.hash)
+        cold, parted = self.cold(split)
+        owner = owner_of(self.hash, split.owners)
+        edges = np.flatnonzero(np.diff(owner, prepend=-1, append=split.owners))
+        pairs = np.concatenate(([0], np.cumsum(np.where(hot, 0, self.runs))))
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(owner[i]), i, j, int(pairs[i]), int(pairs[j])
+            yield int(owner[i]), i, j, cold[pairs[i]:pairs[j]]
+        k = of[self.pair_context[parted]]
+        part = split.first[k] + (self.succ[parted] * split.parts[k].astype(np.uint64) >> SUCC_BITS).astype(np.int64)
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else [0]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            u = int(self.pair_context[parted[i]])
+            yield int(part[i]), u, u + 1, parted[i:j]
+
+    def cold(self, split):
+        """Pairs of contexts that have one owner, and pairs of split contexts, each in order."""
+        hot = split.find(self.hash)[1][self.pair_context]
+        return np.flatnonzero(~hot), np.flatnonzero(hot)
+
+
+class Split:
+    """Contexts whose successors go to several owners by ranges of the successors' hashes: hash (ascending), parts, and first, the owner of each one's first part."""
+
+    def __init__(self, owners: int, times: dict[int, int]):
+        self.owners = owners
+        self.hash = np.sort(np.array(list(times), np.int64).view(np.uint64))
+        self.parts = np.array([-(-times[h] // PART) for h in self.hash.view(np.int64).tolist()], np.int64)
+        self.first = owners + np.cumsum(self.parts) - self.parts
+
+    def find(self, hashes):
+        """Place of each hash among the split contexts, and whether it is one."""
+        at = np.searchsorted(self.hash, hashes)
+        if not len(self.hash):
+            return at, np.zeros(len(hashes), bool)
+        at = np.minimum(at, len(self.hash) - 1)
+        return at, self.hash[at] == hashes
 
 
 def owner_of(hashes, owners):
     return ((hashes >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
 
 
-def _requests(blocks: DataFrame, owners: int) -> DataFrame:
-    """Per block and owner of a range of contexts: their hashes and training counts, and each one's successors with theirs."""
+def _requests(blocks: DataFrame, split: Split) -> DataFrame:
+    """Per block and owner of a range of contexts: their hashes and training counts, and each one's successors with theirs.
+
+    A split context's count goes with the context, its successors go to the owners of its parts, where it counts as 0.
+    """
     names = ["owner", "block", "n", "contexts", "context_count", "runs", "succ_low", "succ_high", "pair_count"]
 
     def run(batches):
@@ -118,17 +159,20 @@ def _requests(blocks: DataFrame, owners: int) -> DataFrame:
             for row in batch.to_pylist():
                 b = Block.of(row)
                 out = []
-                for owner, i, j, p, q in b.by_owner(owners):
-                    succ = b.succ[p:q]
-                    out.append((owner, row["block"], j - i, b.hash[i:j].tobytes(), squeeze(b.context_count[i:j].astype(np.uint32)), squeeze(b.runs[i:j].astype(np.uint32)),
-                                succ.astype(np.uint32).tobytes(), (succ >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(b.pair_count[p:q].astype(np.uint32))))
+                whole = np.where(split.find(b.hash)[1], 0, b.runs)
+                for owner, i, j, p in b.by_owner(split):
+                    part, succ = owner >= split.owners, b.succ[p]
+                    total, runs = (np.zeros(1), np.array([len(p)])) if part else (b.context_count[i:j], whole[i:j])
+                    out.append((owner, row["block"], j - i, b.hash[i:j].tobytes(), squeeze(total.astype(np.uint32)), squeeze(runs.astype(np.uint32)),
+                                succ.astype(np.uint32).tobytes(), (succ >> np.uint64(32)).astype(np.uint8).tobytes(), squeeze(b.pair_count[p].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=names)
 
     return blocks.select("block", "held", "sizes", "words", "codes").mapInArrow(run, "owner long, block long, n long, contexts binary, context_count binary, runs binary, succ_low binary, succ_high binary, pair_count binary")
 
 
-def _answers(requests: DataFrame) -> DataFrame:
-    """Per block and owner the corpus counts of what was asked; one row more per owner (no block) with its tokens, words and counts of counts."""
+def _answers(requests: DataFrame, owners: int) -> DataFrame:
+    """Per block and owner the corpus counts of what was asked; one row more per owner (no block) with its tokens, words and counts of counts,
+    and for a part of a split context also that context and its different successors here."""
     def own(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         contexts = np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows])
@@ -151,6 +195,8 @@ def _answers(requests: DataFrame) -> DataFrame:
         inside = kinds != BEGIN
         docs = int(total[~inside].sum())
         stats = [int(total[inside].sum()) + docs, int((total[inside] > 0).sum()) + (docs > 0), int((counts == 1).sum()), int((counts == 2).sum())]
+        if rows[0]["owner"] >= owners:
+            stats += [int(kinds.view(np.int64)[0]), int(kinds_after[0])]
         out.append((rows[0]["owner"], None, None, None, None, None, None, stats))
         kinds_ = [pa.int64()] * 4 + [pa.binary()] * 3 + [pa.list_(pa.int64())]
         return pa.table({f.split()[0]: pa.array(c, k) for f, c, k in zip(ANSWER.split(", "), zip(*out, strict=True), kinds_, strict=True)})
@@ -199,12 +245,17 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
 
     Blocks of about 8 MB of text send the distinct pairs they hold to the owners of the contexts' hashes, owners add up training counts and answer with corpus
     counts, and each block builds its part of the automaton and walks its texts. No table of n-grams is broadcast; a frequent pair is one entry per block.
+    A context of more than PART occurrences has its successors dealt to several owners by their hashes; its successor counts are added up over them.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(True)).alias("held")
     blocks = cut_lineage(_blocks(id_and_text(docs).select("doc_id", "text", held)))
     words = blocks.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
     owners = max(partitions(docs), words // 3_000_000 + 1)
-    answers = cut_lineage(_answers(_requests(blocks, owners)))
+    heavy = blocks.select(F.explode(F.arrays_zip("heavy", "times")).alias("x")).groupBy("x.heavy").agg(F.sum("x.times").alias("times")).where(F.col("times") > PART)
+    split = Split(owners, {r.heavy: r.times for r in heavy.collect()})       # at most one row per PART tokens
+    answers = cut_lineage(_answers(_requests(blocks, split), owners))
+    after_split = dict(answers.where("size(stats) > 4").groupBy(F.col("stats")[4]).agg(F.sum(F.col("stats")[5])).collect())
+    after_split = np.array([after_split.get(h, 0) for h in split.hash.view(np.int64).tolist()], np.int64)
     tokens, distinct, once, two = answers.where("stats is not null").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4))).first()
     discount = once / (once + 2 * two) if once and two else 0.5
     schema = schema_with(docs, "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -215,7 +266,13 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
             b = Block.of(row)
             parts = sorted(right.to_pylist(), key=lambda r: r["owner"])
             take = lambda name, size, kind: np.concatenate([spread(r[name], r[size], kind) for r in parts]).astype(np.int64)
-            machine = Automaton(b, take("total", "n", np.uint64), take("after", "n", np.uint32), take("counts", "pairs", np.uint64), tokens, distinct, discount)
+            counts = np.empty(len(b.pair_context), np.int64)
+            counts[np.concatenate(b.cold(split))] = take("counts", "pairs", np.uint64)
+            parts = [r for r in parts if r["owner"] < owners]
+            total, after = take("total", "n", np.uint64), take("after", "n", np.uint32)
+            at, hot = split.find(b.hash)
+            after[hot] = after_split[at[hot]]
+            machine = Automaton(b, total, after, counts, tokens, distinct, discount)
             known = np.bincount(b.doc, machine.known[b.token], len(b.length)).astype(np.int64)
             out.append(pa.table([pa.array(row["ids"], left["ids"].type.value_type), pa.array(row["held"]), pa.array(b.length), pa.array(known), pa.array(np.full(len(known), tokens)),
                                  pa.array(machine.base(b)), pa.array(machine.walk(b))], names=schema.names))

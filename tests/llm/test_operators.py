@@ -324,3 +324,25 @@ def test_large_buckets_and_families_are_compared_whole(spark, monkeypatch):
                 root = [low if x == high else x for x in root]
     assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(root))
     assert 1 < len(set(root[120:])) or len(set(root)) == 121
+
+
+def test_frequent_contexts_are_dealt_to_several_owners(spark, monkeypatch):
+    """One word before most others: with a small bound no owner holds all its successors, and scores stay the same."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"the w{x}" for x in r.integers(0, 900, 200)) for _ in range(40)] + [None, "", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes = []
+    answers = lm._answers
+
+    def seen(requests, *more):
+        sizes.append(max(x.n for x in requests.groupBy("owner").agg(lm.F.sum(lm.F.length("succ_high")).alias("n")).collect()))
+        return answers(requests, *more)
+
+    monkeypatch.setattr(lm, "_answers", seen)
+    whole = {x.doc_id: x for x in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "PART", 200, raising=False)
+    parts = {x.doc_id: x for x in lm.score(docs).collect()}
+    assert sizes[1] < sizes[0] / 3
+    assert whole.keys() == parts.keys()
+    for k, x in whole.items():
+        assert x[:5] == parts[k][:5] and math.isclose(x.score, parts[k].score, rel_tol=1e-12) and math.isclose(x.base_score, parts[k].base_score, rel_tol=1e-12)
