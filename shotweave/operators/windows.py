@@ -154,8 +154,8 @@ def free_slot(drops: DataFrame, slots: DataFrame, durations: DataFrame, want: fl
     d = drops.join(durations, "video_id")
     d = d.withColumn("t", F.greatest(F.lit(0.0), F.least(F.col("t"), F.greatest(F.col("duration") - min_s, F.lit(0.0)))))
     s = slots.select("video_id", F.col("start").alias("s0"), F.col("end").alias("s1")).where("s1 > s0")
-    inside = interval_pairs(d, s, "video_id", "t", "t", "s0", "s1", 10.0).where("t < s1").select("drop_id").distinct()
-    d = d.join(inside, "drop_id", "left_anti")
+    inside = interval_pairs(d, s, "video_id", "t", "t", "s0", "s1", 10.0).where("t < s1").select("video_id", "drop_id").distinct()
+    d = d.join(inside, ["video_id", "drop_id"], "left_anti")
     # next slot start after t: fill backward along one time line
     u = d.select("video_id", "t", F.lit(1).alias("side"), F.struct("drop_id", "duration").alias("row"), F.lit(None).cast("double").alias("s0")) \
         .unionByName(s.select("video_id", F.col("s0").alias("t"), F.lit(0).alias("side"),
