@@ -3,7 +3,6 @@
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut_lineage, id_and_text, schema_with
 from .tokens import Memory
-from .words import flat, ragged, slices, span_hash, text_column
+from .words import flat, kinds, ragged, slices, span_hash, text_column
 
 MARK = "▁"                                 # stands for a space
 GIANT, CHUNK = 1 << 16, 1 << 14                 # code points above which a text is cut, and of its chunks
@@ -123,13 +122,11 @@ class Pieces:
         inner = np.ones(len(start), bool)
         inner[np.searchsorted(start, heads)] = False
         start = start + inner                           # a unit's first space is the mark; a text's first unit has its mark before it
-        keys = span_hash(raw, start, end) if len(start) else np.zeros(0, np.uint64)
-        codes, kinds = pd.factorize(keys)
-        lead = np.empty(len(kinds), np.int64)
-        lead[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        keys = span_hash(raw, start, end)
+        codes, lead = kinds(raw, start, end, keys)
         data = raw.tobytes()
         fresh = lambda new: [self.unit(data[a:b].decode("utf-8", "replace")) for a, b in zip(start[lead[new]].tolist(), end[lead[new]].tolist(), strict=True)]
-        at = self.memory.places(keys[lead], fresh)[codes]
+        at = self.memory.places(keys[lead], raw, start[lead], end[lead], fresh)[codes]
         ids, length = self.memory.gather(at)
         return ids.astype(np.int32), np.concatenate(([0], np.cumsum(length)))[first]
 

@@ -12,7 +12,7 @@ from . import exchange
 from .frames import cut_lineage, id_and_text, partitions
 from .lm import spread, squeeze
 from .suffixes import least_equal
-from .words import flat, mix, powers, prefix_hash, ragged, slices, span_hash, text_column
+from .words import flat, kinds, powers, prefix_hash, ragged, slices, span_hash, text_column
 
 GRAM = 20                                       # bytes of an anchor: the least hash among the GRAM-byte strings of a window
 BITS = 48                                       # of an anchor's hash in the exchange
@@ -65,7 +65,7 @@ class Runs:
         text = np.searchsorted(off, start + low, "right") - 1
         inside = start + length <= bound[text + 1]
         start, size, text = start[inside], size[inside], text[inside]
-        content = mix((total[start + size + length - 1] - total[start]) * down[start] + size.astype(np.uint64))
+        content = span_hash(here, start, start + size + length - 1)
         return start + low, size, text, least[start].astype(np.int64), content
 
 
@@ -120,7 +120,7 @@ def _chosen(row, bitmaps, owners: int, length: int):
         i, j = np.searchsorted(owner, (r["owner"], r["owner"] + 1))
         hit[i:j] = exchange.flags(r["bitmap"], int(j - i))
     shared = np.flatnonzero(hit[np.searchsorted(anchors, runs.anchor)]) if len(anchors) else np.zeros(0, np.int64)
-    contents = runs.content[shared]
+    contents, _ = kinds(raw, runs.start[shared], runs.start[shared] + runs.size[shared] + length - 1, runs.content[shared])
     order = np.lexsort((shared, docs[runs.text[shared]], contents, runs.anchor[shared]))
     ordered = contents[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, bool)
@@ -154,7 +154,7 @@ def _judged(table: pa.Table, length: int) -> pa.Table:
     per_row = np.add.reduceat(width, np.concatenate(([0], np.cumsum([r["n"] for r in rows])[:-1])))
     raw = np.concatenate([spread(r["raw"], int(w), np.uint8) for r, w in zip(rows, per_row, strict=True)])
     begin = np.cumsum(width) - width
-    content = span_hash(raw, begin, begin + width)
+    content, _ = kinds(raw, begin, begin + width, span_hash(raw, begin, begin + width))
     order = np.lexsort((doc, content, anchor))
     new = np.concatenate(([True], (content[order][1:] != content[order][:-1])))
     kind = np.empty(len(order), np.int64)

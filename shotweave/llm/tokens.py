@@ -4,40 +4,60 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .words import LETTER, LOWER, PLAIN, Words, ragged, span_hash
+from .words import LETTER, LOWER, PLAIN, Words, equal_spans, mix, ragged, span_hash
 
+OTHER = 0x8EBC6AF09C88C6E3                      # leads from a taken key to the next
 CACHE = 1_000_000                               # pieces a worker remembers; beyond it, the memory starts anew
 
 
 class Memory:
-    """Ids of pieces of text by 64-bit hash, as arrays; it starts anew beyond CACHE pieces."""
+    """Ids of pieces of text, as arrays, found by 64-bit hash and confirmed by the piece's bytes; it starts anew beyond CACHE pieces."""
 
     def __init__(self):
-        self.known = np.zeros(0, np.uint64)     # sorted hashes, with their place in the pool of ids
+        self.known = np.zeros(0, np.uint64)     # sorted keys, with their place in the pool of ids and in the pool of bytes
         self.place, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def look_up(self, hashes):
-        at = np.searchsorted(self.known, hashes)
+    def look_up(self, keys):
+        at = np.searchsorted(self.known, keys)
         at[at == len(self.known)] = 0
-        return at, (self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool))
-
-    def places(self, hashes, encode):
-        """Index of each hash (all different); encode(which) -> lists of ids gives those not known yet."""
-        at, found = self.look_up(hashes)
+        return at, (self.known[at] == keys if len(self.known) else np.zeros(len(keys), bool))
+
+    def keys(self, hashes, raw, start, size):
+        """A key for each piece (all different): its hash, or another one where a different piece has that."""
+        keys = hashes.copy()
+        while True:
+            at, found = self.look_up(keys)
+            bad = np.ones(len(keys), bool)
+            bad[np.unique(keys, return_index=True)[1]] = False
+            here = np.flatnonzero(found)
+            held = at[here]
+            bad[here] |= (self.size[held] != size[here]) | ~equal_spans(raw, start[here], self.text, self.begin[held], np.minimum(size[here], self.size[held]))
+            if not bad.any():
+                return keys
+            keys[bad] = mix(keys[bad] ^ np.uint64(OTHER))
+
+    def places(self, hashes, raw, start, end, encode):
+        """Index of each piece raw[start[i]:end[i]] (all different, with their hashes); encode(which) -> lists of ids gives those not known yet."""
+        size = end - start
+        keys = self.keys(hashes, raw, start, size)
+        at, found = self.look_up(keys)
         if found.all():
             return at
         new = np.flatnonzero(~found)
         if len(self.known) + len(new) > CACHE:
             self.__init__()
-            new = np.arange(len(hashes))
+            new = np.arange(len(keys))
         lists = encode(new)
         length = np.fromiter(map(len, lists), np.int64, len(lists))
-        place = len(self.pool) + np.cumsum(length) - length
-        known = np.concatenate((self.known, hashes[new]))
+        known = np.concatenate((self.known, keys[new]))
         order = np.argsort(known)
-        self.known, self.place, self.length = known[order], np.concatenate((self.place, place))[order], np.concatenate((self.length, length))[order]
+        self.known = known[order]
+        for name, more in (("place", len(self.pool) + np.cumsum(length) - length), ("length", length), ("begin", len(self.text) + np.cumsum(size[new]) - size[new]), ("size", size[new])):
+            setattr(self, name, np.concatenate((getattr(self, name), more))[order])
         self.pool = np.concatenate((self.pool, np.fromiter((x for y in lists for x in y), np.uint32, int(length.sum()))))
-        return self.look_up(hashes)[0]
+        self.text = np.concatenate((self.text, raw[ragged(start[new], size[new])]))
+        return self.look_up(keys)[0]
 
     def gather(self, at):
         """Ids of the pieces at these indices, one after the other, and their lengths."""
@@ -84,7 +104,7 @@ class Encoder:
         words = self.pieces(texts)
         codes, index = words.distinct()
         fresh = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(words.strings(index[new]), add_special_tokens=False)]
-        return words, self.memory.places(words.hash[index], fresh)[codes]
+        return words, self.memory.places(words.hash[index], words.raw, words.start[index], words.end[index], fresh)[codes]
 
     def lengths(self, texts: pa.Array):
         """Number of ids of each text."""

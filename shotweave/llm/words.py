@@ -1,5 +1,6 @@
 """Words of Arrow text batches as numpy arrays: bounded slices, word bounds and 64-bit word hashes, without one Python object per word."""
 import ctypes
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ def mix(x):
 
 
 def prefix_hash(raw):
-    """H with H[j] - H[i] = sum of (byte + 1) * BASE**k over i <= k < j."""
+    """H with H[j] - H[i] = sum of (byte + 1) * BASE**k over i <= k < j. Linear modulo 2**64, so texts of a regular structure collide: only for filters that bytes confirm."""
     up, _ = powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, np.uint64)
     np.multiply(raw.astype(np.uint64) + np.uint64(1), up[:len(raw)], out=out[1:])
@@ -98,34 +99,85 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column.fill_null("")
 
 
+HEAD = 1024                                     # bytes of a span that are mixed in blocks of eight; longer spans are known by a BLAKE2 digest
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(raw):
+    """The eight bytes from each place of raw on as one number, zeros beyond its end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+
+
 def span_hash(raw, start, end):
-    """64-bit hashes of the byte ranges start[i] to end[i] (ascending, not overlapping), about WINDOW bytes at a time."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + WINDOW, "right")))
-        low, high = int(start[i]), int(end[j - 1])
-        total = prefix_hash(raw[low:high])
-        _, down = powers(high - low + 1)
-        s, e = start[i:j] - low, end[i:j] - low
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return mix(out)
+    """64-bit hashes of the byte ranges start[i] to end[i]: blocks of eight bytes enter one after the other, each followed by a bijective mixing.
+
+    Spans of one length up to eight bytes never collide; others do once in 2**64, whatever the structure of the text.
+    """
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    eights = _eights(raw)
+    at = np.flatnonzero((size > 0) & (size <= HEAD))
+    done = 0
+    while len(at):
+        here = eights[start[at] + done] & MASKS[np.minimum(size[at] - done, 8)]
+        out[at] = mix(out[at] ^ here)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > HEAD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i]:start[i] + size[i]].data, digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(raw, start, other, begin, size):
+    """Whether the size[i] bytes from raw[start[i]] and from other[begin[i]] are the same, compared byte for byte."""
+    size = np.asarray(size, np.int64)
+    out = np.ones(len(size), bool)
+    left, right = _eights(raw), _eights(other)
+    at = np.flatnonzero((size > 0) & (size <= HEAD))
+    done = 0
+    while len(at):
+        same = (left[start[at] + done] ^ right[begin[at] + done]) & MASKS[np.minimum(size[at] - done, 8)] == 0
+        out[at[~same]] = False
+        done += 8
+        at = at[same & (size[at] > done)]
+    for i in np.flatnonzero(size > HEAD).tolist():
+        out[i] = np.array_equal(raw[start[i]:start[i] + size[i]], other[begin[i]:begin[i] + size[i]])
+    return out
+
+
+def kinds(raw, start, end, hashes):
+    """Codes of spans by their bytes, and the index of the first span with each code: equal hashes group them, a comparison with the first one decides."""
+    codes, found = pd.factorize(hashes)
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    size, lead = end - start, first[codes]
+    same = (size == size[lead]) & equal_spans(raw, start, raw, start[lead], np.minimum(size, size[lead]))
+    if same.all():
+        return codes, first
+    known, first = {}, first.tolist()                    # spans that only share a hash get codes of their own
+    for i in np.flatnonzero(~same).tolist():
+        key = raw[start[i]:end[i]].tobytes()
+        if key not in known:
+            known[key] = len(first)
+            first.append(i)
+        codes[i] = known[key]
+    return codes, np.array(first, np.int64)
 
 
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts.
 
     start, end: byte bounds in raw; first: index of each text's first word, and the number of words at the end, so text t has words first[t] to
-    first[t + 1]; hash: 64-bit hash of the (optionally lower-cased) bytes.
+    first[t + 1]; hash: 64-bit hash of the (optionally lower-cased) bytes. `space` marks the bytes that part words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True, space: np.ndarray = SPACE):
         raw, off = flat(texts)
         self.raw, self.bounds = LOWER[raw] if lower else raw, off
         edge = np.zeros(len(raw) + 1, bool)
         edge[off] = True                                 # words end with their text
-        word = ~SPACE[raw]
+        word = ~space[self.raw]
         begin, finish = word.copy(), word.copy()
         begin[1:] &= ~word[:-1] | edge[1:-1]
         finish[:-1] &= ~word[1:] | edge[1:-1]
@@ -138,10 +190,7 @@ class Words:
 
     def distinct(self):
         """codes of every word, and the index of the first word with each code."""
-        codes, kinds = pd.factorize(self.hash)
-        first = np.empty(len(kinds), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        return codes, first
+        return kinds(self.raw, self.start, self.end, self.hash)
 
     def strings(self, index):
         """The words at these indices as Python strings."""
@@ -163,6 +212,20 @@ def segment_sum(values, first):
     return total[first[1:]] - total[first[:-1]]
 
 
+def joined(words: Words, kept: np.ndarray) -> pa.Array:
+    """Of each text the kept words, joined by one space."""
+    at = np.flatnonzero(kept)
+    size = words.end[at] - words.start[at]
+    begin = np.cumsum(size + 1) - size - 1
+    data = np.full(int(size.sum()) + len(at), 32, np.uint8)
+    data[ragged(begin, size)] = words.raw[ragged(words.start[at], size)]
+    cut = np.append(begin, len(data))[np.searchsorted(at, words.first)]
+    some = np.diff(cut) > 0
+    data = np.delete(data, cut[1:][some] - 1)                  # the space behind a text's last word
+    off = cut - np.concatenate(([0], np.cumsum(some)))
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 PLAIN = np.zeros(256, bool)                     # ASCII that is neither a letter nor white space
