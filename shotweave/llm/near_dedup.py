@@ -15,9 +15,10 @@ from .words import mix, slices, small, text_column
 
 BANDS, ROWS = 26, 4                             # a pair at 0.8 shares no band once in a million
 HASHES = BANDS * ROWS
-BLOCK = 1024                                    # members compared in one task; larger buckets and families are cut into such blocks
-CELL = 4096                                     # members of either side in one task that compares signatures only
-PIVOTS = 8                                      # members of a large bucket or family that every block of it meets
+TURNS = 3                                       # times that the members of a bucket meet one of them before those still apart meet each other
+CELL = 2048                                     # members of either side in one task
+CELL_VALUES = 1 << 21                           # shingles of either side in one task
+SALT = 8
 SEED = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), np.uint64)
 TIMES, PLUS = SEED[0] * np.uint64(2) + np.uint64(1), SEED[1]
 
@@ -71,68 +72,24 @@ def _least_matches(threshold: float) -> int:
     return math.floor(HASHES * threshold - 4.5 * math.sqrt(HASHES * threshold * (1 - threshold)))
 
 
-def _groups(batches, key: str):
-    """Runs of equal `key` over sorted Arrow batches, as tables; a run may go on in the next batch."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        keys = table[key].to_numpy()
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        last = int(edges[-1]) if len(edges) else 0
-        if last:
-            yield table.slice(0, last).combine_chunks(), np.concatenate(([0], edges))
-        held = table.slice(last)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks(), np.array([0, held.num_rows])
-
-
 def _sig_matrix(column):
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _forest(sigs, least):
-    """Edges of a spanning forest of the rows whose signatures agree in at least `least` minima."""
-    left, out = np.arange(1, len(sigs)), []
-    queue = [0]
-    while True:
-        while queue and len(left):
-            x = queue.pop()
-            near = (sigs[left] == sigs[x]).sum(1) >= least
-            out += [(x, int(y)) for y in left[near]]
-            queue += left[near].tolist()
-            left = left[~near]
-        if not len(left):
-            return out
-        queue, left = [int(left[0])], left[1:]
-
-
-def _sized(groups: DataFrame, key: str) -> DataFrame:
-    """key, blocks: how many blocks each group of two or more rows has."""
-    return cut_lineage(groups.groupBy(key).agg(F.count("*").alias("size")).where("size > 1").select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-
-
-def _guests(groups: DataFrame, key: str, large: DataFrame) -> DataFrame:
-    """key, cid, block: a few members of each large group, once for every block of it."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(k), "cid"), "cid"))["cid"] for k in range(PIVOTS)]
-    few = groups.join(large, key).groupBy(key, "blocks").agg(F.array_distinct(F.array(*least)).alias("few"))
-    return few.select(key, "blocks", F.explode("few").alias("cid")).select(key, "cid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-
-def _apart(members: DataFrame, key: str, cell: int) -> DataFrame:
-    """members (key, cid, label, ...) dealt to pairs of blocks (low, high), such that each two of one key with different labels meet.
+def _apart(members: DataFrame) -> DataFrame:
+    """members (k, cid, label, n, ...) dealt to pairs of blocks (low, high), such that each two of one key with different labels meet.
 
-    The members of a key's most frequent label don't meet each other; a key with one label is left out.
+    Blocks have at most CELL members and about CELL_VALUES shingles. The members of a key's most frequent label don't meet each other; a key with one label is left out.
     """
-    labels = members.groupBy(key, "label").agg(F.count("*").alias("n"))
-    main = labels.groupBy(key).agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    main = main.select(key, "main", F.ceil((F.col("all") - F.col("most")) / cell).cast("int").alias("rest"), F.ceil(F.col("most") / cell).cast("int").alias("mains"))
-    at = F.xxhash64(F.lit(PIVOTS), "cid")
+    labels = members.groupBy("k", "label").agg(F.count("*").alias("n"), F.max("n").alias("widest"))
+    main = labels.groupBy("k").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("widest").alias("widest")).where("all > most")
+    cell = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(CELL_VALUES) / F.col("widest"))))
+    main = main.select("k", "main", F.ceil((F.col("all") - F.col("most")) / cell).cast("int").alias("rest"), F.ceil(F.col("most") / cell).cast("int").alias("mains"))
+    at = F.xxhash64(F.lit(SALT), "cid")
     held = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
     last = F.when(F.col("label") == F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
-    dealt = members.join(main, key).select(*members.columns, held.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = members.join(main, "k").select(*members.columns, held.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     return dealt.select(*members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
@@ -154,57 +111,102 @@ def _codes(column) -> np.ndarray:
     return np.unique(column.to_numpy(), return_inverse=True)[1]
 
 
-def _candidates(marks: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """u, v: edges between members of a band bucket that agree in their signatures, enough to connect whichever two of a bucket agree.
+def _agreed(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs (u, v) whose signatures agree in at least `least` minima."""
+    kind = reps.schema["cid"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            near = (_sig_matrix(batch["su"]) == _sig_matrix(batch["sv"])).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(near))
+
+    sig = lambda end: reps.select(F.col("cid").alias(end), F.col("sig").alias(f"s{end}"))
+    return pairs.join(sig("v"), "v").join(sig("u"), "u").select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
 
-    A bucket of up to BLOCK members gives a spanning forest. A larger one is cut into blocks, each with the bucket's pivots; then members that are not
-    connected yet meet block by block, by signatures only.
-    """
-    places = reps.select("cid", F.explode("bands").alias("k"))
-    many = _sized(places, "k")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = places.join(many, "k").select(F.when(F.col("blocks") == 1, F.col("k")).otherwise(F.xxhash64("k", block)).alias("k"), "cid")
-    large = many.where("blocks > 1")
-    crowded = not large.isEmpty()
-    if crowded:
-        dealt = dealt.union(_guests(places, "k", large).select(F.xxhash64("k", "block"), "cid"))
-    dealt = dealt.join(reps.select("cid", "sig"), "cid")
+
+def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are linked on full sets. Signatures go first; a set is shuffled once, then once per partner that agrees."""
+    pairs = cut_lineage(_agreed(pairs, reps, least))
+    ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
+    sets = cut_lineage(_with_sets(docs, reps.select("cid", "a", "b").join(ids, "cid"), size).dropDuplicates(["cid"]).select("cid", "shingles"))
+    kind = reps.schema["cid"].dataType.simpleString()
 
     def run(batches):
-        for table, edges in _groups(batches, "k"):
-            ids, sigs = table["cid"].to_numpy(), _sig_matrix(table["sig"])
-            ends = np.append(edges[1:], table.num_rows)
-            ends = ends[:len(edges)]
-            size = ends - edges
-            u, v = [], []
-            two = edges[size == 2]
-            ok = (sigs[two] == sigs[two + 1]).sum(1) >= least if len(two) else np.zeros(0, bool)
-            u.append(ids[two[ok]]), v.append(ids[two[ok] + 1])
-            for s, e in zip(edges[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                pairs = np.array(_forest(sigs[s:e], least), np.int64).reshape(-1, 2) + s
-                u.append(ids[pairs[:, 0]]), v.append(ids[pairs[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, sigs, labels = table["cid"].to_numpy(), _sig_matrix(table["sig"]), _codes(table["label"])
-        out = []
-        for x, near in _agreeing(sigs, labels, *_sides(table), least):
-            for y in near.tolist():
-                if labels[x] != labels[y]:
-                    labels[labels == labels[y]] = labels[x]
-                    out.append((ids[x], ids[y]))
-        u, v = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
+        for batch in batches:
+            hit = []
+            for x, y in zip(batch["su"], batch["sv"], strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                hit.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+    named = lambda end: sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"s{end}"))
+    return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of two or more members, one of those with the same members: (k, hub), hub being the least member; and (k, cid)."""
+    places = reps.select("cid", F.explode("bands").alias("k"))
+    found = places.groupBy("k").agg(F.count("*").alias("size"), F.min("cid").alias("hub"), F.bit_xor(F.xxhash64("cid")).alias("sign")).where("size > 1")
+    buckets = cut_lineage(found.groupBy("size", "hub", "sign").agg(F.min("k").alias("k")).select("k", "hub"))
+    return buckets, cut_lineage(places.join(buckets.select("k"), "k"))
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (k, cid) with label, the component over links so far; of buckets with more than one label."""
+    named = components(links).withColumnRenamed("node", "cid").withColumnRenamed("component", "label")
+    out = members.select("k", "cid").join(named, "cid", "left").select("k", "cid", F.coalesce("label", "cid").alias("label"))
+    open_ = out.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
+    return cut_lineage(out.join(open_, "k"))
+
 
+def _linked(docs: DataFrame, reps: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """u, v: links confirmed on full sets, enough of them to connect whichever two members of a band bucket are linked.
+
+    First every member meets one of its bucket, the least; then, where a bucket still has members of several components, a few more turns with one taken by hash. Members that are
+    joined by then, as in large families of copies, cost nothing more. Those of different components that are left meet each other in blocks, by signatures and, where these agree,
+    on full sets.
+    """
+    buckets, members = _buckets(reps)
+    pairs = members.join(buckets, "k").where("hub != cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
+    links = cut_lineage(_confirmed(docs, reps, pairs, size, least, percent))
+    for turn in range(1, TURNS + 1):
+        members = _labelled(members, links)
+        if members.isEmpty():
+            return links
+        if turn < TURNS:
+            pivots = members.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "label")).alias("p")).select("k", "p.cid", "p.label").toDF("k", "hub", "own")
+            pairs = members.join(pivots, "k").where("label != own").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct()
+            links = cut_lineage(links.union(_confirmed(docs, reps, pairs, size, least, percent)))
+    return links.union(_met(docs, reps, members, size, least, percent))
+
+
+def _met(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """Links between members (k, cid, label) of one key and different labels, block by block."""
+    # sets of linked texts differ in size by a factor of 100 / percent at most, so their classes are the same or neighbours
+    step = math.log(100 / percent) * (1 + 1e-9)
+    rank = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
+    rows = members.join(reps.select("cid", "a", "b", "n"), "cid").select("cid", "label", "a", "b", "n", F.explode(F.array(F.xxhash64("k", rank), F.xxhash64("k", rank + 1))).alias("k"))
+    cells = cut_lineage(_apart(cut_lineage(rows)))
     kind = reps.schema["cid"].dataType.simpleString()
-    near = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(run, f"u {kind}, v {kind}").where("u != v").distinct()
-    if not crowded:
-        return near
-    near = cut_lineage(near)
-    named = components(near).withColumnRenamed("node", "cid")
-    members = places.join(large.select("k"), "k").join(named, "cid", "left").select("k", "cid", F.coalesce("component", "cid").alias("label"))
-    left = _apart(cut_lineage(members), "k", CELL).join(reps.select("cid", "sig"), "cid")
-    return near.union(left.groupBy("k", "low", "high").applyInArrow(meet, f"u {kind}, v {kind}")).distinct()
+
+    def agreeing(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for x, near in _agreeing(_sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least):
+            hit[x] = hit[near] = True
+        return table.filter(pa.array(hit))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["cid"].to_numpy()
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        pairs = _links(ids, np.array([len(x) for x in sets_]), sets_, _sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least, percent)
+        u, v = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
+
+    left = cells.join(reps.select("cid", "sig"), "cid")
+    left = cut_lineage(left.groupBy("k", "low", "high").applyInArrow(agreeing, left.schema))
+    full = _with_sets(docs, left, size).dropDuplicates(["k", "low", "high", "cid", "a", "b"])
+    return full.groupBy("k", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
 def _links(ids, sizes, sets, sigs, labels, left, right, least, percent):
@@ -253,51 +255,10 @@ def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     return rows.join(texts.withColumnRenamed("doc_id", "cid"), ["cid", "a", "b"])
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, families: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """u, v: links confirmed on full sets, enough of them to connect whatever is linked, within each family of candidates.
-
-    A family of up to BLOCK members meets in one task. A larger one is cut into blocks, each with the family's pivots; then members that no link connects yet
-    meet block by block, by signatures, and those that agree with one of another component are compared on full sets.
-    """
-    fam = families.select(F.col("node").alias("cid"), F.col("component").alias("fam"))
-    sized = _sized(fam, "fam")
-    members = cut_lineage(fam.join(sized, "fam").join(reps.select("cid", "a", "b", "sig"), "cid")
-                          .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
-    large = sized.where("blocks > 1")
-    crowded = not large.isEmpty()
-    kind = reps.schema["cid"].dataType.simpleString()
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table["cid"].to_numpy()
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-        sizes, sigs = np.array([len(x) for x in sets_]), _sig_matrix(table["sig"])
-        late = "label" in table.column_names
-        labels, sides = (_codes(table["label"]), _sides(table)) if late else (np.arange(len(ids)), [np.arange(len(ids))] * 2)
-        pairs = _links(ids, sizes, sets_, sigs, labels, *sides, least, percent)
-        u, v = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
-
-    def agreeing(table: pa.Table) -> pa.Table:
-        hit = np.zeros(table.num_rows, bool)
-        for x, near in _agreeing(_sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least):
-            hit[x] = hit[near] = True
-        return table.filter(pa.array(hit))
-
-    rows = members.select("cid", "a", "b", "fam", "block", "sig")
-    if crowded:
-        guests = _guests(fam, "fam", large).withColumnRenamed("block", "at")
-        rows = rows.union(members.join(guests, ["fam", "cid"]).where("at != block").select("cid", "a", "b", "fam", "at", "sig"))
-    full = _with_sets(docs, rows, size).dropDuplicates(["fam", "block", "cid", "a", "b"])
-    links = full.groupBy("fam", "block").applyInArrow(compare, f"u {kind}, v {kind}")
-    if not crowded:
-        return links
-    links = cut_lineage(links)
-    named = components(links).withColumnRenamed("node", "cid")
-    left = members.where("blocks > 1").join(named, "cid", "left").select("fam", "cid", "a", "b", "sig", F.coalesce("component", "cid").alias("label"))
-    left = _apart(cut_lineage(left), "fam", BLOCK)
-    left = cut_lineage(left.groupBy("fam", "low", "high").applyInArrow(agreeing, left.schema))
-    full = _with_sets(docs, left, size).dropDuplicates(["fam", "low", "high", "cid", "a", "b"])
-    return links.union(full.groupBy("fam", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}"))
+def _classes(marks: DataFrame) -> DataFrame:
+    """Of each different set the row with the least id: a, b, cid, n, bands, sig."""
+    classes = marks.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
+    return classes.select("a", "b", F.col("r.doc_id").alias("cid"), "r.n", "r.bands", "r.sig")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -308,16 +269,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shorter texts are one shingle. Rows with one doc_id count as one node (repeated rows all share its component and kept). A row without
     an id takes the component of its equals, else null, and is kept only in the latter case. An empty table gives no rows.
 
-    Equal sets are folded first. Minima in 26 bands of 4 find candidates; buckets give tested edges, never all pairs, and star contraction makes families
-    of them. Inside a family full sets decide; of families above BLOCK blocks meet pivots, then what is not linked yet. Links join into components by the same contraction.
+    Equal sets are folded first. Minima in 26 bands of 4 give buckets, and of buckets with the same members one stays. Members meet the least one of their bucket, then
+    whom they are not connected with yet; signatures go first, full sets decide. Links join into components by star contraction.
     """
     docs = id_and_text(docs)
     least = _least_matches(percent / 100)
     marks = cut_lineage(_marks(docs, size))
-    classes = marks.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
-    reps = cut_lineage(classes.select("a", "b", F.col("r.doc_id").alias("cid"), "r.bands", "r.sig"))
-    families = cut_lineage(components(_candidates(marks, reps, least)))
-    links = _confirmed(docs, reps, families, size, least, percent)
+    reps = cut_lineage(_classes(marks))
+    links = _linked(docs, reps, size, least, percent)
     # rows with one id and different texts are one node
     again = marks.where("n > 0 and doc_id is not null").join(reps.select("a", "b", "cid"), ["a", "b"]).select("doc_id", "cid").distinct()
     twice = again.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c > 1")

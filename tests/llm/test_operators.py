@@ -251,7 +251,7 @@ def test_near_duplicates(docs, size):
 
 
 def test_large_families_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "CELL", 7)
     r = np.random.default_rng(2)
     base = r.choice(5000, 120)
     texts = []
@@ -293,9 +293,9 @@ def test_shingle_sets_of_short_texts():
 
 
 def test_large_buckets_and_families_are_compared_whole(spark, monkeypatch):
-    """A passage shared by unrelated texts makes buckets above BLOCK, but no family; near copies of one text make a family of many blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    """A passage shared by unrelated texts makes large buckets, but no family; near copies of one text that their pivots don't connect meet in many blocks."""
     monkeypatch.setattr(near_dedup, "CELL", 8)
+    monkeypatch.setattr(near_dedup, "TURNS", 1)
     r = np.random.default_rng(3)
     common = " ".join(f"p{k}" for k in range(60))
     mixed = [common + " " + " ".join(f"w{x}" for x in r.integers(0, 1 << 40, 30)) for _ in range(120)]
@@ -309,10 +309,12 @@ def test_large_buckets_and_families_are_compared_whole(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     least = near_dedup._least_matches(0.8)
     marks = near_dedup._marks(docs, 5).cache()
-    reps = marks.groupBy("a", "b").agg(near_dedup.F.min("doc_id").alias("cid"), near_dedup.F.first("bands").alias("bands"), near_dedup.F.first("sig").alias("sig")).cache()
+    reps = near_dedup._classes(marks).cache()
     sig = {x.cid: np.frombuffer(x.sig, np.uint16) for x in reps.collect()}
-    edges = near_dedup._candidates(marks, reps, least).collect()
-    assert edges and all((sig[u] == sig[v]).sum() >= least for u, v in edges)
+    buckets, members = near_dedup._buckets(reps)
+    pairs = members.join(buckets, "k").where("hub != cid").selectExpr("hub as u", "cid as v").distinct()
+    edges = near_dedup._agreed(pairs, reps, least).collect()
+    assert edges and {tuple(e) for e in edges} == {(u, v) for u, v in pairs.collect() if (sig[u] == sig[v]).sum() >= least}
     values, first = shingle_sets(pa.array(texts), 5)
     sets = [set(values[a:b].tolist()) for a, b in zip(first, first[1:], strict=False)]
     root = list(range(len(texts)))
