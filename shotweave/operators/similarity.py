@@ -1,13 +1,12 @@
-"""Exact similarity joins of unit vectors without forming all pairs in Spark.
+"""Exact similarity joins of unit vectors without forming all pairs in Spark, and without shuffling vectors.
 
-Arithmetic runs as blocked matrix products inside Arrow batches; Spark partitions the work and only receives the answers
-(k best per query, the pairs over a threshold, or one flag per row), never the full product.
+The smaller side is sent to the executors in slices of bounded bytes, one after the other, and the larger side streams past each slice where it
+is read; Spark only receives the answers (k best per query, the pairs over a threshold, or one flag per row), never the product. Answers of
+several slices are merged between slices, so a query never has more than k rows at a time.
 
-* Few queries (their matrix is measured first): the matrix is broadcast and the shots stream past it; each task keeps k rows
-  per query, so the shuffle carries k rows per query and task.
-* Any number of queries: both sides are cut into bounded blocks and each (query block, shot block) is one task.
-* Threshold joins group rows by their nearest pivot and use the bisector bound to skip cells that cannot hold a match;
-  cells of any size are cut into bounded blocks, so a group of copies of any size stays spread out.
+Products come in two steps. The dot product of two vectors is at most that of their leading principal components plus the product of the norms
+of what remains, so pairs whose bound is below what they have to beat are never multiplied in full. Where the bound keeps too many, a
+task goes over to full matrix products. The directions come from a bounded sample and change speed only.
 """
 import math
 
@@ -17,16 +16,65 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import session
 
-BROADCAST_BYTES = 64 << 20      # largest query matrix sent to every executor
-BROADCAST_ENTRIES = 4_000_000   # largest queries x k table a task keeps
-BLOCK_ROWS = 8192               # rows of one side in one block
+SLICE_BYTES = 64 << 20          # of the smaller side sent to every executor at a time
+TASK_ENTRIES = 4_000_000        # queries x k a task keeps
 PRODUCT_ENTRIES = 2_000_000     # entries of one slice of a matrix product
+LEAD = 16                       # leading components of the bound
+SAMPLE = 2048                   # rows the components are taken from
+WORTH = 1 / 8                   # share of pairs above the bound up to which these are multiplied one by one
+SLACK = 1e-9                    # of rounding in the bound
 
 
 def _matrix(col) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
 
 
+def directions(df: DataFrame, dim: int, lead: int) -> np.ndarray | None:
+    """The leading principal directions (dim x lead) of a sample of df(id, emb); None where vectors are too short for a bound to save work."""
+    if not lead or dim < 4 * lead:
+        return None
+    rows = df.select("emb").where("emb is not null").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
+    X = np.array([r[0] for r in rows], np.float64).reshape(-1, dim)
+    return np.linalg.svd(X, full_matrices=False)[2][:lead].T if len(X) >= lead else None
+
+
+class Bounded:
+    """A slice of the smaller side that batches of the other side are multiplied with, by bound first as long as that leaves few pairs."""
+
+    def __init__(self, X: np.ndarray, basis: np.ndarray | None):
+        self.X, self.basis = X, basis
+        self.lead, self.rest = self._parts(X)
+        self.turn, self.skip = 0, 0
+
+    def _parts(self, X):
+        if self.basis is None or not len(X):
+            return None, None
+        lead = X @ self.basis
+        return lead, np.sqrt(np.maximum((X * X).sum(1) - (lead * lead).sum(1), 0))
+
+    def pieces(self, Y: np.ndarray):
+        """Y in parts small enough for one product: (first row, rows)."""
+        step = max(1, PRODUCT_ENTRIES // max(len(self.X), 1))
+        for i in range(0, len(Y), step):
+            yield i, Y[i:i + step]
+
+    def scores(self, Y: np.ndarray, least):
+        """Dot products of Y's rows with the slice; -inf where they cannot reach `least` (a number, or one per row of the slice)."""
+        if self.basis is None or self.turn < self.skip:
+            self.turn += 1
+            return Y @ self.X.T
+        lead, rest = self._parts(Y)
+        may = lead @ self.lead.T + rest[:, None] * self.rest[None, :] >= np.asarray(least) - SLACK
+        rows, columns = np.nonzero(may)
+        if len(rows) > WORTH * may.size:
+            self.turn, self.skip = 0, min(64, 2 * self.skip + 4)      # try the bound again later
+            return Y @ self.X.T
+        self.turn, self.skip = 0, 0
+        out = np.full(may.shape, -np.inf)
+        out[rows, columns] = np.einsum("ij,ij->i", Y[rows], self.X[columns])
+        return out
+
+
 def _best(scores, ids, k, floor, margin):
     """Positions of the k best columns of each row, score descending, then id ascending.
 
@@ -43,178 +91,175 @@ def _best(scores, ids, k, floor, margin):
     return out
 
 
-def _best_rows(Q, skip, ids, X, k, floor, margin):
-    """(query position, ids, scores) of the best columns, computed in slices so that no product exceeds PRODUCT_ENTRIES."""
-    step = max(1, PRODUCT_ENTRIES // max(len(X), 1))
-    for q0 in range(0, len(Q), step):
-        S = Q[q0:q0 + step] @ X.T
-        S[skip[q0:q0 + step, None] == ids[None, :]] = -np.inf
-        for r, top in enumerate(_best(S, ids, k, floor, margin)):
-            yield q0 + r, ids[top], S[r, top]
-
-
-def _topk_stream(qid, Q, skip, k, floor, margin):
-    """mapInPandas body: running k best per query over the batches of one task."""
+def _queries_held(qid, Q, skip, basis, k, floor, margin):
+    """mapInPandas body over shots: running k best per query of the slice, over the batches of one task."""
     def run(batches):
+        held = Bounded(Q, basis)
         best_id, best_sc = [np.zeros(0, np.int64)] * len(qid), [np.zeros(0)] * len(qid)
+        least = np.full(len(qid), floor)
         for b in batches:
-            if not len(b):
-                continue
-            ids, X = b["shot_id"].to_numpy(), _matrix(b["emb"])
-            for r, top, val in _best_rows(Q, skip, ids, X, k, floor, margin):
-                i, s = np.concatenate([best_id[r], top]), np.concatenate([best_sc[r], val])
-                if len(best_id[r]):
-                    o = np.lexsort((i, -s))[:k]
-                    o = o[s[o] >= s[o[0]] - margin] if len(o) else o
-                    i, s = i[o], s[o]
-                best_id[r], best_sc[r] = i, s
+            ids = b["shot_id"].to_numpy()
+            for i, Y in held.pieces(_matrix(b["emb"])):
+                some = ids[i:i + len(Y)]
+                S = held.scores(Y, least).T
+                S[skip[:, None] == some[None, :]] = -np.inf
+                hit = np.flatnonzero((S >= least[:, None]).any(axis=1))
+                for r, top in zip(hit.tolist(), _best(S[hit], some, k, floor, margin)):
+                    x, y = np.concatenate([best_id[r], some[top]]), np.concatenate([best_sc[r], S[r, top]])
+                    o = np.lexsort((x, -y))[:k]
+                    o = o[y[o] >= y[o[0]] - margin] if len(o) else o
+                    best_id[r], best_sc[r] = x[o], y[o]
+                    if len(o):                          # what a later shot has to reach
+                        least[r] = max(floor, y[o[0]] - margin, y[o[-1]] if len(o) == k else -np.inf)
         n = [len(x) for x in best_id]
         if sum(n):
-            yield pd.DataFrame({"query_id": np.repeat(qid, n), "shot_id": np.concatenate(best_id),
-                                "score": np.concatenate(best_sc)})
+            yield pd.DataFrame({"query_id": np.repeat(qid, n), "shot_id": np.concatenate(best_id), "score": np.concatenate(best_sc)})
     return run
 
 
-def _topk_block(k, floor, margin):
-    def run(_key, q, s):
-        if not len(q) or not len(s):
-            return pd.DataFrame({"query_id": [], "shot_id": [], "score": []}).astype(
-                {"query_id": "int64", "shot_id": "int64", "score": "float64"})
-        qid, ids = q["query_id"].to_numpy(), s["shot_id"].to_numpy()
-        got = list(_best_rows(_matrix(q["qe"]), q["skip_id"].to_numpy(), ids, _matrix(s["emb"]), k, floor, margin))
-        return pd.DataFrame({"query_id": np.repeat(qid, [len(t) for _, t, _ in got]), "shot_id": np.concatenate([t for _, t, _ in got]),
-                             "score": np.concatenate([v for _, _, v in got])})
+def _shots_held(ids, X, basis, k, floor, margin):
+    """mapInPandas body over queries: k best shots of the slice for each."""
+    def run(batches):
+        held = Bounded(X, basis)
+        for b in batches:
+            qid, skip = b["query_id"].to_numpy(), b["skip_id"].to_numpy()
+            for i, Y in held.pieces(_matrix(b["qe"])):
+                S = held.scores(Y, floor)
+                S[skip[i:i + len(Y), None] == ids[None, :]] = -np.inf
+                tops = _best(S, ids, k, floor, margin)
+                n = [len(t) for t in tops]
+                if sum(n):
+                    yield pd.DataFrame({"query_id": np.repeat(qid[i:i + len(Y)], n), "shot_id": np.concatenate([ids[t] for t in tops]),
+                                        "score": np.concatenate([S[r, t] for r, t in enumerate(tops)])})
     return run
 
 
 SCORED = "query_id long, shot_id long, score double"
 
 
+def _sliced(df: DataFrame, key: str, rows: int, at_most: int):
+    """The rows of df, collected at most about `at_most` at a time, in parts by the hash of `key`."""
+    many = max(1, math.ceil(rows / at_most))
+    for i in range(many):
+        part = df if many == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(many)) == i)
+        found = part.collect()
+        if found:
+            yield found
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions to keep all cores busy, where it comes in fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _k_best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query; many tasks' rows are thinned out in two steps."""
+    part = W.partitionBy("query_id", F.pmod(F.xxhash64("shot_id"), F.lit(64))).orderBy(F.desc("score"), "shot_id")
+    thin = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
+    return thin.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "shot_id"))).where(F.col("rank") <= k)
+
+
 def dense_topk(queries: DataFrame, shots: DataFrame, k: int = 500, floor: float = -np.inf, margin: float = np.inf,
-               block_rows: int = BLOCK_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               slice_bytes: int = SLICE_BYTES, lead: int = LEAD) -> DataFrame:
     """k best shots per query by dot product, with rank. queries(query_id, qe[, skip_id]); shots(shot_id, emb).
 
     Apply shot filters to `shots` before calling: they then reach the scan and shrink the product. A caller that gates the
     result passes the gate's floor and margin (widened by any later bonus): rows that can never pass are then not shuffled.
+    Of queries and shots, the smaller side is sent in slices of at most `slice_bytes`; neither side is shuffled by key.
     """
     if "skip_id" not in queries.columns:
         queries = queries.withColumn("skip_id", F.lit(-1).cast("long"))
     q = queries.select(F.col("query_id").cast("long"), "qe", F.coalesce("skip_id", F.lit(-1)).cast("long").alias("skip_id"))
     s = shots.select(F.col("shot_id").cast("long"), "emb")
+    spark = s.sparkSession
     n, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("qe")), F.lit(0))).first()
-    if n * dim * 8 <= broadcast_bytes and n * k <= BROADCAST_ENTRIES:
-        rows = q.collect()                                  # measured above: at most broadcast_bytes
-        if not rows:
-            return s.sparkSession.createDataFrame([], SCORED + ", rank int")
-        sc = s.sparkSession.sparkContext
-        held = sc.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64),
-                             np.array([r[2] for r in rows], np.int64)))
-        if s.rdd.getNumPartitions() < sc.defaultParallelism:   # a table in few files would leave most cores idle
-            s = s.repartition(sc.defaultParallelism)
-        scored = s.mapInPandas(lambda it: _topk_stream(*held.value, k, floor, margin)(it), SCORED)
-        if s.rdd.getNumPartitions() > 64:                   # thin out per query in two steps when many tasks report
-            part = W.partitionBy("query_id", F.pmod(F.spark_partition_id(), F.lit(64))).orderBy(F.desc("score"), "shot_id")
-            scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
+    if not n:
+        return spark.createDataFrame([], SCORED + ", rank int")
+    at_most = max(1, slice_bytes // (8 * max(dim, 1)))
+    few = n <= min(at_most, TASK_ENTRIES // k)
+    m = 0 if few else s.count()
+    basis = directions(s.withColumnRenamed("shot_id", "id"), dim, lead)
+    best = None
+    if few or n <= m:
+        stream = _spread(s)
+        for rows in _sliced(q, "query_id", n, min(at_most, max(1, TASK_ENTRIES // k))):
+            held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64), basis))
+            new = _k_best(stream.mapInPandas(lambda it, held=held: _queries_held(*held.value, k, floor, margin)(it), SCORED), k)
+            if not few:
+                new = session.cut_lineage(new)
+                held.destroy()
+            best = new if best is None else best.unionByName(new)
     else:
-        m = s.count()
-        qb = max(1, math.ceil(n / min(block_rows, max(1, BROADCAST_ENTRIES // k))))
-        sb = max(1, math.ceil(m / block_rows))
-        ql = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(sb - 1))))
-        sl = s.withColumn("sb", F.pmod(F.xxhash64("shot_id"), F.lit(sb))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-        scored = ql.groupBy("qb", "sb").cogroup(
-            sl.select(F.col("qb").cast("long"), F.col("sb").cast("long"), "shot_id", "emb").groupBy("qb", "sb")
-        ).applyInPandas(_topk_block(k, floor, margin), SCORED)
-        if sb > 64:
-            part = W.partitionBy("query_id", F.pmod(F.xxhash64("shot_id"), F.lit(64))).orderBy(F.desc("score"), "shot_id")
-            scored = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "shot_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        stream = _spread(q)
+        for rows in _sliced(s, "shot_id", m, at_most):
+            held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), basis))
+            new = stream.mapInPandas(lambda it, held=held: _shots_held(*held.value, k, floor, margin)(it), SCORED)
+            best = session.cut_lineage(_k_best(new if best is None else new.unionByName(best.drop("rank")), k))
+            held.destroy()
+        if best is None:
+            return spark.createDataFrame([], SCORED + ", rank int")
     if margin == np.inf:
-        return ranked
+        return best
     # tasks know their own best only: the margin holds against the query's best of all
-    return ranked.withColumn("top", F.first("score").over(w)).where(F.col("score") >= F.col("top") - margin).drop("top")
+    top = F.max("score").over(W.partitionBy("query_id"))
+    return best.withColumn("top", top).where(F.col("score") >= F.col("top") - margin).drop("top")
 
 
 # ---------------------------------------------------------------------------------------------- threshold joins
-def _pivots(df: DataFrame, n: int):
-    """Up to n vectors spread over the table by hash; only speed depends on the choice."""
-    rows = df.select("emb").orderBy(F.xxhash64("id")).limit(n).collect()
-    return np.array([r[0] for r in rows], np.float64)
-
+def _hits(held, held_ord, swapped, sim, mode, before, same, basis):
+    """mapInPandas body over the streamed side; `held` is a slice (ids, vectors) of the other one, which is the left side if `swapped`."""
+    hid, X = held
 
-def _home_cells(P):
     def run(batches):
+        side, marked = Bounded(X, basis), np.zeros(len(hid), bool)
         for b in batches:
-            X = _matrix(b["emb"]) if len(b) else np.zeros((0, P.shape[1]))
-            yield b.assign(cell=np.argmax(X @ P.T, axis=1).astype(np.int64) if len(b) else pd.Series([], dtype="int64"))
-    return run
-
-
-def _reach_cells(P, radius):
-    """Cells that may hold a row within `radius`: distance to the bisector plane between home and cell <= radius."""
-    gap = np.sqrt(np.maximum(((P[:, None, :] - P[None, :, :]) ** 2).sum(-1), 1e-18))
-
-    def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            X = _matrix(b["emb"])
-            d2 = np.maximum((X * X).sum(1)[:, None] + (P * P).sum(1)[None, :] - 2 * X @ P.T, 0)
-            home = np.argmin(d2, axis=1)
-            plane = (d2 - d2[np.arange(len(X)), home][:, None]) / (2 * gap[home])
-            plane[np.arange(len(X)), home] = 0.0
-            r, c = np.nonzero(plane <= radius + 1e-9)
-            out = b.iloc[r].copy()
-            out["cell"] = c.astype(np.int64)
-            yield out
-    return run
-
-
-def _pair_block(sim, mode, before, same):
-    def run(_key, a, b):
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "cos": []}).astype({"id": "int64", "other": "int64", "cos": "float64"})
-        ia, ib, A, B = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["emb"]), _matrix(b["emb"])
-        out, step = [], max(1, PRODUCT_ENTRIES // len(ib))
-        for r0 in range(0, len(ia), step):
-            i = ia[r0:r0 + step]
-            S = A[r0:r0 + step] @ B.T
-            hit = S > sim
-            if same:
-                hit &= i[:, None] != ib[None, :]
-            if before:
-                hit &= b["ord"].to_numpy()[None, :] < a["ord"].to_numpy()[r0:r0 + step, None]
-            if mode == "exists":
-                r = np.flatnonzero(hit.any(axis=1))
-                out.append(pd.DataFrame({"id": i[r], "other": np.full(len(r), -1, np.int64), "cos": np.zeros(len(r))}))
-            else:
-                r, c = np.nonzero(hit)
-                out.append(pd.DataFrame({"id": i[r], "other": ib[c], "cos": S[r, c]}))
-        return pd.concat(out)
+            mine = b["id"].to_numpy()
+            for i, Y in side.pieces(_matrix(b["emb"])):
+                some = mine[i:i + len(Y)]
+                S = side.scores(Y, sim)
+                hit = S > sim
+                if same:
+                    hit &= some[:, None] != hid[None, :]
+                if before:
+                    own, other = b["ord"].to_numpy()[i:i + len(Y), None], held_ord[None, :]
+                    hit &= own < other if swapped else other < own
+                if mode == "pairs":
+                    r, c = np.nonzero(hit)
+                    left, right = (hid[c], some[r]) if swapped else (some[r], hid[c])
+                    yield pd.DataFrame({"id": left, "other": right, "cos": S[r, c]})
+                elif swapped:
+                    marked |= hit.any(axis=0)
+                else:
+                    found = some[hit.any(axis=1)]
+                    yield pd.DataFrame({"id": found, "other": np.full(len(found), -1, np.int64), "cos": np.zeros(len(found))})
+        if marked.any():
+            yield pd.DataFrame({"id": hid[marked], "other": np.full(int(marked.sum()), -1, np.int64), "cos": np.zeros(int(marked.sum()))})
     return run
 
 
-def _threshold(left, right, sim, mode, before=False, same=True, n_pivots=64, block_rows=BLOCK_ROWS):
-    """left/right(id, emb[, ord]), unit vectors. Exact: bisector pruning never loses a pair with cosine > sim."""
+def _threshold(left, right, sim, mode, before=False, same=True, lead=LEAD, block_rows=None):
+    """left/right(id, emb[, ord]), unit vectors. Every pair with cosine > sim; slices have at most block_rows rows and SLICE_BYTES."""
     cols = ["id", "emb"] + (["ord"] if before else [])
     left, right = left.select(*cols), right.select(*cols)
-    P = _pivots(right, n_pivots)
-    if not len(P):
-        return left.sparkSession.createDataFrame([], "id long, other long, cos double")
-    radius = math.sqrt(max(0.0, 2 - 2 * sim))
-    schema = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in cols) + ", cell long"
-    home = right.mapInPandas(_home_cells(P), schema)
-    reach = left.mapInPandas(_reach_cells(P, radius), schema)
-    # bounded blocks: one size row per cell (at most n_pivots rows on each side)
-    size = lambda d, n: d.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias(n))
-    shape = F.broadcast(size(home, "rb").join(size(reach, "lb"), "cell"))
-    l = (reach.join(shape, "cell").withColumn("li", F.pmod(F.xxhash64("id"), F.col("lb")))
-         .withColumn("ri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb").cast("long") - 1))))
-    r = (home.join(shape, "cell").withColumn("ri", F.pmod(F.xxhash64("id"), F.col("rb")))
-         .withColumn("li", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lb").cast("long") - 1))))
-    keys = ["cell", "li", "ri"]
-    return (l.select(*keys, *cols).groupBy(*keys).cogroup(r.select(*keys, *cols).groupBy(*keys))
-            .applyInPandas(_pair_block(sim, mode, before, same), "id long, other long, cos double"))
+    spark = left.sparkSession
+    measured = [d.agg(F.count("*"), F.coalesce(F.max(F.size("emb")), F.lit(0))).first() for d in (left, right)]
+    swapped = measured[0][0] < measured[1][0]
+    small, large = (left, right) if swapped else (right, left)
+    n, dim = measured[0] if swapped else measured[1]
+    schema = "id long, other long, cos double"
+    out = None
+    basis = directions(small, dim, lead) if n else None
+    at_most = min(block_rows or n or 1, max(1, SLICE_BYTES // (8 * max(dim, 1))))
+    stream = _spread(large) if n else large
+    for rows in _sliced(small, "id", n, at_most) if n else ():
+        held = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["emb"] for r in rows], np.float64), np.array([r["ord"] for r in rows]) if before else None))
+        new = stream.mapInPandas(lambda it, held=held: _hits(held.value[:2], held.value[2], swapped, sim, mode, before, same, basis)(it), schema)
+        if n > at_most:
+            new = session.cut_lineage(new)
+            held.destroy()
+        out = new if out is None else out.unionByName(new)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, sim: float, **kw) -> DataFrame:

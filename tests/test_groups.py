@@ -80,11 +80,43 @@ def test_similarity_paths_agree(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "shot_id long, emb array<double>")
     q = df.select(F.col("shot_id").alias("query_id"), F.col("emb").alias("qe"), F.col("shot_id").alias("skip_id"))
     key = lambda d: sorted((r.query_id, r.rank, r.shot_id) for r in d.collect())
-    assert key(similarity.dense_topk(q, df, 7)) == key(similarity.dense_topk(q, df, 7, block_rows=70, broadcast_bytes=0))
+    assert key(similarity.dense_topk(q, df, 7)) == key(similarity.dense_topk(q, df, 7, slice_bytes=9000, lead=2))
     ids = df.select(F.col("shot_id").alias("id"), "emb")
     C = X @ X.T
     want = {(i, j) for i in range(300) for j in range(300) if i != j and C[i, j] > .8}
-    assert {(r.id, r.other) for r in similarity.similar_pairs(ids, ids, .8, n_pivots=9, block_rows=40).collect()} == want
+    assert {(r.id, r.other) for r in similarity.similar_pairs(ids, ids, .8, lead=2, block_rows=40).collect()} == want
+
+
+def test_small_shots_travel_to_many_queries(spark):
+    """With fewer shots than queries the shots are the slices; long vectors with few strong directions go by the bound."""
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(260, 4)) @ rng.normal(size=(4, 80)) + rng.normal(size=(260, 80)) * .05
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    q = spark.createDataFrame([(i, x.tolist(), i) for i, x in enumerate(X)], "query_id long, qe array<double>, skip_id long").repartition(3)
+    s = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X[:90])], "shot_id long, emb array<double>")
+    score = X @ X[:90].T
+    score[np.arange(90), np.arange(90)] = -9
+    want = {(i, int(j), r + 1) for i in range(260) for r, j in enumerate(np.argsort(-score[i], kind="stable")[:6]) if score[i, j] >= max(.1, score[i].max() - .2)}
+    for lead in (0, 6):
+        got = similarity.dense_topk(q, s, 6, .1, .2, slice_bytes=40 * 80 * 8, lead=lead).collect()
+        assert {(r.query_id, r.shot_id, r.rank) for r in got} == want
+    ids = q.selectExpr("query_id as id", "qe as emb")
+    some = s.selectExpr("shot_id as id", "emb")
+    pairs = {(i, j) for i in range(260) for j in range(90) if X[i] @ X[j] > .9}
+    for left, right, flip in ((ids, some, False), (some, ids, True)):
+        got = {(r.id, r.other) for r in similarity.similar_pairs(left, right, .9, same=False, lead=6, block_rows=33).collect()}
+        assert got == ({(j, i) for i, j in pairs} if flip else pairs)
+        assert {r.id for r in similarity.has_similar(left, right, .9, same=False, lead=6, block_rows=33).collect()} == {p[0] for p in got}
+
+
+def test_the_bound_skips_products_and_loses_none():
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 64)) + rng.normal(size=(400, 64)) * .02
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    basis = np.linalg.svd(X, full_matrices=False)[2][:4].T
+    S = similarity.Bounded(X[:150], basis).scores(X[150:], .97)
+    full = X[150:] @ X[:150].T
+    assert np.isneginf(S).mean() > .5 and ((full <= .97) | np.isfinite(S)).all() and np.allclose(S[np.isfinite(S)], full[np.isfinite(S)])
 
 
 def test_first_come_with_a_third_of_copies(spark):
@@ -98,7 +130,7 @@ def test_first_come_with_a_third_of_copies(spark):
         if not any(X[i] @ X[j] > .9 for j in kept):
             kept.append(i)
     df = spark.createDataFrame([(i, x.tolist(), i) for i, x in enumerate(X)], "id long, emb array<double>, ord long")
-    assert sorted(r.id for r in similarity.first_come_independent(df, .9, n_pivots=6, block_rows=20).collect()) == kept
+    assert sorted(r.id for r in similarity.first_come_independent(df, .9, lead=2, block_rows=20).collect()) == kept
 
 
 def test_running_and_neighbour_on_a_hot_key(spark):
@@ -170,6 +202,6 @@ def test_margin_is_the_same_for_every_plan(spark):
     score = vectors[:40] @ vectors.T
     score[np.arange(40), np.arange(40)] = -9
     want = {(i, j) for i in range(40) for j in np.argsort(-score[i], kind="stable")[:50] if score[i, j] >= max(0.18, score[i].max() - 0.05)}
-    for parts, size in ((2, 64 << 20), (13, 64 << 20), (5, 0)):
-        got = similarity.dense_topk(q, s.repartition(parts), 50, 0.18, 0.05, block_rows=37, broadcast_bytes=size)
+    for parts, size in ((2, 64 << 20), (13, 64 << 20), (5, 900)):
+        got = similarity.dense_topk(q, s.repartition(parts), 50, 0.18, 0.05, slice_bytes=size, lead=3)
         assert {(r.query_id, r.shot_id) for r in got.collect()} == want
