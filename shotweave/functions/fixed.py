@@ -101,3 +101,7 @@ CAPTION_WIDTH, CAPTION_MAX_S, EXPORT_FPS = 42, 6.0, 25
 # Reasons of spots chosen so that no video stays bare.
 GUARANTEED = "a video always gets B-roll: "
 BEST_LINE = "best available line"
+
+# --- fixed values: labels burnt into a picture that is older than claimed, or not of the event -------
+FILE_LABEL = "FILE · "
+STOCK_LABEL = "STOCK · not event footage"

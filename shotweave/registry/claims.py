@@ -1,7 +1,7 @@
 """Claims, evidence and verdicts over whole text and order tables."""
 from pyspark.sql import functions as F
 
-from ..operators import truth
+from ..operators import places, truth
 from . import bindings as b
 from .base import query
 
@@ -25,9 +25,8 @@ def places_sql(name: str, source: str, key: str, column: str) -> str:
 @query("places_in_documents", b.with_sql(ALIASES, places_sql("pl", "documents", "doc_id", "text")) + """
 SELECT d.doc_id, coalesce(string_agg(name, ',' ORDER BY at_pos, ord), '') AS places FROM documents d LEFT JOIN pl USING (doc_id) GROUP BY 1""")
 def places_in_documents(spark, d):
-    a = truth.alias_array(b.gazetteer(spark, d))
-    p = truth.match_places(F.col("text"), a)
-    return b.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(p, lambda x: x["name"]), ",").alias("places"))
+    named = places.with_places(b.table(spark, d, "documents").select("doc_id", "text"), {"p": F.col("text")}, truth.alias_table(b.gazetteer(spark, d)))
+    return named.select("doc_id", F.array_join(F.transform("p", lambda x: x["name"]), ",").alias("places"))
 
 
 @query("place_closure", b.with_sql(b.GAZ) + "SELECT name, name AS ancestor, 0 AS depth FROM gaz UNION ALL SELECT name, parent, 1 FROM gaz WHERE parent IS NOT NULL")
@@ -57,7 +56,7 @@ g AS (SELECT k, string_agg(name, ',' ORDER BY CASE kind WHEN 'city' THEN 0 WHEN
 t AS (SELECT conv_id AS script_id, turn AS i, places, last_value(places IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS carry FROM turns LEFT JOIN g USING (k))
 SELECT script_id, i, coalesce(carry, '') AS places, places IS NULL AND carry IS NOT NULL AS inherited FROM t""")
 def inherited_places(spark, d):
-    a = truth.alias_array(b.gazetteer(spark, d))
+    a = truth.alias_table(b.gazetteer(spark, d))
     c = truth.inherit_places(truth.extract_claims(turns(spark, d), a))
     return c.select("script_id", "i", F.array_join(F.transform("places", lambda p: p["name"]), ",").alias("places"), F.col("place_inherited").alias("inherited"))
 
@@ -77,7 +76,7 @@ def line_claims(spark, d):
     line = F.concat(F.lit("In "), F.year("o_orderdate").cast("string"), F.lit(" the "), b.pick(["flooded roads", "sunny beach", "misty hills", "snowy peak", "quiet town", "brain foggy"], k),
                     F.when(k % 3 == 0, " was seen today").when(k % 3 == 1, " was calm").otherwise(" is in the latest report"))
     line = F.when(k % 4 == 0, line).otherwise(F.substring(line, 9, 1000))
-    a = truth.alias_array(b.gazetteer(spark, d))
+    a = truth.alias_table(b.gazetteer(spark, d))
     c = truth.extract_claims(o.select("o_orderkey", line.alias("text")), a)
     return c.select("o_orderkey", "time_kind", "year", "time_phrase", F.col("claim_weather").alias("weather"))
 
@@ -135,9 +134,7 @@ judged AS (SELECT *, CASE WHEN 'bad' IN (coalesce(p, ''), coalesce(t, ''), coale
   concat_ws(',', p, t, w, s) AS checks FROM judged""")
 def claim_verdicts(spark, d):
     v = truth.verdict(claim_pairs(spark, d), TODAY)
-    st = lambda n: F.try_element_at("checks", F.lit(n))["status"]
-    return v.select("l_orderkey", "l_linenumber", "l_partkey", "status", "label", F.round("delta", 4).alias("delta"),
-                    F.concat_ws(",", *[st(n) for n in ("place", "time", "weather", "stock")]).alias("checks"))
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "status", "label", F.round("delta", 4).alias("delta"), F.concat_ws(",", *[F.col("found")[n] for n in truth.CHECKS]).alias("checks"))
 
 
 @query("verdict_evidence", b.with_sql(PAIRS) + """SELECT status, count(*) AS n, count(DISTINCT cnat) AS claims, round(sum(delta), 2) AS delta FROM judged GROUP BY 1""")
@@ -160,25 +157,24 @@ def contradictions_per_order(spark, d):
 
 @query("place_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, p AS status, CASE WHEN p = 'bad' THEN CASE WHEN ev = 1 THEN sreg ELSE snat END END AS shown FROM place")
 def place_checks(spark, d):
-    c = claim_pairs(spark, d).withColumn("c", truth.check_place())
-    return c.select("l_orderkey", "l_linenumber", "l_partkey", "c.status", F.when(F.col("c.status") == "bad", F.regexp_extract("c.evidence", r"^Shows (.+?) \(", 1)).alias("shown"))
+    c = truth.check_place()
+    return claim_pairs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", c.status.alias("status"), F.when(c.status == "bad", F.regexp_extract(c.note, r"picture: (.+?), by ", 1)).alias("shown"))
 
 
 @query("time_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, t AS status, CASE WHEN t = 'warn' THEN 'FILE · ' || year(ship) END AS label FROM times")
 def time_checks(spark, d):
-    c = claim_pairs(spark, d).withColumn("c", truth.check_time(F.to_date(F.lit(TODAY))))
-    return c.select("l_orderkey", "l_linenumber", "l_partkey", "c.status", "c.label")
+    c = truth.check_time(F.to_date(F.lit(TODAY)))
+    return claim_pairs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", c.status.alias("status"), c.label.alias("label"))
 
 
 @query("weather_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, w AS status FROM weathers")
 def weather_checks(spark, d):
-    return claim_pairs(spark, d).withColumn("c", truth.check_weather()).select("l_orderkey", "l_linenumber", "l_partkey", "c.status")
+    return claim_pairs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", truth.check_weather().status.alias("status"))
 
 
 @query("stock_as_news_checks", b.with_sql(PAIRS) + "SELECT l_orderkey, l_linenumber, l_partkey, s IS NOT NULL AS flagged FROM stocks")
 def stock_as_news_checks(spark, d):
-    c = claim_pairs(spark, d).withColumn("p", truth.check_place())
-    return c.select("l_orderkey", "l_linenumber", "l_partkey", truth.check_stock(F.col("p")).isNotNull().alias("flagged"))
+    return claim_pairs(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", truth.check_stock(truth.check_place()).status.isNotNull().alias("flagged"))
 
 
 def document_facts(spark, d):
@@ -197,19 +193,19 @@ SELECT f.doc_id AS shot_id, coalesce(string_agg(e, ',' ORDER BY r, at_pos, ord),
 def place_evidence(spark, d):
     g = b.gazetteer(spark, d)
     cities = truth.with_ancestors(g).where("kind = 'city'")
-    e = truth.place_evidence(document_facts(spark, d), truth.alias_array(g), cities)
+    e = truth.place_evidence(document_facts(spark, d), truth.alias_table(g), cities)
     return e.select("shot_id", F.array_join(F.transform("evidence", lambda x: F.concat(x["src"], F.lit(":"), x["name"])), ",").alias("evidence"))
 
 
-@query("wrong_place_clips", b.with_sql(ALIASES, "turns AS (SELECT conv_id * 10000 + turn AS k, conv_id, turn, text FROM conversations)", places_sql("pl", "turns", "k", "text")) + """,
-v AS (SELECT k // 10000 AS conv_id, list(name) AS names, list_concat(list(name), list(parent) FILTER (parent IS NOT NULL)) AS near FROM pl WHERE k % 10000 = 0 GROUP BY 1),
-c AS (SELECT k, k // 10000 AS conv_id, arg_min(name, at_pos * 1000 + ord) AS first_name, list(name) AS names, list_concat(list(name), list(parent) FILTER (parent IS NOT NULL)) AS near FROM pl WHERE k % 10000 > 0 GROUP BY 1)
-SELECT t.conv_id, t.turn, CASE WHEN v.names IS NOT NULL AND c.names IS NOT NULL AND NOT list_has_any(c.near, v.names) AND NOT list_has_any(v.near, c.names) THEN c.first_name END AS wrong_place
-FROM turns t LEFT JOIN v USING (conv_id) LEFT JOIN c ON c.k = t.k WHERE t.turn > 0""")
+@query("wrong_place_clips", b.with_sql(ALIASES, "turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, conv_id, turn, text FROM conversations)", places_sql("pl", "turns", "k", "text")) + """,
+p AS (SELECT turns.*, name, parent, at_pos, ord FROM pl JOIN turns USING (k)),
+v AS (SELECT conv_id, list(DISTINCT name) AS names, list_concat(list(name), list(parent) FILTER (parent IS NOT NULL)) AS near FROM p GROUP BY 1),
+c AS (SELECT k, arg_min(name, at_pos::HUGEINT * 100000 + ord) AS first_name, list(name) AS names, list_concat(list(name), list(parent) FILTER (parent IS NOT NULL)) AS near FROM p GROUP BY 1)
+SELECT t.conv_id + 1 AS conv_id, t.turn, CASE WHEN v.names IS NOT NULL AND c.names IS NOT NULL AND NOT list_has_any(c.near, v.names) AND NOT list_has_any(v.near, c.names) THEN c.first_name END AS wrong_place
+FROM turns t LEFT JOIN v ON v.conv_id = t.conv_id + 1 LEFT JOIN c ON c.k = t.k""")
 def wrong_place_clips(spark, d):
-    """Later turns as clips against the places of the conversation's opening turn."""
-    a = truth.alias_array(b.gazetteer(spark, d))
-    t = b.table(spark, d, "conversations")
-    vp = truth.video_places(t.where("turn = 0"), a, "conv_id", "turn")
-    clips = t.where("turn > 0").select("conv_id", "turn", truth.match_places(F.col("text"), a).alias("clip_places"))
-    return truth.wrong_place_pairs(clips, vp, "conv_id").select("conv_id", "turn", "wrong_place")
+    """The turns of one conversation as clips for the next one, against the places of all its turns."""
+    a = truth.alias_table(b.gazetteer(spark, d))
+    t = b.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    clips = places.with_places(t, {"clip_places": F.col("text")}, a).select((F.col("conv_id") + 1).alias("conv_id"), "turn", "clip_places")
+    return truth.wrong_place_pairs(clips, truth.video_places(t, a, "conv_id", "turn"), "conv_id").select("conv_id", "turn", "wrong_place")

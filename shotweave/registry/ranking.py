@@ -241,11 +241,11 @@ def rescued_slots(spark, d):
 def suggestions(spark, d):
     """Suggestions for every shot as a line with two queries: its own vector and its neighbour's."""
     s = b.shots(spark, d)
-    from ..operators import truth
-    a = truth.alias_array(b.gazetteer(spark, d))
+    from ..operators import places, truth
+    a = truth.alias_table(b.gazetteer(spark, d))
     v = s.select(F.col("shot_id").alias("line_id"), F.explode(F.array(F.struct((F.col("shot_id") * 2).alias("query_id"), F.col("emb").alias("qe")),
                                                                      F.struct((F.col("shot_id") * 2 + 1).alias("query_id"), F.transform("emb", lambda x: -x).alias("qe")))).alias("q"))
     v = v.select("line_id", "q.query_id", "q.qe").withColumn("skip_id", F.col("line_id"))
-    cp = s.select("shot_id", truth.match_places(F.concat_ws(" ", "title", "tags"), a).alias("clip_places"))
-    vp = s.select(F.col("shot_id").alias("line_id"), truth.match_places(F.concat_ws(" ", "title", "tags"), a).alias("video_places"))
+    named = places.with_places(s.select("shot_id", "title", "tags"), {"p": F.concat_ws(" ", "title", "tags")}, a)
+    cp, vp = named.select("shot_id", F.col("p").alias("clip_places")), named.select(F.col("shot_id").alias("line_id"), F.col("p").alias("video_places"))
     return search_plan.suggest(v, v, s, b.vocab(spark, d), vp, cp, 24, delta=0.15, sim=0.20, dist=0.85).select("line_id", "shot_id", F.round("score", 4).alias("score"), "fit", "wrong_place", "shown")

@@ -211,7 +211,7 @@ def plan_inputs(spark, d):
     from .edits import lesson_pairs, past_lines
     s = cut_lineage(b.shots(spark, d))
     beats = cut_lineage(b.beats(spark, d))
-    a = truth.alias_array(b.gazetteer(spark, d))
+    a = truth.alias_table(b.gazetteer(spark, d))
     claims = cut_lineage(truth.inherit_places(truth.extract_claims(beats, a)).drop("text", "dur"))
     none = F.lit(None)
     facts = s.select("shot_id", none.cast("double").alias("gps_lat"), none.cast("double").alias("gps_lon"), none.cast("string").alias("ocr_text"), "title", "tags",

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import lines, ranges, spots, timeline, truth, windows
+from ..operators import lines, places, ranges, spots, timeline, truth, windows
 from ..plans import plan as plans
 from . import bindings as b
 from .base import query
@@ -256,8 +256,8 @@ x AS (SELECT s.video_id, s.seg_id AS id, s.text, coalesce(np, 0) > 0 AS placed,
    FROM segments s LEFT JOIN p ON p.k = s.video_id * 1000 + s.seg_id LEFT JOIN kw ON kw.k = s.video_id * 1000 + s.seg_id)
 SELECT video_id, id, CASE WHEN spk THEN CASE WHEN id >= last_id - 1 THEN 'cta' WHEN id = first_id THEN 'hook' ELSE 'aside' END WHEN placed THEN 'place' WHEN num THEN 'data' ELSE 'key point' END AS role, content FROM x""")
 def offline_line_importance(spark, d):
-    a = truth.alias_array(b.gazetteer(spark, d))
-    u = b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text", truth.match_places(F.col("text"), a).alias("places"))
+    a = truth.alias_table(b.gazetteer(spark, d))
+    u = places.with_places(b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text"), {"places": F.col("text")}, a)
     kw = text.keywords(F.col("text"), 12)
     return lines.offline_importance(u).select("video_id", "id", "role", F.when(kw == "", 0).otherwise(F.size(F.split(kw, " "))).alias("content"))
 
@@ -295,16 +295,17 @@ x AS (SELECT s.video_id, seg_id AS id, seg_id % 4 > 0 AS ok, CASE WHEN place IS
   FROM segments s LEFT JOIN p ON p.k = s.video_id * 1000 + seg_id LEFT JOIN kw ON kw.k = s.video_id * 1000 + seg_id)
 SELECT video_id, id, CASE WHEN ok THEN 'people walking' ELSE '' END AS query, CASE WHEN ok THEN array_to_string(list_filter([a, b, c], lambda v: v IS NOT NULL)[:2], '|') ELSE '' END AS alts FROM x""")
 def offline_query_phrases(spark, d):
-    a = truth.alias_array(b.gazetteer(spark, d))
-    l = b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text", F.when(F.col("seg_id") % 4 > 0, 0.9).otherwise(0.3).alias("visual"), truth.match_places(F.col("text"), a).alias("places"),
+    a = truth.alias_table(b.gazetteer(spark, d))
+    l = b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text", F.when(F.col("seg_id") % 4 > 0, 0.9).otherwise(0.3).alias("visual"),
                                     F.lit("people walking").alias("concept1"), F.lit("busy street").alias("concept2"))
+    l = places.with_places(l, {"places": F.col("text")}, a)
     return lines.offline_queries(l).select("video_id", "id", "query", F.array_join("alt_queries", "|").alias("alts"))
 
 
 @query("offline_spot_plan")
 def offline_spot_plan(spark, d):
-    a = truth.alias_array(b.gazetteer(spark, d))
-    u = b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text", truth.match_places(F.col("text"), a).alias("places"))
+    a = truth.alias_table(b.gazetteer(spark, d))
+    u = places.with_places(b.segments(spark, d).select("video_id", F.col("seg_id").alias("id"), "text"), {"places": F.col("text")}, a)
     h = F.pmod(F.col("video_id") * 7 + F.col("id") * 29, F.lit(97)) / 96.0
     scored = lines.offline_importance(u).withColumns({"visual": h, "concept1": F.lit("people walking"), "concept2": F.lit("busy street")})
     placed, topic, _ = plans.offline_plan(segment_units(spark, d), b.words(spark, d), b.durations(spark, d), scored)
