@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed, vector
-from .ordered import neighbour, running
+from .ordered import neighbour, running_totals
 
 
 def mean_embedding(df: DataFrame, by: str, emb: str = "emb") -> DataFrame:
@@ -133,20 +133,19 @@ def weight_sweep(plans: DataFrame) -> DataFrame:
                     F.when(F.col("g_rel") != 0, (F.col("g_rel") - F.col("c_rel")) / F.col("g_rel")).otherwise(0.0).alias("rel_loss"))
 
 
-def balanced_accuracy(scores: DataFrame, label: str = "y", score: str = "score", step: float = 0.01) -> DataFrame:
+def balanced_accuracy(scores: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     """Best balanced accuracy over every threshold of every unique score (predict 1 when score >= threshold).
 
-    Equal scores are merged first, then counts are accumulated chunk by chunk: no single task sees the whole order.
+    Equal scores are merged first, then counts are accumulated over range partitions of the scores: no single task sees the whole order.
     """
     per = scores.groupBy(F.col(score).alias("thr")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    per = per.withColumns({"k": F.lit(1), "neg": -F.col("thr")})
-    cum = running(per, "k", F.floor(F.col("neg") / step), ["neg"], tp=("sum", F.col("p")), pn=("sum", F.col("n")))
-    tot = per.groupBy("k").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    cum = running_totals(per, [F.desc("thr")], tp=F.col("p"), pn=F.col("n")).withColumn("neg", -F.col("thr"))
+    tot = per.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     P, N = F.col("all_p"), F.col("all_n")
     bal = (F.col("tp") / P + (N - P - (F.col("pn") - F.col("tp"))) / (N - P)) / 2
     # of equal accuracies the lowest threshold is reported
-    return cum.join(F.broadcast(tot), "k").withColumn("bal", F.round(bal, 12)).groupBy("k").agg(
-        F.max("bal").alias("accuracy"), F.max_by("thr", F.struct("bal", "neg")).alias("threshold")).drop("k")
+    return cum.join(F.broadcast(tot), F.lit(True)).withColumn("bal", F.round(bal, 12)).agg(
+        F.max("bal").alias("accuracy"), F.max_by("thr", F.struct("bal", "neg")).alias("threshold"))
 
 
 def argmax_label(df: DataFrame, by: str, label: str, score: str) -> DataFrame:

@@ -3,9 +3,15 @@
 A plain window sends every row of a key to one task. Here each key is cut into chunks by a monotone expression of its order
 (an hour of time, 4,096 positions, 0.01 of score); the window runs inside a chunk and only one summary row per chunk is
 carried across. A key that holds a third of all rows is therefore spread over as many tasks as it has chunks.
+
+Where no such expression cuts evenly (scores that pile up, one order over everything), rows are laid out in range partitions of the whole order instead: Spark samples
+the borders, so that partitions are of about equal size whatever the keys and values, ties being parted by the further columns of the order. A row's
+number is then its place in its partition and the rows of the partitions before, one count per partition.
 """
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 
 def _match(df: DataFrame, side: DataFrame, keys):
     """Left join of per-chunk summaries on (keys, __c)."""
@@ -52,3 +58,45 @@ def rank_in_key(df: DataFrame, by, chunk: Column, order, name: str = "rn") -> Da
     """row_number over a key, chunk by chunk. `chunk` must grow along the given order."""
     return running(df, by, chunk, order, **{name: ("sum", F.lit(1).cast("long"))})
 
+
+PLACE_BITS = 33                 # of a row's place in its partition, below the partition's number
+
+
+def laid_out(df: DataFrame, order) -> DataFrame:
+    """df in range partitions of the whole order, which must be total; __at holds (partition, place in it) and stays fixed from here on."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    return cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+
+
+def _before(d: DataFrame, **sums: Column) -> DataFrame:
+    """(__part, base per sum): what all partitions before this one add up to. One row per partition reaches the driver."""
+    rows = d.groupBy(F.shiftright("__at", PLACE_BITS).cast("int").alias("__part")).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()
+    out, so_far = [], [0] * len(sums)
+    for r in sorted(rows):
+        out.append((r[0], *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, r[1:])]
+    kinds = d.select(*[F.sum(c).alias(n) for n, c in sums.items()]).schema
+    return d.sparkSession.createDataFrame(out, "__part int, " + ", ".join(f"__base_{f.name} {f.dataType.simpleString()}" for f in kinds))
+
+
+def numbered(df: DataFrame, by, order, name: str) -> DataFrame:
+    """Number from 1 of each row in its key, or in all with by=[]; `order` must be total within a key. A null is a key like others."""
+    by = [by] if isinstance(by, str) else list(by)
+    d = laid_out(df, [*by, *order])
+    d = d.withColumn("__part", F.shiftright("__at", PLACE_BITS).cast("int")).join(F.broadcast(_before(d, n=F.lit(1).cast("long"))), "__part")
+    d = d.withColumn(name, F.col("__base_n") + F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1).drop("__part", "__base_n", "__at")
+    if not by:
+        return d
+    first = d.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg((F.min(name) - 1).alias("__first"))
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    return d.join(first, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *[f"__by_{c}" for c in by])
+
+
+def running_totals(df: DataFrame, order, **sums: Column) -> DataFrame:
+    """Running sums over the whole table up to and including the row, in a total order."""
+    d = laid_out(df, order)
+    base = _before(d, **sums)
+    d = d.withColumn("__part", F.shiftright("__at", PLACE_BITS).cast("int"))
+    inside = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(base), "__part")
+    return d.withColumns({n: F.col(n) + F.col(f"__base_{n}") for n in sums}).drop("__part", "__at", *[f"__base_{n}" for n in sums])

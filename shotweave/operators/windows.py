@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, text
-from .ordered import neighbour, rank_in_key, running
+from .ordered import neighbour, numbered, rank_in_key, running
 from .ranges import interval_pairs, nearest
 
 
@@ -89,16 +89,13 @@ def pauses(segments: DataFrame, durations: DataFrame, min_s: float = 0.4) -> Dat
 
 def interleave_sources(cands: DataFrame, k: int | None = None, by: str = "query_id") -> DataFrame:
     """Best clip of each source first, sources ordered by their best score; rank over the whole key."""
-    chunk = F.floor(-F.col("score") * 100)
-    d = cands.withColumn("__neg", -F.col("score"))
-    r = rank_in_key(d, [by, "source"], chunk, ["__neg", "shot_id"], "turn")
+    r = numbered(cands, [by, "source"], [F.desc("score"), "shot_id"], "turn")
     best = cands.groupBy(by, "source").agg(F.max("score").alias("best"))
-    r = r.join(best, [by, "source"]).drop("__neg")
+    r = r.join(best, [by, "source"])
     if k:
         r = r.where(F.col("turn") <= k)                      # a place within k needs a turn within k
     # places taken: everything with an earlier turn, then better sources of the same turn
-    r = r.withColumn("__nb", -F.col("best"))
-    out = rank_in_key(r, by, F.floor((F.col("turn") - 1) / 64), ["turn", "__nb", "source"], "place").drop("__nb")
+    out = numbered(r, by, ["turn", F.desc("best"), "source"], "place")
     return out.where(F.col("place") <= k) if k else out
 
 
@@ -111,8 +108,7 @@ def round_robin_pick(ranked: DataFrame, n: int) -> DataFrame:
 def task_order(tasks: DataFrame) -> DataFrame:
     """tasks(source, source_pos, query_pos, page): page by page within a source, sources interleaved."""
     r = rank_in_key(tasks, "source", F.col("page"), ["page", "query_pos"], "turn")
-    r = r.withColumn("__k", F.lit(1))
-    return rank_in_key(r, "__k", F.floor((F.col("turn") - 1) / 1024), ["turn", "source_pos"], "place").drop("__k")
+    return numbered(r, [], ["turn", "source_pos"], "place")
 
 
 def per_query_pick(items: DataFrame, cap_main: int = 18, cap_alt: int = 8, min_n: int = 5) -> DataFrame:
@@ -144,8 +140,7 @@ def global_budget(items: DataFrame, max_items: int, caps: dict) -> DataFrame:
     for s, n in caps.items():
         cap = F.when(F.col("source") == s, F.lit(n).cast("long")).otherwise(cap)
     r = rank_in_key(items, "source", F.floor(F.col("pos") / 4096), ["pos"], "in_source")
-    r = r.where(cap.isNull() | (F.col("in_source") <= cap)).withColumn("__k", F.lit(1))
-    r = rank_in_key(r, "__k", F.floor(F.col("pos") / 4096), ["pos"], "in_all").drop("__k")
+    r = numbered(r.where(cap.isNull() | (F.col("in_source") <= cap)), [], ["pos"], "in_all")
     return r.where(F.col("in_all") <= max_items)
 
 
@@ -184,8 +179,8 @@ def best_per_video(cands: DataFrame, k: int | None = None, by: str = "line_id")
 def order_by_fit(cands: DataFrame, by: str = "line_id") -> DataFrame:
     """Confirmed clips first in verdict order, then unjudged, then rejected; score breaks ties."""
     grp = F.when(F.col("fit"), 0).when(F.col("fit").isNull(), 1).otherwise(2)
-    w = W.partitionBy(by).orderBy(grp, F.coalesce("verdict_pos", F.lit(0)), F.desc("score"), "shot_id")
-    return cands.withColumn("place", F.row_number().over(w))
+    d = cands.withColumns({"__grp": grp, "__pos": F.coalesce("verdict_pos", F.lit(0))})
+    return numbered(d, by, ["__grp", "__pos", F.desc("score"), "shot_id"], "place").drop("__grp", "__pos")
 
 
 def order_clusters(clusters: DataFrame) -> DataFrame:

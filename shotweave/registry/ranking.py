@@ -40,9 +40,8 @@ def ranked_top_k(spark, d):
 
 @query("hot_source_rank", b.with_sql(EC) + "SELECT source, shot_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, shot_id) AS rn FROM ec")
 def hot_source_rank(spark, d):
-    """Rank inside five very large keys, chunk by chunk."""
-    e = event_cands(spark, d).withColumn("neg", -F.col("score"))
-    return ordered.rank_in_key(e, "source", F.floor(-F.col("score") * 100), ["neg", "shot_id"]).select("source", "shot_id", "rn")
+    """Rank inside five very large keys, over range partitions of the whole order."""
+    return ordered.numbered(event_cands(spark, d), "source", [F.desc("score"), "shot_id"], "rn").select("source", "shot_id", "rn")
 
 
 @query("interleaved_sources", b.with_sql(EC) + """,

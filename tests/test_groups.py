@@ -205,3 +205,26 @@ def test_margin_is_the_same_for_every_plan(spark):
     for parts, size in ((2, 64 << 20), (13, 64 << 20), (5, 900)):
         got = similarity.dense_topk(q, s.repartition(parts), 50, 0.18, 0.05, slice_bytes=size, lead=3)
         assert {(r.query_id, r.shot_id) for r in got.collect()} == want
+
+
+def test_numbers_of_piled_up_scores(spark):
+    """Nine tenths of the rows share a key, and of these nine tenths a score: numbers are right and every task holds a fair share."""
+    n = 20_000
+    r = np.random.default_rng(5)
+    key = np.where(r.random(n) < .9, "hot", np.where(r.random(n) < .5, "cold", "none"))
+    score = np.where(r.random(n) < .9, .5, r.random(n).round(2))
+    rows = [(None if k == "none" else k, float(x), i) for i, (k, x) in enumerate(zip(key.tolist(), score.tolist()))]
+    df = spark.createDataFrame(rows, "k string, score double, id long").repartition(8)
+    want, seen = {}, {}
+    for k, x, i in sorted(rows, key=lambda t: (-t[1], t[2])):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    assert {t.id: t.n for t in ordered.numbered(df, "k", [F.desc("score"), "id"], "n").collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")        # as if partitions were large
+    sizes = [t["count"] for t in ordered.laid_out(df, ["k", F.desc("score"), "id"]).groupBy(F.shiftright("__at", 33)).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    every = {t.id: t.n for t in ordered.numbered(df, [], [F.desc("score"), "id"], "n").collect()}
+    assert [i for i, _ in sorted(every.items(), key=lambda t: t[1])] == [i for _, _, i in sorted(rows, key=lambda t: (-t[1], t[2]))]
+    sums = {t.id: t.s for t in ordered.running_totals(df.where("id < 500"), ["id"], s=F.col("id")).collect()}
+    assert sums == {i: i * (i + 1) // 2 for i in range(500)}
+    assert ordered.numbered(df.limit(0), "k", ["id"], "n").count() == ordered.running_totals(df.limit(0), ["id"], s=F.col("id")).count() == 0
