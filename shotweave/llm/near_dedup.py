@@ -15,7 +15,7 @@ from .words import mix, slices, small, text_column
 
 BANDS, ROWS = 26, 4                             # a pair at 0.8 shares no band once in a million
 HASHES = BANDS * ROWS
-TURNS = 3                                       # times that the members of a bucket meet one of them before those still apart meet each other
+TURNS = 2                                       # times that the members of a bucket meet one of them before those still apart meet each other
 CELL = 2048                                     # members of either side in one task
 CELL_VALUES = 1 << 21                           # shingles of either side in one task
 SALT = 8
@@ -77,14 +77,14 @@ def _sig_matrix(column):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
-def _apart(members: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, values: int | None) -> DataFrame:
     """members (k, cid, label, n, ...) dealt to pairs of blocks (low, high), such that each two of one key with different labels meet.
 
-    Blocks have at most CELL members and about CELL_VALUES shingles. The members of a key's most frequent label don't meet each other; a key with one label is left out.
+    Blocks have about CELL members and, if given, at most about `values` shingles. The members of a key's most frequent label don't meet each other; a key with one label is left out.
     """
     labels = members.groupBy("k", "label").agg(F.count("*").alias("n"), F.max("n").alias("widest"))
     main = labels.groupBy("k").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("widest").alias("widest")).where("all > most")
-    cell = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(CELL_VALUES) / F.col("widest"))))
+    cell = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(values) / F.col("widest")))) if values else F.lit(CELL)
     main = main.select("k", "main", F.ceil((F.col("all") - F.col("most")) / cell).cast("int").alias("rest"), F.ceil(F.col("most") / cell).cast("int").alias("mains"))
     at = F.xxhash64(F.lit(SALT), "cid")
     held = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(at, F.col("mains"))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
@@ -125,23 +125,13 @@ def _agreed(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked on full sets. Signatures go first; a set is shuffled once, then once per partner that agrees."""
+    """The pairs (u, v) that are linked on full sets. Signatures go first; sets meet row by row, so a task holds no more than a few at a time."""
     pairs = cut_lineage(_agreed(pairs, reps, least))
     ids = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()
     sets = cut_lineage(_with_sets(docs, reps.select("cid", "a", "b").join(ids, "cid"), size).dropDuplicates(["cid"]).select("cid", "shingles"))
-    kind = reps.schema["cid"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch["su"], batch["sv"], strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                hit.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(hit, pa.bool_()))
-
     named = lambda end: sets.select(F.col("cid").alias(end), F.col("shingles").alias(f"s{end}"))
-    return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(named("v"), "v").join(named("u"), "u").where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
 def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,10 +142,11 @@ def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return buckets, cut_lineage(places.join(buckets.select("k"), "k"))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (k, cid) with label, the component over links so far; of buckets with more than one label."""
+def _labelled(members: DataFrame, met: DataFrame, links: DataFrame) -> DataFrame:
+    """members (k, cid) with label, the component over links so far, without those that have met their whole bucket (met: k, hub); of buckets with more than one label."""
     named = components(links).withColumnRenamed("node", "cid").withColumnRenamed("component", "label")
-    out = members.select("k", "cid").join(named, "cid", "left").select("k", "cid", F.coalesce("label", "cid").alias("label"))
+    rest = members.select("k", "cid").join(met.select("k", "hub"), "k").where("cid != hub").select("k", "cid")
+    out = rest.join(named, "cid", "left").select("k", "cid", F.coalesce("label", "cid").alias("label"))
     open_ = out.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
     return cut_lineage(out.join(open_, "k"))
 
@@ -163,49 +154,90 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, reps: DataFrame, size: int, least: int, percent: int) -> DataFrame:
     """u, v: links confirmed on full sets, enough of them to connect whichever two members of a band bucket are linked.
 
-    First every member meets one of its bucket, the least; then, where a bucket still has members of several components, a few more turns with one taken by hash. Members that are
-    joined by then, as in large families of copies, cost nothing more. Those of different components that are left meet each other in blocks, by signatures and, where these agree,
-    on full sets.
+    First every member meets one of its bucket, the least, which then leaves; where a bucket still has members of several components, they meet another one, taken by hash. Members that
+    are joined by then, as in large families of copies, cost nothing more. Those of different components that are left meet each other in blocks.
     """
     buckets, members = _buckets(reps)
     pairs = members.join(buckets, "k").where("hub != cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
     links = cut_lineage(_confirmed(docs, reps, pairs, size, least, percent))
     for turn in range(1, TURNS + 1):
-        members = _labelled(members, links)
+        members = _labelled(members, buckets, links)
         if members.isEmpty():
             return links
         if turn < TURNS:
-            pivots = members.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "label")).alias("p")).select("k", "p.cid", "p.label").toDF("k", "hub", "own")
-            pairs = members.join(pivots, "k").where("label != own").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct()
+            buckets = cut_lineage(members.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "label")).alias("p")).select("k", "p.cid", "p.label").toDF("k", "hub", "own"))
+            pairs = members.join(buckets, "k").where("label != own").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct()
             links = cut_lineage(links.union(_confirmed(docs, reps, pairs, size, least, percent)))
     return links.union(_met(docs, reps, members, size, least, percent))
 
 
+def _runs(batches, key: str):
+    """Tables of whole runs of equal `key` over sorted Arrow batches, with the places where runs begin."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        edges = np.flatnonzero(np.diff(table[key].to_numpy())) + 1
+        last = int(edges[-1]) if len(edges) else 0
+        if last:
+            yield table.slice(0, last).combine_chunks(), np.concatenate(([0], edges[:-1]))
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0])
+
+
 def _met(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """Links between members (k, cid, label) of one key and different labels, block by block."""
-    # sets of linked texts differ in size by a factor of 100 / percent at most, so their classes are the same or neighbours
-    step = math.log(100 / percent) * (1 + 1e-9)
-    rank = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
-    rows = members.join(reps.select("cid", "a", "b", "n"), "cid").select("cid", "label", "a", "b", "n", F.explode(F.array(F.xxhash64("k", rank), F.xxhash64("k", rank + 1))).alias("k"))
-    cells = cut_lineage(_apart(cut_lineage(rows)))
-    kind = reps.schema["cid"].dataType.simpleString()
+    """Links between members (k, cid, label) of one bucket and different labels.
 
-    def agreeing(table: pa.Table) -> pa.Table:
-        hit = np.zeros(table.num_rows, bool)
-        for x, near in _agreeing(_sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least):
-            hit[x] = hit[near] = True
-        return table.filter(pa.array(hit))
+    Signatures tell who may be linked with a member of another label, and which labels to compare: these make families. Inside a family those members meet in blocks, on full sets.
+    """
+    kind = reps.schema["cid"].dataType.simpleString()
+    cells = _apart(members.join(reps.select("cid", "n"), "cid"), None).select(
+        F.xxhash64("k", "low", "high").alias("cell"), "cid", "label", (F.col("block") == F.col("low")).alias("lower"), (F.col("low") == F.col("high")).alias("inner"))
+
+    def meet(batches):
+        """Of every member with a partner of another label: cid, label, and the least of all labels that are connected with it in its cell."""
+        for table, edges in _runs(batches, "cell"):
+            ids, sigs, labels = table["cid"].to_numpy(), _sig_matrix(table["sig"]), table["label"].to_numpy()
+            lower, inner = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("lower", "inner"))
+            hit, root = np.zeros(len(ids), bool), {}
+            names = labels.tolist()
+            out = list(names)
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in zip(edges.tolist(), np.append(edges[1:], len(ids)).tolist(), strict=True):
+                rows, high = np.arange(i, j), ~lower[i:j] | inner[i:j]
+                root.clear()
+                some = False
+                for x, near in _agreeing(sigs, labels, rows[lower[i:j]], rows[high], least):
+                    some = hit[x] = hit[near] = True
+                    for y in np.unique(labels[near]).tolist():
+                        p, q = sorted((find(names[x]), find(y)))
+                        root[q] = p
+                if some:
+                    out[i:j] = map(find, names[i:j])
+            held = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([table["cid"].combine_chunks().filter(held), table["label"].combine_chunks().filter(held), pa.array(out, table.schema.field("label").type).filter(held)], names=["cid", "label", "other"])
+
+    signed = cells.join(reps.select("cid", "sig"), "cid").repartition("cell").sortWithinPartitions("cell")
+    hits = cut_lineage(signed.mapInArrow(meet, f"cid {kind}, label {kind}, other {kind}").distinct())
+    # a label that only agrees with itself cannot occur, so every hit's label is in an edge or is the least one of some
+    named = components(hits.select(F.col("label").alias("u"), F.col("other").alias("v")))
+    rows = hits.select("cid", "label").distinct().join(named.select(F.col("node").alias("label"), F.col("component").alias("k")), "label").join(reps.select("cid", "a", "b", "n", "sig"), "cid")
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table["cid"].to_numpy()
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        sets_ = [x.values.to_numpy() for x in table["shingles"]]
         pairs = _links(ids, np.array([len(x) for x in sets_]), sets_, _sig_matrix(table["sig"]), _codes(table["label"]), *_sides(table), least, percent)
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
 
-    left = cells.join(reps.select("cid", "sig"), "cid")
-    left = cut_lineage(left.groupBy("k", "low", "high").applyInArrow(agreeing, left.schema))
-    full = _with_sets(docs, left, size).dropDuplicates(["k", "low", "high", "cid", "a", "b"])
+    full = _with_sets(docs, cut_lineage(_apart(cut_lineage(rows), CELL_VALUES)), size).dropDuplicates(["k", "low", "high", "cid", "a", "b"])
     return full.groupBy("k", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
@@ -239,7 +271,7 @@ def _links(ids, sizes, sets, sigs, labels, left, right, least, percent):
 def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """rows (cid, a, b, ...) and the full set of each."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve.bits(rows, F.xxhash64("cid")).tobytes())
-    schema = schema_with(docs, "a long, b long, shingles binary")
+    schema = schema_with(docs, "a long, b long, shingles array<long>")
 
     def sets(batches):
         for batch in small(batches):
@@ -247,9 +279,9 @@ def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
             texts = text_column(batch)
             for i, j in slices(texts):
                 values, first = shingle_sets(texts.slice(i, j - i), size)
-                blobs = [values[a:b].tobytes() for a, b in zip(first, first[1:])]
-                ab = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blobs), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(blobs, pa.binary())], names=schema.names)
+                ab = np.frombuffer(b"".join(hashlib.blake2b(values[a:b], digest_size=16).digest() for a, b in zip(first, first[1:])), np.int64).reshape(-1, 2)
+                sets_ = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), sets_], names=schema.names)
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("at")).where(F.col("doc_id").isNotNull()).mapInArrow(sets, schema)
     return rows.join(texts.withColumnRenamed("doc_id", "cid"), ["cid", "a", "b"])
