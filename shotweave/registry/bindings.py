@@ -11,14 +11,20 @@ CLASSES = ["own", "safe", "attribution", "caution", "restricted", "unknown"]
 WEATHER = ["rain", "sunny", "fog", "snow", "night", "cloudy"]
 LICENCES = ["CC0", "CC BY 4.0", "CC BY-SA 3.0", "CC BY-NC 2.0", "Pixabay Content License", "", "Standard"]
 WORDS = ["market", "rainy streets", "trains", "running people", "aerial city", "closing doors", "boxes"]
-SCRIPT_STRIDE = 10_000      # turns per conversation
-BEAT_STRIDE = 100_000       # sentences per turn
+STRIDE = 1 << 20            # turns per conversation and sentences per turn; packed() refuses more
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def packed(high, low):
+    """One number for two keys. A second key beyond STRIDE, or a product beyond a long, is an error and never another pair's number."""
+    at = lambda c: F.col(c) if isinstance(c, str) else c
+    fits = at(low) < STRIDE
+    return F.when(fits, at(high).cast("long") * STRIDE + at(low)).otherwise(F.raise_error(F.lit("more turns or sentences than a packed id can hold")).cast("long"))
+
+
 def pick(values, key):
     """values[key % n] as a column."""
     return F.element_at(F.lit(values), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
@@ -85,10 +91,10 @@ VOCAB = SQL_UNIT_MEAN.format(name="vocab", key="'concept ' || lpad((label * 5 +
 # ------------------------------------------------------------------------------------------ text
 def scripts(spark, d) -> DataFrame:
     """One script per conversation turn."""
-    return table(spark, d, "conversations").select((F.col("conv_id") * SCRIPT_STRIDE + F.col("turn")).alias("script_id"), "text")
+    return table(spark, d, "conversations").select(packed("conv_id", "turn").alias("script_id"), "text")
 
 
-SCRIPTS = f"scripts AS (SELECT conv_id * {SCRIPT_STRIDE} + turn AS script_id, text FROM conversations)"
+SCRIPTS = f"scripts AS (SELECT conv_id * {STRIDE} + turn AS script_id, text FROM conversations)"
 # sentence split without look-behind: mark the breaks first
 SENTENCES = SCRIPTS + r""",
 sent AS (SELECT script_id, p - 1 AS p, s FROM (
@@ -99,14 +105,14 @@ WORDS_IN = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '
 BEATS = SENTENCES + f""",
 sent_g AS (SELECT *, {WORDS_IN.format('s')} / 2.5::DOUBLE AS dur, 0 AS z FROM sent),
 sent_n AS (SELECT *, sum(CASE WHEN dur >= 2.0 OR p = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY script_id ORDER BY p) - 1 AS i FROM sent_g),
-beats AS (SELECT script_id, i::BIGINT AS i, script_id * {BEAT_STRIDE} + i::BIGINT AS beat_id, string_agg(s, ' ' ORDER BY p) AS text,
+beats AS (SELECT script_id, i::BIGINT AS i, script_id * {STRIDE} + i::BIGINT AS beat_id, string_agg(s, ' ' ORDER BY p) AS text,
                  round_even(greatest(sum(dur), 2.0), 2) AS dur FROM sent_n GROUP BY script_id, i)"""
 
 
 def beats(spark, d) -> DataFrame:
     from ..operators.windows import split_beats
     b = split_beats(scripts(spark, d))
-    return b.select((F.col("script_id") * BEAT_STRIDE + F.col("i")).alias("beat_id"), "script_id", "i", "text", "dur")
+    return b.select(packed("script_id", "i").alias("beat_id"), "script_id", "i", "text", "dur")
 
 
 def beat_vectors(spark, d) -> DataFrame:

@@ -51,7 +51,7 @@ def turns(spark, d):
     return b.table(spark, d, "conversations").select(F.col("conv_id").alias("script_id"), F.col("turn").alias("i"), "text")
 
 
-@query("inherited_places", b.with_sql(ALIASES, "turns AS (SELECT conv_id * 10000 + turn AS k, conv_id, turn, text FROM conversations)", places_sql("pl", "turns", "k", "text")) + """,
+@query("inherited_places", b.with_sql(ALIASES, "turns AS (SELECT conv_id * 1048576 + turn AS k, conv_id, turn, text FROM conversations)", places_sql("pl", "turns", "k", "text")) + """,
 g AS (SELECT k, string_agg(name, ',' ORDER BY CASE kind WHEN 'city' THEN 0 WHEN 'region' THEN 1 WHEN 'country' THEN 2 ELSE 3 END, at_pos, ord) AS places FROM pl GROUP BY k),
 t AS (SELECT conv_id AS script_id, turn AS i, places, last_value(places IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS carry FROM turns LEFT JOIN g USING (k))
 SELECT script_id, i, coalesce(carry, '') AS places, places IS NULL AND carry IS NOT NULL AS inherited FROM t""")

@@ -208,15 +208,43 @@ def merged_verdicts(spark, d):
     return filters.merge_verdict(pool, v)
 
 
-@query("strict_plan_filter", b.with_sql(POOL, CONFIRMED) + """,
-c AS (SELECT p.* FROM (SELECT slot_id, shot_id, bool_or(src_rank = 0) AS chosen, min(pos) AS pos FROM rows_ GROUP BY 1, 2) p JOIN shown USING (slot_id, shot_id)),
-w AS (SELECT slot_id, greatest(count(*) FILTER (chosen), 1) AS want FROM c GROUP BY 1)
-SELECT slot_id, shot_id, row_number() OVER (PARTITION BY slot_id ORDER BY chosen DESC, CASE WHEN chosen THEN pos ELSE vp END, shot_id) AS place, 1 AS round
-FROM c JOIN v USING (slot_id, shot_id) JOIN w USING (slot_id) QUALIFY place <= any_value(want) OVER (PARTITION BY slot_id)""")
-def strict_plan_filter(spark, d):
+def strict_sql(rows: str, verdicts: str, shown: int, to: str) -> str:
+    """CTEs of one round of the strict filter: what of rows is confirmed and kept, as `to`."""
+    return f"""
+{to}_pool AS (SELECT slot_id, shot_id, min(src_rank * 1000000000 + pos) AS o FROM {rows} WHERE NOT wrong GROUP BY 1, 2),
+{to}_shown AS (SELECT slot_id, shot_id FROM {to}_pool QUALIFY row_number() OVER (PARTITION BY slot_id ORDER BY o, shot_id) <= {shown}),
+{to}_c AS (SELECT p.* FROM (SELECT slot_id, shot_id, bool_or(src_rank = 0) AS chosen, min(pos) AS pos FROM {rows} GROUP BY 1, 2) p JOIN {to}_shown USING (slot_id, shot_id)),
+{to}_w AS (SELECT slot_id, greatest(count(*) FILTER (chosen), 1) AS want FROM {to}_c GROUP BY 1),
+{to} AS (SELECT slot_id, shot_id, row_number() OVER (PARTITION BY slot_id ORDER BY chosen DESC, CASE WHEN chosen THEN pos ELSE vp END, shot_id) AS place
+  FROM {to}_c JOIN {verdicts} USING (slot_id, shot_id) JOIN {to}_w USING (slot_id) QUALIFY place <= any_value(want) OVER (PARTITION BY slot_id))"""
+
+
+STRICT = (POOL, CONFIRMED, strict_sql("rows_", "v", 8, "one"), """
+rows2 AS (SELECT user_id AS slot_id, 60 + event_id * 3 % 50 AS shot_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS src_rank, event_id AS pos, event_id % 11 = 0 AS wrong FROM events
+  WHERE user_id NOT IN (SELECT slot_id FROM one)),
+v2 AS (SELECT DISTINCT slot_id, shot_id, (shot_id * 5 + slot_id) % 29 AS vp FROM rows2 WHERE (shot_id + slot_id) % 9 = 0)""", strict_sql("rows2", "v2", 12, "two"), """
+rounds AS (SELECT *, 1 AS round FROM one UNION ALL SELECT *, 2 FROM two)""")
+
+
+def strict_rounds(spark, d):
+    """Two rounds: the plan's own rows, then for slots that came out empty a second pool with other shots."""
     p = review_rows(spark, d).withColumn("chosen", F.col("src_rank") == 0)
-    kept, _ = plans.strict_filter(p, review_verdicts(review_plan(spark, d)))
-    return kept
+    k = F.col("event_id")
+    second = b.table(spark, d, "events").select(F.col("user_id").alias("slot_id"), (60 + k * 3 % 50).alias("shot_id"), b_rank().alias("src_rank"), k.alias("pos"), (k % 11 == 0).alias("wrong"), (b_rank() == 0).alias("chosen"))
+    judged = second.where((F.col("shot_id") + F.col("slot_id")) % 9 == 0).select("slot_id", "shot_id", ((F.col("shot_id") * 5 + F.col("slot_id")) % 29).alias("verdict_pos")).distinct()
+    return plans.strict_filter(p, review_verdicts(review_plan(spark, d)), second, judged)
+
+
+@query("strict_plan_filter", b.with_sql(*STRICT) + "SELECT slot_id, shot_id, place, round FROM rounds")
+def strict_plan_filter(spark, d):
+    return strict_rounds(spark, d)[0]
+
+
+@query("strict_plan_summary", b.with_sql(*STRICT) + """
+SELECT count(*) AS slots, count(*) FILTER (round = 2) AS rescued, count(*) FILTER (round IS NULL) AS unmatched
+FROM (SELECT DISTINCT user_id AS slot_id FROM events) LEFT JOIN (SELECT slot_id, max(round) AS round FROM rounds GROUP BY 1) USING (slot_id)""")
+def strict_plan_summary(spark, d):
+    return strict_rounds(spark, d)[1]
 
 
 @query("fit_deficits", "SELECT user_id AS line_id, count(*) FILTER (value > 97) AS n_fit FROM events GROUP BY 1 HAVING n_fit < 6")

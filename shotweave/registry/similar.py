@@ -185,11 +185,11 @@ def zero_shot_labels(spark, d):
 
 
 @query("softmax_arg_max", b.with_sql(b.SHOTS) + """,
-e AS (SELECT shot_id, unnest(emb[1:8]) AS x, unnest(range(8)) AS i FROM shots),
+e AS (SELECT shot_id, unnest(emb) AS x, unnest(range(len(emb))) AS i FROM shots),
 p AS (SELECT shot_id, i, exp((x - max(x) OVER (PARTITION BY shot_id)) * 10) AS w FROM e), q AS (SELECT shot_id, i, w / sum(w) OVER (PARTITION BY shot_id) AS p FROM p)
 SELECT shot_id, 'c' || arg_max(i, p) AS label, round(max(p), 4) AS score FROM q GROUP BY 1""")
 def softmax_arg_max(spark, d):
-    s = b.shots(spark, d).select("shot_id", F.posexplode(vector.softmax(F.slice("emb", 1, 8), 10.0)).alias("i", "p"))
+    s = b.shots(spark, d).select("shot_id", F.posexplode(vector.softmax(F.col("emb"), 10.0)).alias("i", "p"))
     return aggregates.argmax_label(s.withColumn("l", F.concat(F.lit("c"), F.col("i").cast("string"))), "shot_id", "l", "p").withColumn("score", F.round("score", 4))
 
 
@@ -219,6 +219,6 @@ def ingest_near_duplicates(spark, d):
     return retrieval.ingest_dedupe(s.where("id % 2 = 1"), s.where("id % 2 = 0").select("id", "emb"), 0.35)
 
 
-@query("cluster_centroids", b.with_sql(b.VOCAB) + "SELECT word, round(emb[1], 4) AS x1, round(emb[2], 4) AS x2, round(emb[-1], 4) AS xn FROM vocab")
+@query("cluster_centroids", b.with_sql(b.VOCAB) + "SELECT word, unnest(range(len(emb))) AS pos, round(unnest(emb), 4) AS x FROM vocab")
 def cluster_centroids(spark, d):
-    return b.vocab(spark, d).select("word", F.round(F.get("emb", F.lit(0)), 4).alias("x1"), F.round(F.get("emb", F.lit(1)), 4).alias("x2"), F.round(F.element_at("emb", -1), 4).alias("xn"))
+    return b.vocab(spark, d).select("word", F.posexplode("emb").alias("pos", "x")).withColumn("x", F.round("x", 4))

@@ -63,10 +63,10 @@ def nearest_frames(spark, d):
 
 def drops(spark, d):
     """One dropped clip per segment, a quarter second after its first third."""
-    return b.segments(spark, d).select("video_id", (F.col("video_id") * 1000 + F.col("seg_id")).alias("drop_id"), (F.round((F.col("start") + (F.col("end") - F.col("start")) / 3 + 0.27) * 100) / 100.0).alias("t"))
+    return b.segments(spark, d).select("video_id", b.packed("video_id", "seg_id").alias("drop_id"), (F.round((F.col("start") + (F.col("end") - F.col("start")) / 3 + 0.27) * 100) / 100.0).alias("t"))
 
 
-DROPS = """drops AS (SELECT video_id, video_id * 1000 + seg_id AS drop_id, round((start + ("end" - start) / 3 + 0.27::DOUBLE) * 100) / 100.0::DOUBLE AS t FROM segments)"""
+DROPS = """drops AS (SELECT video_id, video_id * 1048576 + seg_id AS drop_id, round((start + ("end" - start) / 3 + 0.27::DOUBLE) * 100) / 100.0::DOUBLE AS t FROM segments)"""
 
 
 @query("snap_to_word", b.with_sql(*TRANSCRIPT, DROPS) + """,
@@ -196,20 +196,20 @@ def condensed_scripts(spark, d):
 
 
 @query("in_point_windows", b.with_sql(*TRANSCRIPT) + """,
-r AS (SELECT video_id * 1000 + seg_id AS slot_id, 4.0 + seg_id % 9 - least("end" - start, 5.0) AS room FROM segments),
+r AS (SELECT video_id * 1048576 + seg_id AS slot_id, 4.0 + seg_id % 9 - least("end" - start, 5.0) AS room FROM segments),
 n AS (SELECT *, greatest(2, least(5, floor(room / 0.8::DOUBLE)::INT + 1)) AS n FROM r WHERE room >= 0.8)
 SELECT slot_id, w::INT AS "window", round(w * room / (n - 1), 3) AS t_in FROM (SELECT *, unnest(range(n)) AS w FROM n)""")
 def in_point_windows(spark, d):
-    s = b.segments(spark, d).select((F.col("video_id") * 1000 + F.col("seg_id")).alias("slot_id"), F.lit(0.0).alias("start"), F.least(F.col("end") - F.col("start"), F.lit(5.0)).alias("end"), (4.0 + F.col("seg_id") % 9).alias("file_duration"))
+    s = b.segments(spark, d).select(b.packed("video_id", "seg_id").alias("slot_id"), F.lit(0.0).alias("start"), F.least(F.col("end") - F.col("start"), F.lit(5.0)).alias("end"), (4.0 + F.col("seg_id") % 9).alias("file_duration"))
     return spots.inpoint_windows(s).withColumn("t_in", F.round("t_in", 3))
 
 
 @query("chosen_in_points", b.with_sql(*TRANSCRIPT) + """,
-r AS (SELECT video_id * 1000 + seg_id AS slot_id, seg_id, 4.0 + seg_id % 9 - least("end" - start, 5.0) AS room FROM segments),
+r AS (SELECT video_id * 1048576 + seg_id AS slot_id, seg_id, 4.0 + seg_id % 9 - least("end" - start, 5.0) AS room FROM segments),
 n AS (SELECT *, greatest(2, least(5, floor(room / 0.8::DOUBLE)::INT + 1)) AS n FROM r)
 SELECT slot_id, round_even((CASE WHEN room >= 0.8 AND seg_id % 4 < n THEN (seg_id % 4) * room / (n - 1) ELSE 1.5 END)::DOUBLE, 2)::DOUBLE AS trim_in, room >= 0.8 AND seg_id % 4 < n AS fits FROM n""")
 def chosen_in_points(spark, d):
-    s = b.segments(spark, d).select((F.col("video_id") * 1000 + F.col("seg_id")).alias("slot_id"), "seg_id", F.lit(0.0).alias("start"), F.least(F.col("end") - F.col("start"), F.lit(5.0)).alias("end"), (4.0 + F.col("seg_id") % 9).alias("file_duration"))
+    s = b.segments(spark, d).select(b.packed("video_id", "seg_id").alias("slot_id"), "seg_id", F.lit(0.0).alias("start"), F.least(F.col("end") - F.col("start"), F.lit(5.0)).alias("end"), (4.0 + F.col("seg_id") % 9).alias("file_duration"))
     v = s.select("slot_id", F.element_at(F.lit(["a", "B", "c", "D"]), (F.col("seg_id") % 4 + 1).cast("int")).alias("letter"))
     return spots.choose_inpoint(spots.inpoint_windows(s), v, s.select("slot_id", F.lit(1.5).alias("trim_in")))
 
@@ -247,13 +247,13 @@ def credit_sheet(spark, d):
     return timeline.credit_sheet(g.join(s, "shot_id")).select("video_id", "source_key", "used_at", "commercial")
 
 
-@query("offline_line_importance", b.with_sql(*TRANSCRIPT, ALIASES, "keyed AS (SELECT video_id * 1000 + seg_id AS k, text FROM segments)", places_sql("pl", "keyed", "k", "text"), sql_keyword_cte("kw", "keyed", "k", "text", 12)) + r""",
+@query("offline_line_importance", b.with_sql(*TRANSCRIPT, ALIASES, "keyed AS (SELECT video_id * 1048576 + seg_id AS k, text FROM segments)", places_sql("pl", "keyed", "k", "text"), sql_keyword_cte("kw", "keyed", "k", "text", 12)) + r""",
 p AS (SELECT k, count(*) AS np FROM pl GROUP BY 1),
 x AS (SELECT s.video_id, s.seg_id AS id, s.text, coalesce(np, 0) > 0 AS placed, regexp_matches(lower(s.text), '[0-9]|(?:^|[^\p{L}\p{N}_])(?:one|two|three|four|five|ten|hundred|thousand|million|billion|percent)(?:$|[^\p{L}\p{N}_])') AS num,
    regexp_matches(lower(s.text), '(?:^|[^\p{L}\p{N}_])(?:hi|hello|hey|welcome|subscribe|comment|comments|like this video|thanks for watching|see you|let me know|i think|i guess|you know|so yeah|anyway)(?:$|[^\p{L}\p{N}_])') AS spk,
    CASE WHEN kw.kw IS NULL THEN 0 ELSE len(string_split(kw.kw, ' ')) END AS content,
    max(s.seg_id) OVER (PARTITION BY s.video_id) AS last_id, min(s.seg_id) OVER (PARTITION BY s.video_id) AS first_id
-   FROM segments s LEFT JOIN p ON p.k = s.video_id * 1000 + s.seg_id LEFT JOIN kw ON kw.k = s.video_id * 1000 + s.seg_id)
+   FROM segments s LEFT JOIN p ON p.k = s.video_id * 1048576 + s.seg_id LEFT JOIN kw ON kw.k = s.video_id * 1048576 + s.seg_id)
 SELECT video_id, id, CASE WHEN spk THEN CASE WHEN id >= last_id - 1 THEN 'cta' WHEN id = first_id THEN 'hook' ELSE 'aside' END WHEN placed THEN 'place' WHEN num THEN 'data' ELSE 'key point' END AS role, content FROM x""")
 def offline_line_importance(spark, d):
     a = truth.alias_table(b.gazetteer(spark, d))
@@ -278,21 +278,21 @@ def parsed_line_answers(spark, d):
     return lines.parse_lines(a.select("video_id", body.alias("body")), segment_units(spark, d)).select("video_id", "id", "importance", "visual", "role", "query")
 
 
-@query("grounded_queries", b.with_sql(*TRANSCRIPT, sql_keyword_cte("kt", "(SELECT video_id * 1000 + seg_id AS line_id, text FROM segments)", "line_id", "text", 4)) + """,
-l AS (SELECT video_id * 1000 + seg_id AS line_id, text, 'Big Market' AS query, 'big market' AS alt, 'travel jaipur' AS topic FROM segments),
+@query("grounded_queries", b.with_sql(*TRANSCRIPT, sql_keyword_cte("kt", "(SELECT video_id * 1048576 + seg_id AS line_id, text FROM segments)", "line_id", "text", 4)) + """,
+l AS (SELECT video_id * 1048576 + seg_id AS line_id, text, 'Big Market' AS query, 'big market' AS alt, 'travel jaipur' AS topic FROM segments),
 b AS (SELECT line_id, 0 AS p, query AS q, 'market' AS k4, topic FROM l UNION ALL SELECT line_id, 1, alt, 'market', topic FROM l UNION ALL SELECT l.line_id, 2, text, coalesce(kw, text), topic FROM l LEFT JOIN kt ON kt.line_id = l.line_id),
 e AS (SELECT line_id, p * 2 AS pos, trim(q) AS q FROM b UNION ALL SELECT line_id, p * 2 + 1, trim(k4 || ' ' || topic) FROM b),
 f AS (SELECT line_id, lower(q) AS lq, arg_min(q, pos) AS q, min(pos) AS pos FROM e WHERE q <> '' GROUP BY 1, 2)
 SELECT line_id, substr(q, 1, 140) AS q, row_number() OVER (PARTITION BY line_id ORDER BY pos) AS place FROM f QUALIFY place <= 5""")
 def grounded_queries(spark, d):
-    l = b.segments(spark, d).select((F.col("video_id") * 1000 + F.col("seg_id")).alias("line_id"), "text", F.lit("Big Market").alias("query"), F.array(F.lit("big market")).alias("alt_queries"), F.lit("travel jaipur").alias("topic"))
+    l = b.segments(spark, d).select(b.packed("video_id", "seg_id").alias("line_id"), "text", F.lit("Big Market").alias("query"), F.array(F.lit("big market")).alias("alt_queries"), F.lit("travel jaipur").alias("topic"))
     return lines.grounded_queries(l).select("line_id", "q", "place")
 
 
-@query("offline_query_phrases", b.with_sql(*TRANSCRIPT, ALIASES, "keyed AS (SELECT video_id * 1000 + seg_id AS k, text FROM segments)", places_sql("pl", "keyed", "k", "text"), sql_keyword_cte("kw", "keyed", "k", "text", 4)) + """,
-p AS (SELECT k, arg_min(name, at_pos * 1000 + ord) AS place FROM pl WHERE kind = 'city' GROUP BY 1),
+@query("offline_query_phrases", b.with_sql(*TRANSCRIPT, ALIASES, "keyed AS (SELECT video_id * 1048576 + seg_id AS k, text FROM segments)", places_sql("pl", "keyed", "k", "text"), sql_keyword_cte("kw", "keyed", "k", "text", 4)) + """,
+p AS (SELECT k, arg_min(name, at_pos::HUGEINT * 1000000 + ord) AS place FROM pl WHERE kind = 'city' GROUP BY 1),
 x AS (SELECT s.video_id, seg_id AS id, seg_id % 4 > 0 AS ok, CASE WHEN place IS NOT NULL THEN place || ' people walking' END AS a, CASE WHEN len(string_split(kw.kw, ' ')) >= 2 THEN kw.kw END AS b, 'busy street' AS c
-  FROM segments s LEFT JOIN p ON p.k = s.video_id * 1000 + seg_id LEFT JOIN kw ON kw.k = s.video_id * 1000 + seg_id)
+  FROM segments s LEFT JOIN p ON p.k = s.video_id * 1048576 + seg_id LEFT JOIN kw ON kw.k = s.video_id * 1048576 + seg_id)
 SELECT video_id, id, CASE WHEN ok THEN 'people walking' ELSE '' END AS query, CASE WHEN ok THEN array_to_string(list_filter([a, b, c], lambda v: v IS NOT NULL)[:2], '|') ELSE '' END AS alts FROM x""")
 def offline_query_phrases(spark, d):
     a = truth.alias_table(b.gazetteer(spark, d))
