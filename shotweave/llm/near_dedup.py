@@ -143,8 +143,13 @@ def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _labelled(members: DataFrame, met: DataFrame, links: DataFrame) -> DataFrame:
-    """members (k, cid) with label, the component over links so far, without those that have met their whole bucket (met: k, hub); of buckets with more than one label."""
-    named = components(links).withColumnRenamed("node", "cid").withColumnRenamed("component", "label")
+    """members (k, cid) with label, without those that have met their whole bucket (met: k, hub); of buckets with more than one label.
+
+    Rows with one label are known to be connected: each points at its least linked neighbour, and once more at that one's. Whole components would only spare more comparisons.
+    """
+    point = links.groupBy(F.greatest("u", "v").alias("cid")).agg(F.min(F.least("u", "v")).alias("to"))
+    further = point.select(F.col("cid").alias("to"), F.col("to").alias("next"))
+    named = point.join(further, "to", "left").select("cid", F.coalesce("next", "to").alias("label"))
     rest = members.select("k", "cid").join(met.select("k", "hub"), "k").where("cid != hub").select("k", "cid")
     out = rest.join(named, "cid", "left").select("k", "cid", F.coalesce("label", "cid").alias("label"))
     open_ = out.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("k")
@@ -155,7 +160,7 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, least: int, percent: in
     """u, v: links confirmed on full sets, enough of them to connect whichever two members of a band bucket are linked.
 
     First every member meets one of its bucket, the least, which then leaves; where a bucket still has members of several components, they meet another one, taken by hash. Members that
-    are joined by then, as in large families of copies, cost nothing more. Those of different components that are left meet each other in blocks.
+    are known to be connected by then, as in large families of copies, cost nothing more. Those that are left meet each other in blocks.
     """
     buckets, members = _buckets(reps)
     pairs = members.join(buckets, "k").where("hub != cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
