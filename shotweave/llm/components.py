@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut_lineage
+from .frames import cut_lineage, let_go
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         edges = cut_lineage(_small(_large(edges)).where("u != v").distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        let_go(edges.sparkSession)
         if new == sign:
             break
         sign = new

@@ -1,11 +1,13 @@
 """Small helpers over documents: columns by name, whatever else a table holds."""
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, work_folder
 
-__all__ = ["cut_lineage", "id_and_text", "schema_with", "partitions", "tokenizer_path", "written"]
+__all__ = ["cut_lineage", "id_and_text", "schema_with", "partitions", "tokenizer_path", "written", "let_go"]
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -32,3 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def let_go(spark) -> None:
+    """Lets Spark delete the shuffle files of steps that a checkpoint has cut off: it does so once the driver has collected the frames nobody refers to any more.
+
+    A driver with little work of its own may not collect for long, while an iterative job piles up files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

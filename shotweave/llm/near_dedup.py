@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .components import components
-from .frames import cut_lineage, id_and_text, schema_with
+from .frames import cut_lineage, id_and_text, let_go, schema_with
 from .shingles import shingle_sets
 from .words import mix, slices, small, text_column
 
@@ -165,14 +165,18 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, least: int, percent: in
     buckets, members = _buckets(reps)
     pairs = members.join(buckets, "k").where("hub != cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
     links = cut_lineage(_confirmed(docs, reps, pairs, size, least, percent))
+    del pairs
     for turn in range(1, TURNS + 1):
         members = _labelled(members, buckets, links)
+        let_go(docs.sparkSession)
         if members.isEmpty():
             return links
         if turn < TURNS:
             buckets = cut_lineage(members.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "label")).alias("p")).select("k", "p.cid", "p.label").toDF("k", "hub", "own"))
             pairs = members.join(buckets, "k").where("label != own").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct()
             links = cut_lineage(links.union(_confirmed(docs, reps, pairs, size, least, percent)))
+            del pairs
+            let_go(docs.sparkSession)
     return links.union(_met(docs, reps, members, size, least, percent))
 
 
@@ -242,7 +246,9 @@ def _met(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int, least:
         u, v = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.table({"u": pa.array(u, table["cid"].type), "v": pa.array(v, table["cid"].type)})
 
-    full = _with_sets(docs, cut_lineage(_apart(cut_lineage(rows), CELL_VALUES)), size).dropDuplicates(["k", "low", "high", "cid", "a", "b"])
+    rows = cut_lineage(rows)
+    let_go(docs.sparkSession)
+    full = _with_sets(docs, cut_lineage(_apart(rows, CELL_VALUES)), size).dropDuplicates(["k", "low", "high", "cid", "a", "b"])
     return full.groupBy("k", "low", "high").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
@@ -313,6 +319,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = _least_matches(percent / 100)
     marks = cut_lineage(_marks(docs, size))
     reps = cut_lineage(_classes(marks))
+    let_go(docs.sparkSession)
     links = _linked(docs, reps, size, least, percent)
     # rows with one id and different texts are one node
     again = marks.where("n > 0 and doc_id is not null").join(reps.select("a", "b", "cid"), ["a", "b"]).select("doc_id", "cid").distinct()
