@@ -56,6 +56,16 @@ def import_timeline(placements: DataFrame, spans: DataFrame, shots: DataFrame) -
             .select("project", "text", "shot_id", F.lit(1).alias("label")).distinct())
 
 
+def import_report(placements: DataFrame, spans: DataFrame, shots: DataFrame) -> DataFrame:
+    """Per project: placements, those that gave a lesson, and those left unmatched for want of a shot or of a line."""
+    hit = best_overlap_shot(placements, shots).select("p_id", F.lit(True).alias("has_shot"))
+    line = covering_line(placements, spans).select("p_id").distinct().withColumn("has_line", F.lit(True))
+    d = placements.select("p_id", "project").join(hit, "p_id", "left").join(line, "p_id", "left")
+    shot, told = F.coalesce("has_shot", F.lit(False)), F.coalesce("has_line", F.lit(False))
+    return d.groupBy("project").agg(F.count("*").alias("placements"), F.count_if(shot & told).alias("matched"), F.count_if(~(shot & told)).alias("unmatched"),
+                                    F.count_if(~shot).alias("no_shot"), F.count_if(~told).alias("no_line"))
+
+
 def feedback(events: DataFrame, shown: int = 3) -> DataFrame:
     """events(project, text, chosen, rejected array): one positive and the first `shown` rejected as negatives."""
     pos = events.select("project", "text", F.col("chosen").alias("shot_id"), F.lit(1).alias("label"))

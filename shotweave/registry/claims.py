@@ -184,11 +184,14 @@ def document_facts(spark, d):
                                                  F.col("text").alias("ocr_text"), F.col("source").alias("title"), F.col("lang").alias("tags"))
 
 
-@query("place_evidence", b.with_sql(ALIASES, "facts AS (SELECT doc_id, text, source || ', ' || lang AS meta, (doc_id % 140) - 70.0::DOUBLE AS lat1, (doc_id * 7 % 360) - 180.0::DOUBLE AS lon1 FROM documents)",
+EVIDENCE_SQL = b.with_sql(ALIASES, "facts AS (SELECT doc_id, text, source || ', ' || lang AS meta, (doc_id % 140) - 70.0::DOUBLE AS lat1, (doc_id * 7 % 360) - 180.0::DOUBLE AS lon1 FROM documents)",
                                     places_sql("ocr", "facts", "doc_id", "text"), places_sql("mt", "facts", "doc_id", "meta")) + f""",
 km AS (SELECT doc_id, name, {KM.replace('lat2', 'g.lat').replace('lon2', 'g.lon')} AS km FROM facts, gaz g WHERE kind = 'city'),
 gps AS (SELECT doc_id, arg_min(name, lpad(round(km, 6)::DECIMAL(18, 6)::VARCHAR, 18, '0') || name) AS name FROM km WHERE km <= 60 GROUP BY 1),
-every AS (SELECT doc_id, 'gps:' || name AS e, 0 AS r, 0 AS at_pos, 0 AS ord FROM gps UNION ALL SELECT doc_id, 'ocr:' || name, 1, at_pos, ord FROM ocr UNION ALL SELECT doc_id, 'meta:' || name, 2, at_pos, ord FROM mt)
+every AS (SELECT doc_id, 'gps:' || name AS e, 0 AS r, 0 AS at_pos, 0 AS ord FROM gps UNION ALL SELECT doc_id, 'ocr:' || name, 1, at_pos, ord FROM ocr UNION ALL SELECT doc_id, 'meta:' || name, 2, at_pos, ord FROM mt)"""
+
+
+@query("place_evidence", EVIDENCE_SQL + """
 SELECT f.doc_id AS shot_id, coalesce(string_agg(e, ',' ORDER BY r, at_pos, ord), '') AS evidence FROM facts f LEFT JOIN every USING (doc_id) GROUP BY 1""")
 def place_evidence(spark, d):
     g = b.gazetteer(spark, d)
@@ -197,6 +200,22 @@ def place_evidence(spark, d):
     return e.select("shot_id", F.array_join(F.transform("evidence", lambda x: F.concat(x["src"], F.lit(":"), x["name"])), ",").alias("evidence"))
 
 
+@query("provenance_cards", EVIDENCE_SQL + """
+SELECT f.doc_id AS shot_id, coalesce(string_agg(e, ',' ORDER BY r, at_pos, ord), '') AS places, CASE WHEN f.doc_id % 3 > 0 THEN '2019-0' || (1 + f.doc_id % 9) ELSE '' END AS date,
+  CASE WHEN f.doc_id % 3 > 0 THEN 'meta' ELSE 'unknown' END AS date_source, d.source FROM facts f JOIN documents d USING (doc_id) LEFT JOIN every USING (doc_id) GROUP BY 1, 3, 4, 5""")
+def provenance_cards(spark, d):
+    """Documents as shots; every third has no date."""
+    g = b.gazetteer(spark, d)
+    known = document_facts(spark, d)
+    k = F.col("shot_id")
+    source = b.table(spark, d, "documents").select(F.col("doc_id").alias("shot_id"), "source")
+    dim = known.select("shot_id", "title", "tags").join(source, "shot_id").withColumns({"weather": b.pick(b.WEATHER, k), "weather_conf": (k % 50) / 50.0})
+    dated = k % 3 > 0
+    prov = known.select("shot_id", "ocr_text", "gps_lat", "gps_lon", F.when(dated, F.concat(F.lit("2019-0"), (1 + k % 9).cast("string"))).alias("shot_date"), F.when(dated, "meta").alias("date_source"))
+    cards = truth.provenance_cards(dim.select("shot_id"), dim, prov, truth.alias_table(g), truth.with_ancestors(g).where("kind = 'city'"))
+    return cards.select("shot_id", F.array_join(F.transform("places", lambda x: F.concat(x["by"], F.lit(":"), x["place"])), ",").alias("places"), "date", "date_source", "source")
+
+
 @query("wrong_place_clips", b.with_sql(ALIASES, "turns AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, conv_id, turn, text FROM conversations)", places_sql("pl", "turns", "k", "text")) + """,
 p AS (SELECT turns.*, name, parent, at_pos, ord FROM pl JOIN turns USING (k)),
 v AS (SELECT conv_id, list(DISTINCT name) AS names, list_concat(list(name), list(parent) FILTER (parent IS NOT NULL)) AS near FROM p GROUP BY 1),

@@ -119,6 +119,13 @@ def timeline_import_pairs(spark, d):
     return memory.import_timeline(placements(spark, d), spans(spark, d), b.shots(spark, d))
 
 
+@query("timeline_import_report", b.with_sql(b.SHOTS, PLACEMENTS, OVERLAP, SPANS, COVER) + """
+SELECT project, count(*) AS placements, count(*) FILTER (hs AND hl) AS matched, count(*) FILTER (NOT (hs AND hl)) AS unmatched, count(*) FILTER (NOT hs) AS no_shot, count(*) FILTER (NOT hl) AS no_line
+FROM (SELECT project, p_id IN (SELECT p_id FROM best) AS hs, p_id IN (SELECT p_id FROM cover) AS hl FROM placements) GROUP BY 1""")
+def timeline_import_report(spark, d):
+    return memory.import_report(placements(spark, d), spans(spark, d), b.shots(spark, d))
+
+
 @query("timeline_audit", b.with_sql(b.SHOTS, PLACEMENTS, OVERLAP, SPANS, COVER) + """
 SELECT p_id, project, i, shot_id, CASE WHEN source <> 'own' THEN CASE WHEN i % 2 = 0 THEN 'warn' ELSE 'unverified' END ELSE 'unverified' END AS status
 FROM placements JOIN best USING (p_id) JOIN cover USING (p_id) JOIN (SELECT shot_id, source FROM shots) USING (shot_id)""")
