@@ -34,9 +34,9 @@ def shot_segments(spark, d):
     return segment.segment_shots(samples(spark, d), 0.0).select("file_id", "t_start", "t_end", "n", F.round(F.get("emb", F.lit(0)), 4).alias("x1"))
 
 
-@query("irregular_shot_segments", b.with_sql(SEGMENTS) + "SELECT file_id, t_start, t_end, n FROM shot")
+@query("irregular_shot_segments", b.with_sql(SEGMENTS) + "SELECT file_id, t_start, t_end, n, round(x1, 4) AS x1 FROM shot JOIN vec USING (file_id, run, part)")
 def irregular_shot_segments(spark, d):
-    return segment.segment_irregular(samples(spark, d), 0.0).select("file_id", "t_start", "t_end", "n")
+    return segment.segment_irregular(samples(spark, d), 0.0).select("file_id", "t_start", "t_end", "n", F.round(F.get("emb", F.lit(0)), 4).alias("x1"))
 
 
 @query("merged_short_shots", b.with_sql(SAMPLES) + """,

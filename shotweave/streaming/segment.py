@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import vector
 from ..operators.aggregates import weighted_mean_embedding
 from ..operators.ordered import neighbour, running
+from ..operators.walks import greedy_walk
+from ..session import cut_lineage
 
 SHOT = "file_id long, t_start double, t_end double, emb array<double>, n long"
 
@@ -33,15 +35,18 @@ def segment_shots(samples: DataFrame, cut_sim: float = 0.82, window_s: float = 4
 
 
 def segment_irregular(samples: DataFrame, cut_sim: float = 0.82, window_s: float = 4.0, step: float = 1.0) -> DataFrame:
-    """The same for uneven sample times. The window rule is sequential inside a run between visual cuts, so a run is one group."""
+    """The same for uneven sample times. Inside a run between visual cuts a greedy walk finds where a window is full, so a long run is many tasks."""
     hour = F.floor(F.col("t") / 3600)
     d = neighbour(samples, "file_id", hour, ["t"], {"__p": F.col("emb")}, step=-1)
     d = d.withColumn("__cut", (F.col("__p").isNull() | (vector.dot(F.col("__p"), F.col("emb")) < cut_sim)).cast("long"))
-    d = running(d.drop("__p"), "file_id", hour, ["t"], run=("sum", F.col("__cut")))
-
-    def split(pdf):
-        return pd.DataFrame(_segments(int(pdf["file_id"].iloc[0]), pdf.sort_values("t"), -2.0, window_s, step))
-    return d.groupBy("file_id", "run").applyInPandas(split, SHOT)
+    d = cut_lineage(running(d.drop("__p"), "file_id", hour, ["t"], run=("sum", F.col("__cut"))).select("file_id", "run", "t", "emb"))
+    d = d.join(greedy_walk(d, ["file_id", "run"], "t", window_s), ["file_id", "run", "t"])
+    spans = d.groupBy("file_id", F.col("kept").alias("t_start"), "run").agg((F.max("t") + step).alias("t_end"), F.count("*").alias("n"))
+    # sums by component are added up before the shuffle, so the samples of a window are never gathered
+    parts = d.select("file_id", F.col("kept").alias("t_start"), "run", F.posexplode("emb").alias("pos", "x")).groupBy("file_id", "t_start", "run", "pos").agg(F.avg("x").alias("x"))
+    mean = parts.groupBy("file_id", "t_start", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    shots = spans.join(mean, ["file_id", "t_start", "run"])
+    return shots.select("file_id", "t_start", "t_end", vector.unit(F.transform("v", lambda e: e["x"])).alias("emb"), "n")
 
 
 def _close(file_id, ts, total, n, step):
@@ -49,19 +54,6 @@ def _close(file_id, ts, total, n, step):
     return {"file_id": file_id, "t_start": ts[0], "t_end": ts[1] + step, "emb": m / max(np.linalg.norm(m), 1e-9), "n": n}
 
 
-def _segments(file_id, p, cut_sim, window_s, step):
-    out, ts, total, n, prev = [], None, None, 0, None
-    for t, e in zip(p["t"].to_numpy(), p["emb"].to_numpy()):
-        if ts is not None and (float(prev @ e) < cut_sim or t - ts[0] >= window_s):
-            out.append(_close(file_id, ts, total, n, step))
-            ts = None
-        ts, total, n = ((t, t), e.copy(), 1) if ts is None else ((ts[0], t), total + e, n + 1)
-        prev = e
-    if ts is not None:
-        out.append(_close(file_id, ts, total, n, step))
-    return out
-
-
 def merge_short(shots: DataFrame, durations: DataFrame | None = None, min_s: float = 1.0) -> DataFrame:
     """Cap shots at the file's end, then fold shots shorter than min_s into the one before (weighted mean vector)."""
     d = shots
@@ -76,28 +68,12 @@ def merge_short(shots: DataFrame, durations: DataFrame | None = None, min_s: flo
 
 
 def picture_cuts(hist: DataFrame, thr: float = 0.45, min_shot: float = 0.8) -> DataFrame:
-    """hist(video_id, t, h array, sums to 1): times where the histogram changes, at least min_shot after the cut before.
-
-    Candidates further apart than min_shot are independent, so only dense runs of candidates meet in one group.
-    """
+    """hist(video_id, t, h array, sums to 1): times where the histogram changes, at least min_shot after the cut before. The video's start counts as a cut."""
     hour = F.floor(F.col("t") / 3600)
     d = neighbour(hist, "video_id", hour, ["t"], {"__p": F.col("h")}, step=-1)
     bc = F.aggregate(F.zip_with("h", "__p", lambda a, b: F.sqrt(a * b)), F.lit(0.0), lambda s, v: s + v)
     c = d.where(F.col("__p").isNotNull() & (F.sqrt(F.greatest(1 - bc, F.lit(0.0))) > thr)).select("video_id", "t")
-    c = neighbour(c, "video_id", hour, ["t"], {"__b": F.col("t")}, step=-1)
-    c = c.withColumn("__b", F.coalesce("__b", F.lit(0.0)))                   # the video's start counts as a cut
-    c = running(c, "video_id", hour, ["t"], run=("sum", (F.col("t") - F.col("__b") >= min_shot).cast("long")))
-    vt = hist.schema["video_id"].dataType.simpleString()
-
-    def keep(pdf):
-        ts, out = np.sort(pdf["t"].to_numpy()), []
-        last = 0.0 if pdf["run"].iloc[0] == 0 else -np.inf
-        for t in ts:
-            if t - last >= min_shot:
-                out.append(round(t, 2))
-                last = t
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "cut": np.array(out, float)})
-    return c.groupBy("video_id", "run").applyInPandas(keep, f"video_id {vt}, cut double")
+    return greedy_walk(c, "video_id", "t", min_shot, start=0.0).where("t = kept").select("video_id", F.round("t", 2).alias("cut"))
 
 
 def segment_stream(samples: DataFrame, cut_sim: float = 0.82, window_s: float = 4.0, step: float = 1.0) -> DataFrame:
