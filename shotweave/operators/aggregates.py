@@ -1,6 +1,8 @@
 """Aggregates: embeddings, motion, cut features, reports, evaluation."""
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed, vector
@@ -29,17 +31,43 @@ def mean_embedding(df: DataFrame, by: str, emb: str = "emb") -> DataFrame:
 
 
 def weighted_mean_embedding(df: DataFrame, by, emb: str, n: str, order: str) -> DataFrame:
-    """Fold vectors in order, each weighted by its frame count and normalised again after every step."""
-    by = [by] if isinstance(by, str) else list(by)
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(emb).alias("e"), F.col(n).cast("double").alias("n"))))
-    first = F.get("items", F.lit(0))
+    """Fold vectors in order, each weighted by its frame count and normalised again after every step; a key with one row keeps its vector as it is.
 
-    def step(acc, x):
-        v = F.zip_with(acc["e"], x["e"], lambda a, b: a * acc["n"] + b * x["n"])
-        return F.struct(vector.unit(v).alias("e"), (acc["n"] + x["n"]).alias("n"))
+    A step depends on the whole result before it, so a key is folded where its rows lie, sorted, as they stream past: one vector and one count are carried from batch
+    to batch and no list is gathered. Equal orders are settled by vector and count, a null key is a key like others. Vectors must be of one length.
+    """
+    by = [by] if isinstance(by, str) else list(by)
 
-    folded = F.aggregate(F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0))), F.struct(first["e"].alias("e"), first["n"].alias("n")), step)
-    return df.groupBy(*by).agg(items.alias("items")).select(*by, folded["e"].alias(emb), folded["n"].cast("long").alias(n))
+    def fold(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            rows = t.num_rows
+            new = np.ones(rows, bool)
+            new[1:] = False
+            for c in range(len(by)):
+                a, z = t.column(c)[1:], t.column(c)[:-1]
+                new[1:] |= np.asarray(pc.fill_null(pc.not_equal(a, z), False)) | (np.asarray(pc.is_null(a)) != np.asarray(pc.is_null(z)))
+            heads = np.flatnonzero(new)
+            X, w = t.column(len(by)).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1), t.column(len(by) + 1).to_numpy(zero_copy_only=False)
+            E, N, size = X[heads], w[heads], np.diff(np.append(heads, rows))
+            for k in range(1, size.max()):                               # the k-th rows of all keys at once
+                g = np.flatnonzero(size > k)
+                r = heads[g] + k
+                v = E[g] * N[g, None] + X[r] * w[r, None]
+                E[g], N[g] = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None], N[g] + w[r]
+            vectors = pa.ListArray.from_arrays(np.arange(len(heads) + 1, dtype="int32") * X.shape[1], E.ravel()).cast(t.schema.field(len(by)).type)
+            out = pa.RecordBatch.from_arrays([*[t.column(c).take(pa.array(heads)) for c in range(len(by))], vectors, pa.array(N)], schema=t.schema)
+            held = out.slice(len(heads) - 1)
+            yield out.slice(0, len(heads) - 1)
+        if held is not None:
+            yield held
+
+    d = df.select(*by, F.col(emb).cast("array<double>").alias(emb), F.col(n).cast("double").alias(n), F.col(order).alias("__o"))
+    d = d.repartition(*by).sortWithinPartitions(*by, "__o", emb, n).drop("__o")
+    return d.mapInArrow(fold, d.schema).withColumn(n, F.col(n).cast("long"))
 
 
 def grey_change(a, b):

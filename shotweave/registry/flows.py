@@ -39,13 +39,19 @@ def irregular_shot_segments(spark, d):
     return segment.segment_irregular(samples(spark, d), 0.0).select("file_id", "t_start", "t_end", "n", F.round(F.get("emb", F.lit(0)), 4).alias("x1"))
 
 
-@query("merged_short_shots", b.with_sql(SAMPLES) + """,
-s AS (SELECT file_id, t * 4 AS t_start, t * 4 + (vec_id % 5) * 0.6::DOUBLE AS t_end, vec_id % 3 + 1 AS n, lag(t) OVER (PARTITION BY file_id ORDER BY t) IS NULL OR (vec_id % 5) * 0.6 >= 1 AS o FROM samples),
-g AS (SELECT *, sum(o::INT) OVER (PARTITION BY file_id ORDER BY t_start) AS g FROM s)
-SELECT file_id, min(t_start) AS t_start, round(arg_max(t_end, t_start), 4) AS t_end, sum(n) AS n FROM g GROUP BY file_id, g.g""")
+@query("merged_short_shots", b.with_sql(SAMPLES + """,
+s AS (SELECT file_id, t * 4 AS t_start, t * 4 + (vec_id % 5) * 0.6::DOUBLE AS t_end, emb, vec_id % 3 + 1 AS n, lag(t) OVER (PARTITION BY file_id ORDER BY t) IS NULL OR (vec_id % 5) * 0.6 >= 1 AS o FROM samples),
+g AS (SELECT *, sum(o::INT) OVER (PARTITION BY file_id ORDER BY t_start) AS g FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, g.g ORDER BY t_start) AS k FROM g),
+fold AS (SELECT file_id, g, k, emb AS e, n::DOUBLE AS m FROM r WHERE k = 1 UNION ALL
+  SELECT file_id, g, k, [x / sqrt(list_inner_product(v, v)) FOR x IN v], m FROM
+   (SELECT r.file_id, r.g, r.k, [e[i] * m + emb[i] * n FOR i IN range(1, len(e) + 1)] AS v, m + n AS m FROM fold JOIN r ON r.file_id = fold.file_id AND r.g = fold.g AND r.k = fold.k + 1)),
+ends AS (SELECT file_id, g, min(t_start) AS t_start, arg_max(t_end, t_start) AS t_end, sum(n) AS n, max(k) AS k FROM r GROUP BY 1, 2)""", recursive=True) + """
+SELECT file_id, t_start, round(t_end, 4) AS t_end, n, round(e[1], 4) AS x1, round(list_sum([e[i] * i FOR i IN range(1, len(e) + 1)]), 4) AS all_components FROM ends JOIN fold USING (file_id, g, k)""")
 def merged_short_shots(spark, d):
     s = samples(spark, d).select("file_id", (F.col("t") * 4).alias("t_start"), (F.col("t") * 4 + (F.col("vec_id") % 5) * 0.6).alias("t_end"), "emb", (F.col("vec_id") % 3 + 1).alias("n"))
-    return segment.merge_short(s).select("file_id", "t_start", F.round("t_end", 4).alias("t_end"), "n")
+    total = F.aggregate(F.transform("emb", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return segment.merge_short(s).select("file_id", "t_start", F.round("t_end", 4).alias("t_end"), "n", F.round(F.get("emb", F.lit(0)), 4).alias("x1"), F.round(total, 4).alias("all_components"))
 
 
 @query("picture_cuts", b.with_sql(SAMPLES + """,

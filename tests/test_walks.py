@@ -1,10 +1,10 @@
-"""Greedy walks by composed block maps against the plain loop."""
+"""Greedy walks by composed block maps, and ordered folds, against the plain loop."""
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shotweave.operators import walks
+from shotweave.operators import aggregates, walks
 from shotweave.streaming import segment
 
 
@@ -88,3 +88,23 @@ def test_uneven_samples_against_the_loop(spark, monkeypatch):
     for f, a, z, n, e in want:
         r = got[f, round(a, 6)]
         assert r.n == n and r.t_end == pytest.approx(z) and np.allclose(r.emb, e)
+
+
+def test_ordered_fold_streams_a_long_key(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, int(i), rng.normal(size=3).tolist(), int(rng.integers(1, 5))) for k, size in ((1, 700), (2, 1), (None, 40), (3, 5)) for i in range(size)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        d = spark.createDataFrame(rows, "k long, o long, emb array<double>, n int").orderBy(F.rand(1))
+        got = {r.k: r for r in aggregates.weighted_mean_embedding(d, "k", "emb", "n", "o").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert set(got) == {1, 2, 3, None}
+    for k, r in got.items():
+        e, m = None, 0
+        for _, _, x, n in (q for q in rows if q[0] == k):
+            v = np.array(x) if e is None else e * m + np.array(x) * n
+            e, m = (v if e is None else v / np.linalg.norm(v)), m + n
+        assert r.n == m and np.allclose(r.emb, e)
+    assert aggregates.weighted_mean_embedding(d.limit(0), ["k"], "emb", "n", "o").collect() == []
