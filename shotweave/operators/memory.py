@@ -5,24 +5,30 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed
 from . import similarity, tables
 from .ranges import interval_pairs
+from ..session import bounded_rows
+
+MAX_NAME = 4096                 # different lengths of names in one import; a path has no more characters
 
 
 def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
-    """placements(p_id, path, name) -> + file_id: same path (case and slash ignored), else first file whose path ends with name.
+    """placements(p_id, path, name) -> + file_id: same path (case and slash ignored), else the smallest id whose path ends with name (case ignored).
 
-    The suffix rule is an equi-join on the last path part of the name, followed by a check of the full ending.
+    A path offers its endings of the lengths that asked names have, each distinct ending keeps its smallest id before the join, and each distinct name asks once; so a
+    name that thousands of files or placements share is one row on either side. Null and empty names and paths resolve to nothing.
     """
     norm = lambda c: F.lower(F.replace(F.col(c), F.lit("/"), F.lit("\\")))
-    last = lambda c: F.element_at(F.split(F.lower(c), r"[/\\]"), -1)
-    f = files.select(F.col("id").alias("fid"), F.col("path").alias("fpath"))
+    asked = placements.where("name <> ''").select(F.lower("name").alias("__e")).distinct()
+    # lengths of file names; far fewer than names
+    lengths = sorted(r[0] for r in bounded_rows(asked.select(F.length("__e")).distinct(), MAX_NAME, "lengths of asked names"))
+    f = files.where("path <> ''").select(F.col("id").alias("fid"), F.col("path").alias("fpath"))
     exact = f.groupBy(norm("fpath").alias("__n")).agg(F.min("fid").alias("exact_id"))
+    p = F.lower("fpath")
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(p))
+    endings = f.select("fid", F.explode(F.transform(fitting, lambda n: F.substring(p, F.length(p) - n + 1, n))).alias("__e")).groupBy("__e").agg(F.min("fid").alias("name_id"))
+    named = asked.join(endings, "__e")
     d = placements.withColumn("__n", norm("path")).join(exact, "__n", "left").drop("__n")
-    # the clip name may be any ending of the path: offer every ending of the last path part
-    base = last(F.col("fpath"))
-    tail = f.withColumn("__l", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda i: F.substring(base, i, F.length(base)))))
-    named = (placements.where("name <> ''").select("p_id", "name", last(F.col("name")).alias("__l"))
-             .join(tail, "__l").where(F.endswith(F.lower("fpath"), F.lower("name"))).groupBy("p_id").agg(F.min("fid").alias("name_id")))
-    return d.join(named, "p_id", "left").withColumn("file_id", F.coalesce("exact_id", "name_id")).drop("exact_id", "name_id")
+    d = d.withColumn("__e", F.lower("name")).join(named, "__e", "left").drop("__e")
+    return d.withColumn("file_id", F.coalesce("exact_id", "name_id")).drop("exact_id", "name_id")
 
 
 def best_overlap_shot(placements: DataFrame, shots: DataFrame, slack: float = 1.0) -> DataFrame:
