@@ -32,9 +32,12 @@ def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def best_overlap_shot(placements: DataFrame, shots: DataFrame, slack: float = 1.0) -> DataFrame:
-    """placements(p_id, file_id, src_in, src_out): the shot of the file with the most overlap; gaps below `slack` s still count."""
+    """placements(p_id, file_id, src_in, src_out): the shot of the file with the most overlap; gaps below `slack` s still count.
+
+    Shots of one stretch of a file overlap alike and the smallest id wins, so each different stretch meets placements once.
+    """
     p = placements.select("p_id", "file_id", "src_in", "src_out", (F.col("src_in") - slack).alias("__lo"), (F.col("src_out") + slack).alias("__hi"))
-    s = shots.select("file_id", "shot_id", F.col("t_start").alias("__a"), F.col("t_end").alias("__e"))
+    s = shots.groupBy("file_id", F.col("t_start").alias("__a"), F.col("t_end").alias("__e")).agg(F.min("shot_id").alias("shot_id"))
     j = interval_pairs(p, s, "file_id", "__lo", "__hi", "__a", "__e", 60.0)
     ov = F.least("__e", "src_out") - F.greatest("__a", "src_in")
     return (j.withColumn("overlap", ov).where(F.col("overlap") > -slack).groupBy("p_id")
@@ -44,11 +47,12 @@ def best_overlap_shot(placements: DataFrame, shots: DataFrame, slack: float = 1.
 def covering_line(placements: DataFrame, spans: DataFrame) -> DataFrame:
     """placements(p_id, project, rec_in, rec_out), spans(project, i, a, b, text): line under the placement's midpoint.
 
-    Past the last line, the last line counts.
+    Past the last line, the last line counts. Bins are as wide as a line is long on average, so lines are about two rows each, whatever their length.
     """
     mid = placements.select("p_id", "project", ((F.col("rec_in") + F.col("rec_out")) / 2).alias("mid"))
     s = spans.select("project", "a", "b", "i", "text")
-    inside = interval_pairs(mid, s, "project", "mid", "mid", "a", "b", 60.0).where("mid < b").select("p_id", "i", "text")
+    width = max(60.0, spans.agg(F.avg(F.col("b") - F.col("a"))).first()[0] or 0.0)
+    inside = interval_pairs(mid, s, "project", "mid", "mid", "a", "b", width).where("mid < b").select("p_id", "i", "text")
     final = spans.groupBy("project").agg(F.max("b").alias("end"), F.max_by(F.struct("i", "text"), "b").alias("f"))
     late = mid.join(final, "project").where("mid >= end").select("p_id", "f.i", "f.text")
     return inside.unionByName(late)
