@@ -10,7 +10,7 @@ from .frames import cut_lineage, id_and_text, partitions
 from .lm import spread, squeeze
 from .words import Words, flat, joined, mix, ragged, slices, text_column
 
-BITS = 48                                       # of a window's hash in the first exchange, which only tells suspects
+BITS = 40                                       # of a window's hash in the first exchange, which only tells suspects
 OWNED = 1 << 21                                 # windows an owner of a range of hashes counts
 BLOCK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max                   # stands for a missing doc_id: after all others

@@ -210,3 +210,12 @@ def test_memory_keeps_colliding_pieces_apart():
 
 def test_new_queries_are_registered():
     assert {"op11_target_resampling", "op12_periodic_runs", "op13_repeated_windows"} <= set(queries.QUERIES)
+
+
+def test_windows_ask_in_few_bits():
+    """A suspect's hash is as wide as telling suspects needs: 700,000 windows of a block in at most 24 bits each (48-bit hashes: 30)."""
+    from shotweave.llm import exchange
+    rng = np.random.default_rng(0)
+    values = np.unique(rng.integers(0, 1 << 61, 700_000) >> (61 - repeats.BITS))
+    rows = exchange.requests(values, np.zeros(len(values), bool), 0, 32, repeats.BITS)
+    assert 8 * sum(len(r["blob"]) + len(r["twice"]) for r in rows) < 24 * len(values)
