@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..operators import filters, retrieval, similarity, tables
+from ..operators import filters, held, retrieval, similarity, tables
 
 RESULT = ("query_id long, shot_id long, score double, cluster int, label string, place int, n_relevant int, "
           "missing array<string>")
@@ -13,23 +13,19 @@ RESULT = ("query_id long, shot_id long, score double, cluster int, label string,
 def search(queries: DataFrame, shots: DataFrame, vocab: DataFrame, k: int = fixed.DEFAULT_K, diversity: float = fixed.DEFAULT_DIVERSITY,
            min_score: float = fixed.MIN_SCORE, delta: float = fixed.GATE_DELTA, sim: float = fixed.DEDUPE_SIM,
            window: float = fixed.DEDUPE_WINDOW_S, dist: float = fixed.CLUSTER_DIST, cap: int = fixed.SEARCH_PER_SOURCE,
-           **shot_filters) -> DataFrame:
+           held_bytes: int | None = None, **shot_filters) -> DataFrame:
     """Top-k, gate, near-duplicates, source cap, diversity, clusters and labels of all queries at once.
 
-    The steps after the gate share one shuffle by query_id; a group is one query's gated list (at most TOP_POOL rows).
+    The steps after the gate run in the task that reads the query, or share one shuffle by query_id where the shots are too many to hold; a group is one query's gated list (at most TOP_POOL rows).
     place orders the page: clusters by best score, shots by score inside.
     """
     pool = filters.apply_filters(shots, **shot_filters)
     words, V = retrieval.vocabulary(vocab)
-    gated = filters.gate(similarity.dense_topk(queries, pool, fixed.TOP_POOL, min_score, delta), min_score, delta)
-    rows = gated.select("query_id", "shot_id", "score").join(pool.select("shot_id", "source_key", "t_start", "emb", "size"), "shot_id")
 
-    def page(pdf):
-        E, score, ids = np.stack(pdf["emb"].to_numpy()), pdf["score"].to_numpy(), pdf["shot_id"].to_numpy()
-        key = pdf["source_key"].to_numpy()
-        kept = retrieval.keep_distinct(score, ids, key, pdf["t_start"].to_numpy(), E, sim, window)
-        kept = retrieval.cap_positions(kept, key, cap)
-        have = set(pdf["size"].to_numpy()[kept])
+    def page(query, score, ids, key, t0, E, size):
+        kept = retrieval.first_distinct(key, t0, E, sim, window)
+        kept = retrieval.cap_positions(kept, key.tolist(), cap)
+        have = set(size[kept])
         missing = [s for s in ("wide", "medium", "close") if s not in have] if len(kept) >= 3 else []
         head = kept[:fixed.MMR_POOL]
         pick = head[retrieval.diversify(score[head], E[head], k, diversity)]
@@ -39,10 +35,27 @@ def search(queries: DataFrame, shots: DataFrame, vocab: DataFrame, k: int = fixe
         labels = dict(zip(order, retrieval.unique_labels([pick[group == g] for g in order], E, V, words)))
         page_order = np.concatenate([np.flatnonzero(group == g) for g in order])
         rank = {g: i for i, g in enumerate(order)}
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "shot_id": ids[pick][page_order], "score": score[pick][page_order],
+        return pd.DataFrame({"query_id": query, "shot_id": ids[pick][page_order], "score": score[pick][page_order],
                              "cluster": [rank[g] for g in group[page_order]], "label": [labels[g] for g in group[page_order]],
                              "place": np.arange(1, len(pick) + 1), "n_relevant": len(kept), "missing": [missing] * len(pick)})
-    return rows.groupBy("query_id").applyInPandas(page, RESULT)
+
+    columns = ["source_key", "t_start", "size"]
+    h = held.hold(pool.select("shot_id", "emb", *columns), columns, held_bytes=held_bytes)
+    if h:
+        def pages(h, b, r, c, score, rank):
+            r, c, score = retrieval._gated(r, c, score, min_score, delta)
+            ids, key, t0, size, names = h.column("shot_id"), h.column("source_key"), h.column("t_start"), h.column("size"), h.names["size"]
+            out = [page(b["query_id"].iloc[i], score[a:z], ids[c[a:z]], key[c[a:z]], t0[c[a:z]], h.vectors(c[a:z]), np.array([names[x] for x in size[c[a:z]].tolist()], object))
+                   for i, a, z in held.edges(r)]
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+        return held.each(queries, h, fixed.TOP_POOL, min_score, delta, pages, RESULT)
+    gated = filters.gate(similarity.dense_topk(queries, pool, fixed.TOP_POOL, min_score, delta, held_bytes=held_bytes), min_score, delta)
+    rows = gated.select("query_id", "shot_id", "score").join(pool.select("shot_id", "source_key", "t_start", "emb", "size"), "shot_id")
+
+    def group(pdf):
+        p = pdf.sort_values(["score", "shot_id"], ascending=[False, True])
+        return page(p["query_id"].iloc[0], p["score"].to_numpy(), p["shot_id"].to_numpy(), p["source_key"].to_numpy(), p["t_start"].to_numpy(), np.stack(p["emb"].to_numpy()), p["size"].to_numpy())
+    return rows.groupBy("query_id").applyInPandas(group, RESULT)
 
 
 def search_cards(results: DataFrame, shots: DataFrame, provenance: DataFrame) -> DataFrame:

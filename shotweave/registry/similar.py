@@ -27,10 +27,8 @@ capped AS (SELECT g.*, row_number() OVER (PARTITION BY query_id, source_key ORDE
 SELECT query_id, shot_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot_id) AS place FROM capped QUALIFY place <= 10""")
 def dense_topk_gated(spark, d):
     s = b.shots(spark, d)
-    top = similarity.dense_topk(b.self_queries(s), s, 500, floor=0.18, margin=DELTA)
-    g = filters.gate(top, 0.18, DELTA).drop("rank").join(s.select("shot_id", "source_key"), "shot_id")
-    return windows.topk(windows.cap_per_source(g, 4), 10, "query_id", [F.desc("score"), "shot_id"]).select(
-        "query_id", "shot_id", F.round("score", 4).alias("score"), F.col("rank").alias("place"))
+    g = retrieval.relevant(b.self_queries(s), s, 4, min_score=0.18, delta=DELTA, sim=None, k=10)
+    return g.select("query_id", "shot_id", F.round("score", 4).alias("score"), F.col("rank").alias("place"))
 
 
 TERMS = "terms AS (SELECT shot_id AS query_id, list_distinct({t}) AS want FROM shots)"
@@ -50,8 +48,7 @@ SELECT query_id, shot_id, round(score, 4) AS score FROM h""")
 def hybrid_rank(spark, d):
     s = b.shots(spark, d)
     terms = s.select(F.col("shot_id").alias("query_id"), text.tokens(F.col("tags")).alias("terms"))
-    c = similarity.dense_topk(b.self_queries(s), s, 500)
-    return retrieval.hybrid(c, s.where("source <> 'own'"), terms, pool=300).select("query_id", "shot_id", F.round("score", 4).alias("score"))
+    return retrieval.hybrid_topk(b.self_queries(s), s, s.where("source <> 'own'"), terms, 500, pool=300).select("query_id", "shot_id", F.round("score", 4).alias("score"))
 
 
 # greedy near-duplicate removal: walk the ranks of all queries together, carrying the kept ids
@@ -72,8 +69,7 @@ distinct_rows AS (SELECT w.query_id, w.took AS shot_id, g.score, g.source_key, g
        "SELECT query_id, shot_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shot_id) AS rank FROM distinct_rows")
 def near_duplicate_removal(spark, d):
     s = b.shots(spark, d)
-    g = filters.gate(similarity.dense_topk(b.self_queries(s), s, 500, 0.18, DELTA), 0.18, DELTA)
-    return retrieval.dedupe(g, s, SIM, 10.0).withColumn("score", F.round("score", 4))
+    return retrieval.relevant(b.self_queries(s), s, None, min_score=0.18, delta=DELTA, sim=SIM, window=10.0).withColumn("score", F.round("score", 4))
 
 
 CAPPED = KEPT + """,
@@ -95,8 +91,8 @@ steps AS (SELECT query_id, 1 AS n, [1]::BIGINT[] AS chosen FROM pool WHERE rk =
 SELECT s.query_id, p.shot_id, s.n AS pick, round(p.score, 4) AS score FROM steps s JOIN pool p ON p.query_id = s.query_id AND p.rk = s.chosen[-1]""")
 def diverse_picks(spark, d):
     s = b.shots(spark, d)
-    rel = retrieval.relevant(b.self_queries(s), s, 4, min_score=0.18, delta=DELTA, sim=SIM)
-    return retrieval.mmr(rel, s, 8, 0.3).select("query_id", "shot_id", "pick", F.round("score", 4).alias("score"))
+    rel = retrieval.relevant(b.self_queries(s), s, 4, min_score=0.18, delta=DELTA, sim=SIM, varied=(8, 0.3))
+    return rel.select("query_id", "shot_id", "pick", F.round("score", 4).alias("score"))
 
 
 @query("planner_candidates", b.with_sql(b.SHOTS, KEPT, recursive=True) + """,
@@ -153,9 +149,8 @@ def search_pages(spark, d):
 @query("shot_clusters")
 def shot_clusters(spark, d):
     s = b.shots(spark, d)
-    c = similarity.dense_topk(b.self_queries(s), s, 12)
-    g = retrieval.cluster(c, s, 0.85)
-    return windows.order_clusters(g.join(retrieval.label_clusters(g, s, b.vocab(spark, d)), ["query_id", "cluster"])).select("query_id", "shot_id", "cluster", "label", "place")
+    g = retrieval.clustered_topk(b.self_queries(s), s, b.vocab(spark, d), 12, 0.85)
+    return windows.order_clusters(g).select("query_id", "shot_id", "cluster", "label", "place")
 
 
 @query("cluster_order", b.with_sql(b.SHOTS, b.SCORED) + """,
