@@ -88,23 +88,24 @@ def claim_pairs(spark, d):
     nat = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     P = lambda name, kind, anc: F.struct(name.alias("name"), F.lit(None).cast("string").alias("alias"), F.lit(kind).alias("kind"), anc.alias("anc"))
     nation, region = P(F.col("n_name"), "city", F.array("n_name", "r_name")), P(F.col("r_name"), "country", F.array("r_name"))
-    # claims once per order, evidence once per supplier; the fact table then only looks both up
-    cust = t("customer").join(nat, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", nation.alias("c_nation"), region.alias("c_region"))
-    supp = t("supplier").join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", nation.alias("s_nation"), region.alias("s_region"))
+    # only keys and days are shuffled; places, claims and evidence are looked up and made where the joined rows are
+    places_of = lambda x: F.broadcast(nat.select(F.col("n_nationkey").alias(f"{x}_nationkey"), nation.alias(f"{x}_nation"), region.alias(f"{x}_region")))
+    orders = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "c_nationkey")
+    items = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    d = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(places_of("c"), "c_nationkey").join(places_of("s"), "s_nationkey")
     k = F.col("o_orderkey")
-    orders = t("orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+    claim = [
         "o_orderkey", F.when(k % 4 == 3, F.array().cast(f"array<{truth.PLACE}>")).when(k % 3 == 0, F.array("c_region")).otherwise(F.array("c_nation")).alias("places"),
         (k % 7 == 0).alias("place_inherited"), F.when(k % 3 == 1, "year").when(k % 3 == 2, "recent").alias("time_kind"),
         F.when(k % 3 == 1, F.year("o_orderdate")).alias("year"), F.when(k % 3 == 1, F.year("o_orderdate").cast("string")).when(k % 3 == 2, "today").alias("time_phrase"),
-        F.when(k % 5 < 4, b.pick(b.WEATHER[:4], k % 5)).alias("claim_weather"), F.when(k % 5 < 4, "heavy weather").alias("weather_phrase"))
+        F.when(k % 5 < 4, b.pick(b.WEATHER[:4], k % 5)).alias("claim_weather"), F.when(k % 5 < 4, "heavy weather").alias("weather_phrase")]
     E = lambda p: F.struct(p["name"].alias("name"), F.lit("meta").alias("src"), F.lit("title/tags").alias("text"), p["kind"].alias("kind"), p["anc"].alias("anc"))
     ln, pk = F.col("l_linenumber"), F.col("l_partkey")
-    li = t("lineitem").join(supp, F.col("l_suppkey") == F.col("s_suppkey")).select(
+    return d.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(ln % 4 == 0, F.array().cast(f"array<{truth.EVIDENCE}>")).when(ln % 4 == 1, F.array(E(F.col("s_region"))))
         .otherwise(F.array(E(F.col("s_nation")))).alias("evidence"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shot_date"),
         b.pick(["meta", "recorded", "upload", "unknown"], pk).alias("date_source"), b.pick(b.WEATHER, pk).alias("weather"), ((pk % 50) / 50.0).alias("weather_conf"),
-        b.pick(["own", "pixabay"], F.col("l_suppkey")).alias("source"))
-    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        b.pick(["own", "pixabay"], F.col("l_suppkey")).alias("source"), *claim)
 
 
 PAIRS = f"""
