@@ -8,13 +8,14 @@ from .ranges import interval_pairs
 from ..session import bounded_rows
 
 MAX_NAME = 4096                 # different lengths of names in one import; a path has no more characters
+EMPTY = 1 << 20                 # keys that rows without a path or name are dealt to
 
 
 def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
     """placements(p_id, path, name) -> + file_id: same path (case and slash ignored), else the smallest id whose path ends with name (case ignored).
 
     A path offers its endings of the lengths that asked names have, each distinct ending keeps its smallest id before the join, and each distinct name asks once; so a
-    name that thousands of files or placements share is one row on either side. Null and empty names and paths resolve to nothing.
+    name that thousands of files or placements share is one row on either side. Rows without one do not meet under the empty key, which most of them would share. Null and empty names and paths resolve to nothing.
     """
     norm = lambda c: F.lower(F.replace(F.col(c), F.lit("/"), F.lit("\\")))
     asked = placements.where("name <> ''").select(F.lower("name").alias("__e")).distinct()
@@ -26,8 +27,12 @@ def resolve_file(placements: DataFrame, files: DataFrame) -> DataFrame:
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(p))
     endings = f.select("fid", F.explode(F.transform(fitting, lambda n: F.substring(p, F.length(p) - n + 1, n))).alias("__e")).groupBy("__e").agg(F.min("fid").alias("name_id"))
     named = asked.join(endings, "__e")
-    d = placements.withColumn("__n", norm("path")).join(exact, "__n", "left").drop("__n")
-    d = d.withColumn("__e", F.lower("name")).join(named, "__e", "left").drop("__e")
+    def look_up(d, key, ask, table, value):
+        """Left join on `key`; rows that ask for nothing are dealt evenly, by numbers that no row of the table has."""
+        d = d.withColumns({key: ask, "__deal": F.when(F.coalesce(ask, F.lit("")) == "", F.pmod(F.xxhash64("p_id"), F.lit(EMPTY)) + 1).otherwise(0)})
+        return d.join(table.select(key, value, F.lit(0).cast("long").alias("__deal")), [key, "__deal"], "left").drop(key, "__deal")
+    d = look_up(placements, "__n", norm("path"), exact, "exact_id")
+    d = look_up(d, "__e", F.lower("name"), named, "name_id")
     return d.withColumn("file_id", F.coalesce("exact_id", "name_id")).drop("exact_id", "name_id")
 
 
