@@ -58,7 +58,9 @@ strip AS (SELECT video_id, k * 2.0::DOUBLE AS ft, printf('f%04d.jpg', k) AS fram
 j AS (SELECT u.video_id, id, frame, abs(ft - (start + "end") / 2) AS gap, ft FROM units u JOIN strip s ON s.video_id = u.video_id AND abs(ft - (start + "end") / 2) <= 3)
 SELECT video_id, id, frame FROM j QUALIFY row_number() OVER (PARTITION BY video_id, id ORDER BY gap, ft) = 1""")
 def nearest_frames(spark, d):
-    return spots.nearest_frame(units(spark, d), strip(spark, d)).select("video_id", "id", "frame")
+    """A unit's place in time decides; no text is spoken or carried along."""
+    u = spots.build_units(b.segments(spark, d), None, cut_times(spark, d), b.durations(spark, d)).select("video_id", "id", "start", "end")
+    return spots.nearest_frame(u, strip(spark, d)).select("video_id", "id", "frame")
 
 
 def drops(spark, d):
