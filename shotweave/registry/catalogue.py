@@ -220,7 +220,7 @@ def archive_docs_normalised(spark, d):
 def order_clips(spark, d):
     """Line items as clips of their order: laid end to end, whole seconds."""
     li = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").cast("long").alias("i"), "l_partkey", F.col("l_quantity").alias("dur"))
-    c = windows.running_timeline(li.groupBy("script_id", "i").agg(F.max("l_partkey").alias("l_partkey"), F.max("dur").alias("dur")), "script_id", "dur")
+    c = windows.running_timeline(li.groupBy("script_id", "i").agg(F.max("l_partkey").alias("l_partkey"), F.max("dur").alias("dur")), "script_id", "dur", once=True)
     return c.select("script_id", "i", "rec_in", "rec_out", (F.col("l_partkey") % 50).cast("double").alias("src_in"), (F.col("l_partkey") % 50 + F.col("dur")).alias("src_out"),
                     F.concat(F.lit("/m/clip"), (F.col("l_partkey") % 9).cast("string"), F.lit(".mp4")).alias("path"),
                     F.concat(F.lit("clip"), (F.col("l_partkey") % 9).cast("string"), F.lit(".mp4")).alias("name"), F.concat(F.lit("line "), F.col("i").cast("string")).alias("text"),
@@ -237,8 +237,7 @@ clips AS (SELECT *, sum(dur) OVER (PARTITION BY script_id ORDER BY i) - dur AS r
 def edit_list_round_trip(spark, d):
     """Clips written as edit-list text and parsed back."""
     rows = sinks.edl_rows(order_clips(spark, d))
-    lines = rows.select(F.col("script_id").alias("project"), "n", F.posexplode(F.split("event", "\n")).alias("k", "line"))
-    lines = lines.select("project", (F.col("n") * 10 + F.col("k")).alias("n"), "line")
+    lines = rows.select(F.col("script_id").alias("project"), "n", F.col("event").alias("line"))
     return timelines.edl_placements(lines).select(F.col("project").alias("script_id"), "event", "src_in", "src_out", "rec_in", "rec_out", "name", "note")
 
 

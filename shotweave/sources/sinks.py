@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import media, text
-from ..operators.ordered import rank_in_key
+from ..operators.ordered import first_use, rank_in_key
 from ..operators.timeline import frame_columns
 
 
@@ -20,15 +20,12 @@ def caption_rows(captions: DataFrame, by: str = "video_id") -> DataFrame:
 
 def edl_rows(clips: DataFrame, fps: int = 25, by: str = "script_id") -> DataFrame:
     """clips(by, rec_in, rec_out, src_in, src_out, path, name, text): one EDL event per clip, one reel per source file."""
-    d = frame_columns(clips, fps)
-    d = rank_in_key(d, by, F.floor(F.col("rec_in") / 3600), ["rec_in", "rec_out"], "n")
-    first = d.groupBy(by, "path").agg(F.min("n").alias("first"))
-    reels = rank_in_key(first, by, F.floor(F.col("first") / 4096), ["first"], "reel_no").select(by, "path", "reel_no")
-    d = d.join(reels, [by, "path"])
+    d = frame_columns(clips, fps).select(by, "rec_in", "rec_out", "f_in", "f_out", "f_start", "f_end", "path", "name", F.substring("text", 1, 80).alias("text"))
+    d = first_use(d, by, F.floor(F.col("rec_in") / 3600), ["rec_in", "rec_out"], "path", "n", "reel_no")
     tc = lambda c: media.timecode(F.col(c), fps)
-    event = F.concat(F.format_string("%03d", "n"), F.lit("  "), F.rpad(F.format_string("AX%04d", "reel_no"), 8, " "), F.lit(" V     C        "),
+    event = F.concat(media.padded(F.col("n"), 3), F.lit("  "), F.rpad(F.concat(F.lit("AX"), media.padded(F.col("reel_no"), 4)), 8, " "), F.lit(" V     C        "),
                      F.concat_ws(" ", tc("f_in"), tc("f_out"), tc("f_start"), tc("f_end")))
-    body = F.concat_ws("\n", event, F.concat(F.lit("* FROM CLIP NAME: "), F.col("name")), F.concat(F.lit("* COMMENT: "), F.substring("text", 1, 80)), F.lit(""))
+    body = F.concat_ws("\n", event, F.concat(F.lit("* FROM CLIP NAME: "), F.col("name")), F.concat(F.lit("* COMMENT: "), F.col("text")), F.lit(""))
     return d.select(by, "n", body.alias("event"))
 
 
